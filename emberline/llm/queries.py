@@ -20,6 +20,43 @@ def fold(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.lines import drop_recurring_lines
+
+    left = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_dropped", F.col("text").alias("text_left"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.quality import fit_quality, quality_score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs.filter(fold(5) != 0), table(spark, sf_dir, "labels").filter(fold(5) != 0))
+    scored = docs.select("doc_id", (fold(5) == 0).alias("held_out"), quality_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.langid import fit_language_centroids, predicted_language
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_centroids(docs.filter(fold(3) != 1))
+    found = docs.select("doc_id", (fold(3) == 1).alias("held_out"), predicted_language(model, F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", "p.*")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberline.llm.tokens import token_counts
 
@@ -40,5 +77,38 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_token_counts": op6_token_counts, "op7_simhash": op7_simhash, "op8_packing": op8_packing}
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.embed import vector_links
+
+    return vector_links(table(spark, sf_dir, "embeddings"))
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.llm.lm import fit_bigrams, lm_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_bigrams(docs.filter(fold(7) != 2))
+    return lm_scores(model, docs).withColumn("held_out", fold(7) == 2).drop("text")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_secrets": op3_secrets,
+    "op4_quality": op4_quality,
+    "op5_language": op5_language,
+    "op6_token_counts": op6_token_counts,
+    "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
+    "op9_embeddings": op9_embeddings,
+    "op10_lm": op10_lm,
+    "pipeline": pipeline,
+}
+#: SQL has no way to say any of these (hash votes, tokenizers, trained models, alignments), so each is tested against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
