@@ -48,7 +48,7 @@ def match_images(events: DataFrame, catalogue: DataFrame, keys: tuple[str, ...]
     out = slots.join(best, ["event_id", "timing"], "left").select("event_id", "timing", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("usable", F.lit(0)).alias("usable"), "lowest_cloud", "p.*")
     status = F.when(F.col("product_id").isNotNull(), "MATCHED").when(F.col("candidates") > 0, "CLOUD_REJECTED").otherwise("MISSING_PRODUCT")
     reason = (
-        F.when(F.col("product_id").isNotNull(), F.concat(F.format_string("%+d days, cloud ", "days"), F.coalesce(F.format_string("%.1f%%", "cloud_cover"), F.lit("unknown")), F.format_string(", 1 of %d usable", "usable")))
+        F.when(F.col("product_id").isNotNull(), F.concat(F.format_string("%+d days, cloud ", "days"), F.when(F.col("cloud_cover").isNull(), "unknown").otherwise(F.format_string("%.1f%%", "cloud_cover")), F.format_string(", 1 of %d usable", "usable")))
         .when(F.col("candidates") > 0, F.format_string("%d candidates, lowest cloud %.1f%%", "candidates", "lowest_cloud"))
         .otherwise("no image in the window")
     )

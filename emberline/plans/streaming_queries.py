@@ -1 +1,98 @@
-"""Queries."""
+"""Queries that run a stream to its end over the events and return what it wrote."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberline.operators import features, spatial
+from emberline.plans.detection_queries import CLEAN, COVER, LAND
+from emberline.plans.registry import ORACLE_SQL, QUERIES, query
+from emberline.sources.fixtures import DERIVED, load, with_tables
+from emberline.streaming import pipelines
+
+
+def _folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of detections with their time."""
+    path = f"{sf_dir}/events.parquet"
+    stream = pipelines.detection_stream(spark, path, spark.read.parquet(path).schema, "parquet")
+    return spark.sql(DERIVED["detections"].replace("FROM events", "FROM {events}").replace("AS daynight", "AS daynight, CAST(ts AS TIMESTAMP) AS event_time"), events=stream)
+
+
+def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    folder = _folder(spark)
+    pipelines.append_to(stream, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def stream_query(name: str, tables: str, sql: str):
+    def keep(f):
+        QUERIES[name] = f
+        ORACLE_SQL[name] = with_tables(tables, sql)
+        return f
+
+    return keep
+
+
+@stream_query("t1_incremental_ingest", "detections", CLEAN + " SELECT event_id, latitude, frp FROM clean")
+def _(spark, sf_dir):
+    return _run(spark, pipelines.clean_stream(_events(spark, sf_dir)).select("event_id", "latitude", "frp"))
+
+
+@stream_query("t2_stream_dedup", "detections", "SELECT event_id, satellite_source FROM detections")
+def _(spark, sf_dir):
+    twice = _events(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return _run(spark, pipelines.deduplicated(twice, ["event_id"], delay="40 days").select("event_id", "satellite_source"))
+
+
+@stream_query("t3_daily_cells", "detections", """, e AS (SELECT CAST(FLOOR(d.latitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_y, CAST(FLOOR(d.longitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_x, d.acq_date AS day FROM detections d)
+  SELECT day, cell_y, cell_x, COUNT(*) AS detections FROM e WHERE CAST(day + 1 AS TIMESTAMP) <= (SELECT MAX(ts) - INTERVAL 2 DAY FROM events) GROUP BY day, cell_y, cell_x""")
+def _(spark, sf_dir):
+    return _run(spark, pipelines.daily_cells(_events(spark, sf_dir))).select("day", "cell_y", "cell_x", "detections")
+
+
+@stream_query("t4_stream_enrichment", "detections landcover_cells tiles", CLEAN + COVER + LAND + " SELECT l.event_id, l.landcover_class, c.coverage FROM landed l JOIN covered c ON l.event_id = c.event_id")
+def _(spark, sf_dir):
+    cells, tiles = load(spark, sf_dir, "landcover_cells"), load(spark, sf_dir, "tiles")
+    stream = pipelines.enriched(pipelines.clean_stream(_events(spark, sf_dir)), [lambda s: features.sample_landcover(s, cells), lambda s: spatial.tile_coverage(s, tiles)])
+    return _run(spark, stream.select("event_id", "landcover_class", "coverage"))
+
+
+def _scoring(spark, sf_dir):
+    """T5: a forest fitted in batch scores the stream."""
+    from emberline.operators import ml
+    from emberline.plans.learning_queries import CATEGORICAL, NUMERIC, cohort
+
+    fitted = ml.fit(cohort(lambda t: load(spark, sf_dir, t)), NUMERIC, CATEGORICAL, "target_class", trees=10, depth=5)
+    rows = ml.numeric_matrix(features.thermal_features(features.temporal_features(_events(spark, sf_dir))), NUMERIC)
+    return _run(spark, pipelines.scored(rows, fitted).select("event_id", "prediction"))
+
+
+QUERIES["t5_stream_scoring"] = _scoring
+
+
+@stream_query("t6_stream_upsert", "detections", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'DONE' ELSE 'NEW' END AS status, frp FROM detections")
+def _(spark, sf_dir):
+    folder = _folder(spark)
+    load(spark, sf_dir, "detections").select("event_id", F.lit("NEW").alias("status"), "frp").write.parquet(f"{folder}/master/v=-1")
+    spark.createDataFrame([(-1,)], "batch_id long").write.parquet(f"{folder}/applied")
+    fresh = _events(spark, sf_dir).filter("event_id % 4 = 0").select("event_id", F.lit("DONE").alias("status"))
+    pipelines.upsert_to(fresh, f"{folder}/master", f"{folder}/applied", f"{folder}/checkpoint").awaitTermination()
+    last = spark.read.parquet(f"{folder}/applied").agg(F.max("batch_id").alias("b")).first()["b"]
+    return spark.read.parquet(f"{folder}/master/v={last}")
+
+
+@query("t3_yearly_activity", "detections", "SELECT CAST(FLOOR(latitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_y, CAST(FLOOR(longitude / CAST(0.01 AS DOUBLE)) AS BIGINT) AS cell_x, CAST(EXTRACT(YEAR FROM acq_date) AS INTEGER) AS year, COUNT(DISTINCT acq_date) AS grid_active_days, COUNT(*) AS detections FROM detections GROUP BY 1, 2, 3")
+def _(t):
+    from emberline.functions.thermal import cell_floor
+
+    daily = t("detections").groupBy(F.col("acq_date").alias("day"), cell_floor("latitude").alias("cell_y"), cell_floor("longitude").alias("cell_x")).agg(F.count("*").alias("detections"))
+    return pipelines.yearly_activity(daily)
