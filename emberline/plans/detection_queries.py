@@ -10,6 +10,7 @@ from emberline.functions import labels as lb
 from emberline.functions.common import flag
 from emberline.operators import features, quality, report, spatial
 from emberline.plans.registry import Tables, query
+from emberline.sources.files import materialize
 
 RADII = (500, 1000, 2000, 5000, 10000)
 FEW = ("event_id", "latitude", "longitude", "brightness", "frp")
@@ -64,7 +65,7 @@ def with_facility(t: Tables) -> DataFrame:
 
 def contextual(t: Tables) -> DataFrame:
     """Everything that scores and labels need: facilities, land cover, coverage, seasons, persistence, anomaly."""
-    out = spatial.tile_coverage(features.sample_landcover(with_facility(t), t("landcover_cells")), t("tiles"))
+    out = materialize(spatial.tile_coverage(features.sample_landcover(with_facility(t), t("landcover_cells")), t("tiles")))
     out = features.local_anomaly(features.grid_persistence(features.thermal_features(features.temporal_features(out)).drop("year")))
     return features.rows_per_rounded_cell(out)
 

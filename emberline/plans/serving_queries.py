@@ -9,6 +9,7 @@ from emberline.functions import labels as lb
 from emberline.operators import curation, features, quality, report, serve, spatial
 from emberline.plans.detection_queries import CELLS, CLEAN, COVER, DAYS, LAND, _near, celled, clean, contextual, with_facility
 from emberline.plans.registry import Tables, query
+from emberline.sources.files import materialize
 
 CLASS_SQL = ("Agricultural Burning", "Industrial Thermal Activity", "Natural / Wildfire / Other")
 PROBS = ("p_agricultural", "p_industrial", "p_natural")
@@ -23,7 +24,7 @@ SCORE = CLEAN + _near() + HR + LAND + """, g AS (SELECT event_id, CAST(COUNT(*)
 def scored(t: Tables) -> DataFrame:
     """Clean detections with their candidate score."""
     out = features.rows_per_rounded_cell(features.sample_landcover(with_facility(t), t("landcover_cells")))
-    return curation.candidate_score(out)
+    return materialize(curation.candidate_score(materialize(out)))
 
 
 def dashboard(t: Tables) -> DataFrame:
@@ -88,8 +89,8 @@ def _(t):
 
 def published(t: Tables) -> DataFrame:
     """Events with the published score and tier, and spatial duplicates marked."""
-    x = contextual(t).withColumn("nearest_tier", F.col("nearest_relevance_tier"))
-    return spatial.spatial_duplicates(curation.published_score(x), "published_score")
+    x = materialize(contextual(t)).withColumn("nearest_tier", F.col("nearest_relevance_tier"))
+    return materialize(spatial.spatial_duplicates(materialize(curation.published_score(x)), "published_score"))
 
 
 @query("m35_published_score")
