@@ -23,7 +23,7 @@ def _folder(spark: SparkSession) -> str:
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of detections with their time."""
     path = f"{sf_dir}/events.parquet"
-    stream = pipelines.detection_stream(spark, path, spark.read.parquet(path).schema, "parquet")
+    stream = pipelines.detection_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(path).schema, "parquet")  # a pattern, as a stream's path may not be a single file
     return spark.sql(DERIVED["detections"].replace("FROM events", "FROM {events}").replace("AS daynight", "AS daynight, CAST(ts AS TIMESTAMP) AS event_time"), events=stream)
 
 
