@@ -95,7 +95,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: i
 
     Similarity is the share of the item's words that the best local alignment matches; rows have ``least`` or more, the best passage of each pair.
     Seeds are the items' n-grams.  Their frequency in all of ``docs`` is counted first; an item keeps seeds that are rare beside its
-    others (up to eight times their median, so at least half stay), and only passages with such a seed are aligned.  The items go to the tasks in blocks of
+    others (up to eight times the median of those that occur, so at least half stay), and only passages with such a seed are aligned.  The items go to the tasks in blocks of
     about ``block_words`` words, so a larger benchmark costs more scans and no more memory.  Items of fewer than n words are one seed as a whole; items and
     texts that are null or without words match nothing.  Repeated keys are handled as one document each.
     """
@@ -135,7 +135,8 @@ def _block_matches(docs: DataFrame, index: ItemIndex, least: float, key: str, te
     for r in hits.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect():
         frequency[r["s"]] = r["n"]
     seed_of = np.repeat(np.arange(len(index.grams)), np.diff(index.first))
-    usual = pd.Series(frequency[seed_of]).groupby(index.item).median().reindex(range(len(index.ids))).to_numpy()
+    seen = frequency[seed_of] > 0  # seeds that no document holds say nothing on what is usual
+    usual = pd.Series(frequency[seed_of][seen]).groupby(index.item[seen]).median().reindex(range(len(index.ids)), fill_value=0).to_numpy()
     order = np.argsort(index.item, kind="stable")
     edges = np.searchsorted(index.item[order], np.arange(len(index.ids) + 1))
     rare = [set(seed_of[order[a:b]][frequency[seed_of[order[a:b]]] <= 8 * u].tolist()) for a, b, u in zip(edges[:-1], edges[1:], usual, strict=True)]

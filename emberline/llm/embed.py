@@ -134,6 +134,10 @@ def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", v
     at = ["label", "dims", "cell", "p", "q"]
     cells = cells.select(*at, "slot", "id", "copies", "unit", "filters").repartition(*at).sortWithinPartitions(*at, "id")
 
+    def by_length(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, same in part.groupby("dims", sort=False):
+            yield from _compare(same.reset_index(drop=True), least)
+
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
         for f in frames:
@@ -144,10 +148,10 @@ def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", v
             whole = np.flatnonzero((part[at] != part[at].iloc[-1]).any(axis=1))
             stop = int(whole[-1]) + 1 if len(whole) else 0
             if stop:
-                yield from _compare(part[:stop], least)
+                yield from by_length(part[:stop])
             kept = [part[stop:].reset_index(drop=True)]
         if kept and sum(map(len, kept)):
-            yield from _compare(pd.concat(kept, ignore_index=True), least)
+            yield from by_length(pd.concat(kept, ignore_index=True))
 
     found = cut(cells.mapInPandas(compare, "a long, b long, n long"))
     n = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))

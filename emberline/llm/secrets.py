@@ -87,7 +87,8 @@ def word_dictionary(docs: DataFrame, text: str = "text", words: int = 20_000, le
                 if len(part) > 400_000:
                     yield pd.DataFrame({"word": list(part), "n": list(part.values())})
                     part = Counter()
-            yield pd.DataFrame({"word": list(part), "n": list(part.values())})
+            if part:
+                yield pd.DataFrame({"word": list(part), "n": list(part.values())})
 
     rows = docs.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(count, "word string, n long")
     rows = rows.withColumn("word", F.regexp_replace("word", r"^[\p{P}]+|[\p{P}]+$", "")).filter(F.col("word").rlike(r"^\p{L}{2,40}$"))
