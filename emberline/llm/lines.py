@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,22 +10,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import WordHash, cut, gram_hashes
+from emberline.llm.common import cut, gram_hashes
 
-_VARIABLE = re.compile(rb"[0-9]|\S@\S|://")
 _WILD = 0
+_TEXT_END = 0xFE  # a byte that no UTF-8 text holds
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32, _TEXT_END])
+_BYTE_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Tokens(WordHash):
-    """32-bit token hashes; tokens with digits, addresses and links are variable fields and all have the hash 0."""
+def _token_hashes(nb: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """32-bit hashes of words that lie in a row as bytes; words with digits, addresses and links are variable fields and all have the hash 0.
 
-    def __missing__(self, word: bytes) -> int:
-        if _VARIABLE.search(word):
-            return _WILD
-        return (super().__missing__(word) & 0xFFFFFFFE) + 1
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter((x & 0xFFFFFFFF for x in map(self.__getitem__, words)), np.uint32, len(words))
+    A word's hash is the sum of a fixed value for each byte times a power for its place, mixed at the end.
+    """
+    pos = np.arange(len(nb)) - np.repeat(start, size)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int(size.max()), _BASE), dtype=np.uint64)
+        h = np.add.reduceat(_BYTE_VALUES[nb] * power[pos], start)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    variable = (nb >= 48) & (nb <= 57) | (nb == 64) & (pos > 0) & (pos < np.repeat(size, size) - 1)
+    slashes = np.flatnonzero((nb[:-2] == 58) & (nb[1:-1] == 47) & (nb[2:] == 47)) if len(nb) > 2 else np.empty(0, np.int64)
+    variable[slashes[pos[slashes + 2] == pos[slashes] + 2]] = True
+    h = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    h[np.maximum.reduceat(variable.view(np.uint8), start) > 0] = _WILD
+    return h
 
 
 @dataclass(frozen=True)
@@ -42,20 +50,24 @@ class Lines:
     start: np.ndarray
 
 
-def masked_lines(texts: list[str | None], known: _Tokens, fewest: int, depth: int) -> Lines:
+def masked_lines(texts: list[str | None], fewest: int, depth: int) -> Lines:
     """Lines with at least ``fewest`` (1 or more) tokens; the leaf is the way down the tree: token count, then ``depth`` leading tokens."""
-    text, number, size, words = [], [], [], []
-    for k, t in enumerate(texts):
-        for n, x in enumerate(t.encode("utf-8", "replace").split(b"\n") if t else ()):
-            w = x.split()
-            if len(w) >= fewest:
-                text.append(k)
-                number.append(n)
-                size.append(len(w))
-                words += w
-    tokens = known.of(words)
-    size = np.array(size, np.int64)
-    start = np.cumsum(size) - size
+    buf = np.frombuffer(bytes([_TEXT_END]).join([t.encode("utf-8", "replace") if t else b"" for t in texts]), np.uint8)
+    space = _SPACE[buf]
+    at = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(buf) else np.zeros(0, np.int64)
+    width = np.flatnonzero(~space & np.r_[space[1:], True]) + 1 - at if len(at) else at
+    tokens = _token_hashes(buf[~space], np.cumsum(width) - width, width) if len(at) else np.zeros(0, np.uint32)
+    ends_text = buf == _TEXT_END
+    line_no, text_no = np.cumsum(ends_text | (buf == 10)), np.cumsum(ends_text)
+    first_line = np.r_[0, line_no[ends_text]]
+    line_no, text_no = line_no[at], text_no[at]
+    size = np.bincount(line_no) if len(line_no) else np.zeros(0, np.int64)
+    keep = (size >= fewest)[line_no]
+    tokens, line_no, text_no = tokens[keep], line_no[keep], text_no[keep]
+    start = np.flatnonzero(np.r_[True, line_no[1:] != line_no[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(tokens)])
+    text = text_no[start]
+    number = line_no[start] - first_line[text]
     with np.errstate(over="ignore"):
         spot = (np.arange(len(tokens), dtype=np.int64) - np.repeat(start, size) + 1).astype(np.uint64)
         x = (tokens + spot * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -68,10 +80,10 @@ def masked_lines(texts: list[str | None], known: _Tokens, fewest: int, depth: in
         there = size > d
         leaf[there, d + 1] = tokens[start[there] + d]
     leaf = gram_hashes(leaf.ravel(), depth + 1)[:: depth + 1]
-    return Lines(np.array(text, np.int64), np.array(number, np.int64), size, line.view(np.int64), leaf.view(np.int64), tokens, start)
+    return Lines(text, number, size, line.view(np.int64), leaf.view(np.int64), tokens, start)
 
 
-def _chunks(frames: Iterator[pd.DataFrame], chars: int = 16_000_000) -> Iterator[tuple[np.ndarray, list]]:
+def _chunks(frames: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[tuple[np.ndarray, list]]:
     """Keys and texts, about so many characters at a time."""
     for f in frames:
         ends = np.cumsum([len(t or "") for t in f["text"]]) // chars
@@ -117,9 +129,8 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     kind = dict(docs.dtypes)[key]
 
     def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Tokens()
         for keys, texts in _chunks(frames):
-            x = masked_lines(texts, known, fewest, depth)
+            x = masked_lines(texts, fewest, depth)
             doc = keys[x.text]
             order = np.lexsort((x.number, np.unique(doc, return_inverse=True)[1], x.line))
             first = np.flatnonzero(np.r_[True, np.diff(x.line[order]) != 0]) if len(order) else order
@@ -174,9 +185,8 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shar
     kind = dict(docs.dtypes)[key]
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Tokens()
         for keys, texts in _chunks(frames):
-            x = masked_lines(texts, known, fewest, depth)
+            x = masked_lines(texts, fewest, depth)
             yield pd.DataFrame({"line": x.line, "doc": keys[x.text], "number": x.number})
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
