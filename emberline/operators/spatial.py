@@ -82,8 +82,8 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, lat: str = "latitud
         found = F.when(F.col("_done") | F.col("_sites").isNull(), F.col("_n")).otherwise(ranked(F.col("_sites")))
         done = F.col("_done") | ((F.size("_n") == k) & (F.element_at("_n", -1)["distance_m"] <= _reach(y, x, cell)))
         out = out.withColumn("_n", found).withColumn("_done", F.coalesce(done, F.lit(False))).drop("_cy", "_cx", "_sites")
-    everything = site.groupBy(F.lit(0).alias("_all")).agg(F.collect_list("_s").alias("_sites"))
-    out = out.withColumn("_all", F.when(F.col("_done"), -1 - F.pmod(F.hash(lat, lon), F.lit(1_000_000))).otherwise(0)).join(everything, "_all", "left")
+    everything = site.groupBy().agg(F.collect_list("_s").alias("_sites")).filter(F.size("_sites") > 0).select("_sites", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_all"))
+    out = out.withColumn("_all", F.when(F.col("_done"), -1 - F.pmod(F.hash(lat, lon), F.lit(1_000_000))).otherwise(F.pmod(F.hash(lat, lon), F.lit(32)))).join(everything, "_all", "left")
     return out.withColumn(result, F.when(F.col("_done") | F.col("_sites").isNull(), F.col("_n")).otherwise(ranked(F.col("_sites")))).drop("_n", "_done", "_all", "_sites")
 
 
