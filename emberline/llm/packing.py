@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -16,8 +18,25 @@ from pyspark.sql.functions import pandas_udf
 from emberline.llm.common import cut
 
 #: Texts that hold one of these are tokenized whole: white space on which Python and the tokenizer differ, and the starts of special tokens.
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
-_REMEMBERED = 300_000
+_WHOLE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: A full stop or comma that ends a word is a token of its own, so it is set apart; fewer distinct words are left.
+_STOP = re.compile(r"([.,])(?<=[^\W_][.,])(?=\s|$)")
+#: Marks that may join an ASCII letter, and the capital that becomes a letter with one; texts with these stay as they are.
+_MARKS = re.compile("[\u0300-\u036f\u0130]")
+_REMEMBERED = 600_000
+#: Byte-level alphabet: bytes without a visible character of their own stand at 256 and above, in order.
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+
+
+def _plain(text: str) -> str:
+    """The text with the same tokens and fewer distinct words: ASCII capitals lowered, closing stops set apart."""
+    if text.isascii():
+        text = text.lower()
+    elif _MARKS.search(text):
+        return text
+    else:
+        text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return _STOP.sub(r" \1", text)
 
 
 @functools.cache
@@ -35,26 +54,41 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.merges = self.tokenizer.model
         self._empty()
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
+    def _word_ids(self, words: list[str]) -> list[list[int]]:
+        """Words of letters are one pre-token each and go to the merges at once, as bytes in the tokenizer's alphabet; other words take the whole way."""
+        out, others = [], []
+        for k, w in enumerate(words):
+            if not w.isalpha() or not w.isascii() and not ("\u0130" not in w and unicodedata.is_normalized("NFC", w)):
+                others.append(k)
+                out.append([])
+                continue
+            w = w.lower() if w.isascii() else "".join(map(str.lower, w)).encode("utf-8").decode("latin-1").translate(_BYTES)
+            out.append([t.id for t in self.merges.tokenize(w)])
+        for k, e in zip(others, self.tokenizer.encode_batch_fast([words[k] for k in others], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > _REMEMBERED:
             self._empty()
-        split = [None if _WHOLE.search(t) else t.split() for t in (t or "" for t in texts)]
-        new = list({w for words in split if words for w in words} - self.known.keys())
+        split = [None if any(x in t for x in _WHOLE) else _plain(t).split() for t in (t or "" for t in texts)]
+        new = list(set().union(*filter(None, split)) - self.known.keys())
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ids = self._word_ids(part)
             self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
-            self.flat = np.concatenate([self.flat, *ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32)])
         get, out = self.known.__getitem__, []
         for t, words in zip(texts, split, strict=True):
             if words is None:
