@@ -30,22 +30,22 @@ def match_images(events: DataFrame, catalogue: DataFrame, keys: tuple[str, ...]
 
     The event's day belongs to neither window.  Images of the event's tile in the window count; those with more cloud than allowed are
     rejected, unknown cloud is allowed; the nearest day wins, then less cloud (unknown last), then the later date, then the smaller id.  Both sides are
-    joined on tile and a block of days as long as the window, so a tile with a long history doesn't meet itself whole.
+    joined on tile and a block of days as long as the window, so a tile with a long history doesn't meet itself whole; events of one tile and day are matched once.
     """
     w, block = params.window_days, params.window_days + 1
     day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
-    ev = events.select("event_id", *keys, "acq_date").withColumn("_b", F.explode(F.array(*(F.floor(day("acq_date") / block) + d for d in (-1, 0, 1)))))
+    ev = events.select(*keys, "acq_date").distinct().withColumn("_b", F.explode(F.array(*(F.floor(day("acq_date") / block) + d for d in (-1, 0, 1)))))
     images = catalogue.select(*keys, "product_id", "image_date", "cloud_cover").withColumn("_b", F.floor(day("image_date") / block))
     pairs = ev.join(images, [*keys, "_b"]).withColumn("days", F.datediff("image_date", "acq_date"))
     pairs = pairs.filter((F.abs("days") >= 1) & (F.abs("days") <= w)).withColumn("timing", F.when(F.col("days") < 0, "pre").otherwise("post"))
     usable = F.coalesce(F.col("cloud_cover") <= params.max_cloud_pct, F.lit(True))
     rank = F.struct(F.abs("days").alias("a"), F.coalesce("cloud_cover", F.lit(999.0)).alias("c"), F.negative(day("image_date")).alias("d"), F.col("product_id").alias("i"))
-    best = pairs.groupBy("event_id", "timing").agg(
+    best = pairs.groupBy(*keys, "acq_date", "timing").agg(
         F.count("*").alias("candidates"), F.count_if(usable).alias("usable"), F.min("cloud_cover").alias("lowest_cloud"),
         F.min_by(F.struct("product_id", "image_date", "cloud_cover", "days"), F.when(usable, rank)).alias("p"),
     )
-    slots = events.select("event_id").withColumn("timing", F.explode(F.array(F.lit("pre"), F.lit("post"))))
-    out = slots.join(best, ["event_id", "timing"], "left").select("event_id", "timing", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("usable", F.lit(0)).alias("usable"), "lowest_cloud", "p.*")
+    slots = events.select("event_id", *keys, "acq_date").withColumn("timing", F.explode(F.array(F.lit("pre"), F.lit("post"))))
+    out = slots.join(best, [*keys, "acq_date", "timing"], "left").select("event_id", "timing", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("usable", F.lit(0)).alias("usable"), "lowest_cloud", "p.*")
     status = F.when(F.col("product_id").isNotNull(), "MATCHED").when(F.col("candidates") > 0, "CLOUD_REJECTED").otherwise("MISSING_PRODUCT")
     reason = (
         F.when(F.col("product_id").isNotNull(), F.concat(F.format_string("%+d days, cloud ", "days"), F.when(F.col("cloud_cover").isNull(), "unknown").otherwise(F.format_string("%.1f%%", "cloud_cover")), F.format_string(", 1 of %d usable", "usable")))
