@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import cut
 from emberline.llm.components import connected_components
 
-_BLOCK, _DENSE, _ROWS = 512, 64, 20_000
+_BLOCK, _DENSE, _ROWS, _CELLS = 512, 64, 20_000, 1_000_000
 
 
 @functools.lru_cache(maxsize=64)
@@ -25,30 +24,66 @@ def product_code(dims: int, codes: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(c / np.linalg.norm(c, axis=1, keepdims=True) for c in (first, second))
 
 
-def cap_threshold(dims: int, codes: int, expected: float) -> float:
-    """The cosine to a filter that a random vector exceeds for ``expected`` of the codes * codes filters."""
-    return NormalDist().inv_cdf(max(0.5, 1 - expected / codes**2)) / dims**0.5
+@functools.lru_cache(maxsize=64)
+def rotation(dims: int) -> np.ndarray:
+    """A fixed random orthogonal matrix, so that what a vector meets doesn't depend on the directions its table favours."""
+    return np.linalg.qr(np.random.default_rng(dims).normal(size=(dims, dims)))[0]
 
 
-def list_decode(x: np.ndarray, codes: int, expected: float) -> list[np.ndarray]:
-    """For each unit vector the sorted numbers of all filters whose cap holds it, or else of the nearest filter.
+def list_decode(x: np.ndarray, codes: int, k: int) -> np.ndarray:
+    """For each unit vector the sorted numbers of the ``k`` nearest filters (of all if there are fewer), one row each.
 
-    The second half's products are sorted once, so each code of the first half adds exactly the prefix that exceeds the rest of the threshold.
+    The i-th best code of one half and the j-th best of the other have i * j - 1 products before them at least, so only those with i * j <= k are added up.
     """
-    dims = x.shape[1]
-    first, second = product_code(dims, codes)
-    least = cap_threshold(dims, codes, expected) * 2**0.5
-    a, b = x[:, : first.shape[1]] @ first.T, (x[:, first.shape[1] :] if dims > 1 else np.zeros((len(x), 1))) @ second.T
-    order = np.argsort(-b, axis=1)
-    out = []
-    for u, v, o in zip(a, b, order, strict=True):
-        n = np.searchsorted(-v[o], u - least, "right")
-        hit = np.flatnonzero(n)
-        got = np.concatenate([i * codes + o[: n[i]] for i in hit]) if len(hit) else np.array([int(u.argmax()) * codes + o[0]])
-        out.append(np.sort(got))
+    first, second = product_code(x.shape[1], codes)
+    k, m = min(k, codes**2), min(k, codes)
+    i, j = np.divmod(np.arange(m * m), m)
+    i, j = i[(i + 1) * (j + 1) <= k], j[(i + 1) * (j + 1) <= k]
+    out = np.empty((len(x), k), np.int64)
+    step = max(1, _CELLS // codes)
+    for s in range(0, len(x), step):
+        y = x[s : s + step] @ rotation(x.shape[1])
+        halves = y[:, : first.shape[1]] @ first.T, (y[:, first.shape[1] :] if y.shape[1] > 1 else np.zeros((len(y), 1))) @ second.T
+        best = [np.argpartition(-h, m - 1, axis=1)[:, :m] for h in halves]
+        best = [np.take_along_axis(o, np.argsort(-np.take_along_axis(h, o, 1), axis=1, kind="stable"), 1) for h, o in zip(halves, best, strict=True)]
+        total = np.take_along_axis(halves[0], best[0], 1)[:, i] + np.take_along_axis(halves[1], best[1], 1)[:, j]
+        top = np.argpartition(-total, k - 1, axis=1)[:, :k]
+        out[s : s + step] = np.sort(np.take_along_axis(best[0], i[top], 1) * codes + np.take_along_axis(best[1], j[top], 1), axis=1)
     return out
 
 
+def pairs_at(dims: int, cosine: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors of that cosine (of equal vectors in one dimension)."""
+    r = np.random.default_rng(seed)
+    x, y = r.normal(size=(2, n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dims == 1:
+        return x, x
+    y -= (x * y).sum(1, keepdims=True) * x
+    return x, cosine * x + (1 - cosine**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def share_met(x: np.ndarray, y: np.ndarray, codes: int, k: int) -> float:
+    """The share of the pairs x[i], y[i] that have a filter in common."""
+    return float(np.mean([not set(a).isdisjoint(b) for a, b in zip(list_decode(x, codes, k).tolist(), list_decode(y, codes, k).tolist(), strict=True)]))
+
+
+@functools.lru_cache(maxsize=64)
+def filter_plan(dims: int, rows: int, least: float, recall: float) -> tuple[int, int]:
+    """(codes, k) for a table of ``rows`` vectors: about rows / 4 filters, and the shortest lists by which ``recall`` of random pairs at the least cosine meet.
+
+    Measured on seeded pairs.  Where lists of 64 don't reach it (few dimensions, low cosines), there are fewer filters; one filter holds all.
+    """
+    codes = max(64, int(rows**0.5 / 2) + 1)
+    x, y = pairs_at(dims, least, 2000, dims)
+    while codes > 1:
+        for k in (16, 20, 24, 32, 40, 48, 64):
+            if share_met(x, y, codes, k) >= recall:
+                return codes, k
+        codes = codes * 2 // 3
+    return 1, 1
+
+
 def _local_labels(links: np.ndarray) -> np.ndarray:
     """Smallest index reachable in a small boolean matrix of links."""
     label = np.arange(len(links))
@@ -102,12 +137,13 @@ def _compare(rows: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": np.r_[ids[a], ids[b]], "b": np.r_[ids[b], ids[a]], "n": np.r_[copies[b], copies[a]]})
 
 
-def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", expected: float = 24.0) -> DataFrame:
+def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 0.995) -> DataFrame:
     """(key, n_links, component_id, kept) of every row; rows link if their labels are equal and the cosine in double precision is ``least`` or more.
 
     Vectors that are null, empty or zero or hold a null or non-finite component, and those without a label, link with nothing; nor do vectors of
-    different lengths.  Equal vectors are compared once, with their number.  Each remaining vector goes to every filter whose cap holds it,
-    about ``expected``; the number of filters grows with the rows.  A filter with many vectors is split into blocks that meet pairwise.
+    different lengths.  Equal vectors are compared once, with their number.  Each remaining vector goes to its nearest filters; the number of filters
+    grows with the rows, and the lists with it so that a pair at the least cosine meets with a probability of ``recall`` at any number of rows, closer
+    pairs more surely.  A filter with many vectors is split into blocks that meet pairwise.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
     finite = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda c: c != 0), F.lit(False))
@@ -115,7 +151,7 @@ def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", v
     rows = cut(rows.withColumn("v", F.when(F.col("label").isNotNull(), F.col("v"))))
     linked = rows.filter("label is not null")
     copies = cut(linked.groupBy("label", "h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("v", "id").alias("v")))
-    codes = max(64, int(copies.count() ** 0.5 / 2) + 1)
+    distinct = copies.count()
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -123,7 +159,7 @@ def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", v
                 x = np.stack(part["v"].to_numpy())
                 x = x / np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"id": part["rep"], "label": part["label"], "copies": part["copies"], "dims": dims, "unit": list(x), "filters": [d.tolist() for d in list_decode(x, codes, expected)]})
+                yield pd.DataFrame({"id": part["rep"], "label": part["label"], "copies": part["copies"], "dims": dims, "unit": list(x), "filters": list(list_decode(x, *filter_plan(dims, distinct, least, recall)))})
 
     kind = dict(rows.dtypes)["label"]
     passed = cut(copies.select("rep", "label", "copies", "v").mapInPandas(decode, f"id long, label {kind}, copies long, dims int, unit array<double>, filters array<long>"))

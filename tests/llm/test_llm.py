@@ -321,6 +321,28 @@ def test_vector_links_match_brute_force(spark):
     assert got[5007].n_links == 1 and got[5008].component_id == 5007
 
 
+@pytest.mark.parametrize("rows", [2_000, 100_000, 2_500_000, 100_000_000])
+def test_vector_filters_meet_alike_at_every_size(rows):
+    from emberline.llm.embed import filter_plan, list_decode, pairs_at, share_met
+
+    codes, k = filter_plan(64, rows, 0.93, 0.995)
+    for cosine in (0.93, 0.94, 0.95):
+        assert share_met(*pairs_at(64, cosine, 1000, 77), codes, k) >= 0.985
+    x = pairs_at(64, 0.93, 5, 78)[0]
+    assert (np.diff(list_decode(x, codes, k), axis=1) > 0).all()
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3, 8])
+def test_vector_links_in_few_dimensions(spark, dims):
+    from emberline.llm.embed import vector_links
+
+    x = np.random.default_rng(dims).normal(size=(250, dims))
+    got = vector_links(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).agg({"n_links": "sum"}).first()[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.93).sum()) - len(x)
+    assert 0.97 * want <= got <= want
+
+
 # -------------------------------------------------------------------- op 10
 
 
