@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages they point at."""
+"""Benchmark decontamination: n-gram seeds, a count of the words in common, then Smith-Waterman alignment of the passages they point at."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import WordHash, cut, gram_hashes, lower_words
+from emberline.llm.common import WordHash, gram_hashes, lower_words
 
 _SCORE = 1 << 20  # alignments carry score * _SCORE + matched words in one number
 _PAD_ITEM, _PAD_TEXT = np.uint64(1), np.uint64(2)
@@ -41,6 +41,17 @@ def align(items: list[np.ndarray], texts: list[np.ndarray], match: int = 2, mism
     return score, best - score * _SCORE
 
 
+def fewest_matched(size: int, least: float) -> int:
+    """The fewest words of an item of ``size`` words that are ``least`` of it."""
+    return int(np.ceil(least * size - 1e-9))
+
+
+def seed_size(size: int, least: float, n: int) -> int:
+    """Words of a seed: the missing words cut the others into runs, and the longest run has so many at least (``n`` at most are needed)."""
+    have = fewest_matched(size, least)
+    return max(1, min(n, -(-have // (size - have + 1))))
+
+
 @dataclass(frozen=True)
 class ItemIndex:
     """Word hashes of a block of benchmark items and their n-grams, sorted: a seed is an n-gram with the items and places that hold it."""
@@ -51,24 +62,28 @@ class ItemIndex:
     first: np.ndarray  # into item and place, by gram
     item: np.ndarray
     place: np.ndarray
-    sizes: tuple[int, ...]  # lengths of n-grams; shorter than n only for items that are shorter themselves
+    sizes: tuple[int, ...]  # lengths of n-grams
+    bags: list[tuple[np.ndarray, np.ndarray]]  # distinct words of each item, sorted, with their numbers
 
     @classmethod
-    def of(cls, rows: list[tuple], n: int) -> ItemIndex:
+    def of(cls, rows: list[tuple], n: int, least: float) -> ItemIndex:
         known = WordHash()
         rows = [(i, known.of(w)) for i, t in rows if (w := lower_words(t))]
-        size = [min(n, len(w)) for _, w in rows]
+        size = [seed_size(len(w), least, n) for _, w in rows]
         each = [gram_hashes(w, s) for (_, w), s in zip(rows, size, strict=True)]
         flat = np.concatenate([*each, np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(rows)), [len(g) for g in each])
         place = np.concatenate([*(np.arange(len(g)) for g in each), np.empty(0, np.int64)])
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
-        return cls([i for i, _ in rows], [w for _, w in rows], grams, np.r_[first, len(flat)], item[order], place[order].astype(np.int64), tuple(sorted(set(size))))
+        return cls([i for i, _ in rows], [w for _, w in rows], grams, np.r_[first, len(flat)], item[order], place[order].astype(np.int64), tuple(sorted(set(size))), [np.unique(w, return_counts=True) for _, w in rows])
 
 
-def _passages(h: np.ndarray, index: ItemIndex, slack: int) -> Iterator[tuple[int, int, int, list[int]]]:
-    """(item, start, stop, seeds) of a text's passages that hold n-grams of an item, neighbouring hits along a diagonal taken together."""
+def _passages(h: np.ndarray, index: ItemIndex, least: float) -> Iterator[tuple[int, int, int]]:
+    """(item, start, stop) of a text's passages that hold a seed of an item and enough of its words, neighbouring seeds along a diagonal taken together.
+
+    A passage reaches twice the item's length beyond its seeds: an alignment spends more on extra words beyond that than its matches give.
+    """
     seeds, at = [], []
     for n in index.sizes:
         g = gram_hashes(h, n)
@@ -81,23 +96,30 @@ def _passages(h: np.ndarray, index: ItemIndex, slack: int) -> Iterator[tuple[int
         return
     many = index.first[seeds + 1] - index.first[seeds]
     own = np.repeat(index.first[seeds] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    item, diagonal, seed = index.item[own], np.repeat(at, many) - index.place[own], np.repeat(seeds, many)
+    item, diagonal = index.item[own], np.repeat(at, many) - index.place[own]
     order = np.lexsort((diagonal, item))
-    item, diagonal, seed = item[order], diagonal[order], seed[order]
-    new = np.r_[True, (item[1:] != item[:-1]) | (np.diff(diagonal) > slack), True]
+    item, diagonal = item[order], diagonal[order]
+    lengths = np.array([len(index.words[i]) for i in item])
+    new = np.r_[True, (item[1:] != item[:-1]) | (np.diff(diagonal) > 2 * lengths[1:]), True]
     for a, b in zip(edges := np.flatnonzero(new), edges[1:], strict=False):
-        size = len(index.words[item[a]])
-        yield int(item[a]), max(0, int(diagonal[a]) - slack), int(diagonal[b - 1]) + size + slack, np.unique(seed[a:b]).tolist()
+        i, size = int(item[a]), int(lengths[a])
+        start, stop = max(0, int(diagonal[a]) - 2 * size), int(diagonal[b - 1]) + 3 * size
+        words, times = index.bags[i]
+        k = np.minimum(np.searchsorted(words, h[start:stop]), len(words) - 1)
+        both = np.bincount(k[words[k] == h[start:stop]], minlength=len(words))
+        if np.minimum(both, times).sum() >= fewest_matched(size, least):
+            yield i, start, stop
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 4, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = 1_000_000) -> DataFrame:
     """(key, item_key, similarity, matched, score, start_word, end_word) of documents that hold an exact, edited or paraphrased copy of a benchmark item.
 
     Similarity is the share of the item's words that the best local alignment matches; rows have ``least`` or more, the best passage of each pair.
-    Seeds are the items' n-grams.  Their frequency in all of ``docs`` is counted first; an item keeps seeds that are rare beside its
-    others (up to eight times the median of those that occur, so at least half stay), and only passages with such a seed are aligned.  The items go to the tasks in blocks of
-    about ``block_words`` words, so a larger benchmark costs more scans and no more memory.  Items of fewer than n words are one seed as a whole; items and
-    texts that are null or without words match nothing.  Repeated keys are handled as one document each.
+    Seeds are runs of up to ``n`` of an item's words, shorter for short items: if the words that are missing and the places where a document adds words
+    are no more than the words that may be missing, one run stays whole, however often it occurs.  Passages with a seed are aligned if they hold
+    ``least`` of the item's words in any order, equal ones in a batch once.  The items go to the tasks in blocks of about ``block_words`` words, so a
+    larger benchmark costs more scans and no more memory.  Items and texts that are null or without words match nothing.  Repeated keys are
+    handled as one document each.
     """
     items = benchmark.select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).filter("t is not null and i is not null")
     words = items.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0)).alias("n")).first()["n"]
@@ -106,7 +128,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: i
     found = None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = ItemIndex.of(sorted(((r["i"], r["t"]) for r in rows.collect()), key=lambda r: (str(r[0]), r[1])), n)
+        index = ItemIndex.of(sorted(((r["i"], r["t"]) for r in rows.collect()), key=lambda r: (str(r[0]), r[1])), n, least)
         if not len(index.grams):
             continue
         one = _block_matches(docs, index, least, key, text, item_key, kinds)
@@ -118,45 +140,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: i
 
 
 def _block_matches(docs: DataFrame, index: ItemIndex, least: float, key: str, text: str, item_key: str, kinds: dict[str, str]) -> DataFrame:
-    slack = max(4, max(map(len, index.words)) // 4)
-
-    def seek(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["key", "item", "similarity", "matched", "score", "start_word", "end_word"]
+
+    def verify(rows: list[tuple]) -> pd.DataFrame:
+        """Output rows for (key, item, start, passage) rows."""
+        distinct = {(i, p): 0 for _, i, _, p in rows}
+        pairs = sorted(distinct, key=lambda x: len(index.words[x[0]]) + len(x[1]) // 8)
+        texts = [np.frombuffer(p, np.uint64) for _, p in pairs]
+        a = 0
+        while a < len(pairs):  # passages of like length, about a million cells of a row at once at most
+            b = min(len(pairs), a + 2000)
+            while b > a + 1 and (b - a) * (len(index.words[pairs[b - 1][0]]) + len(texts[b - 1])) > 1_000_000:
+                b = (a + b + 1) // 2
+            score, matched = align([index.words[i] for i, _ in pairs[a:b]], texts[a:b])
+            distinct.update(zip(pairs[a:b], zip(score.tolist(), matched.tolist(), strict=True), strict=True))
+            a = b
+        out = []
+        for k, i, start, p in rows:
+            score, matched = distinct[i, p]
+            size = len(index.words[i])
+            if matched >= fewest_matched(size, least):
+                out.append((k, index.ids[i], matched / size, matched, score, start, start + len(p) // 8))
+        return pd.DataFrame(out, columns=names)
+
+    def match(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHash()
         for f in frames:
-            out = []
+            rows, cells = [], 0
             for k, t in zip(f["key"], f["text"], strict=True):
                 if len(h := known.of(lower_words(t))):
-                    out += [(k, item, start, h[start:stop].tobytes(), seeds) for item, start, stop, seeds in _passages(h, index, slack)]
-            yield pd.DataFrame(out, columns=["key", "item", "start", "passage", "seeds"])
+                    for i, start, stop in _passages(h, index, least):
+                        rows.append((k, i, start, h[start:stop].tobytes()))
+                        cells += len(rows[-1][3])
+                    if cells > 16_000_000:
+                        yield verify(rows)
+                        rows, cells = [], 0
+            yield verify(rows)
 
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null")
-    hits = cut(source.mapInPandas(seek, f"key {kinds[key]}, item int, start int, passage binary, seeds array<int>"))
-    frequency = np.zeros(len(index.grams), np.int64)
-    for r in hits.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect():
-        frequency[r["s"]] = r["n"]
-    seed_of = np.repeat(np.arange(len(index.grams)), np.diff(index.first))
-    seen = frequency[seed_of] > 0  # seeds that no document holds say nothing on what is usual
-    usual = pd.Series(frequency[seed_of][seen]).groupby(index.item[seen]).median().reindex(range(len(index.ids)), fill_value=0).to_numpy()
-    order = np.argsort(index.item, kind="stable")
-    edges = np.searchsorted(index.item[order], np.arange(len(index.ids) + 1))
-    rare = [set(seed_of[order[a:b]][frequency[seed_of[order[a:b]]] <= 8 * u].tolist()) for a, b, u in zip(edges[:-1], edges[1:], usual, strict=True)]
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f = f[[not rare[i].isdisjoint(s) for i, s in zip(f["item"], f["seeds"], strict=True)]]
-            texts = [np.frombuffer(p, np.uint64) for p in f["passage"]]
-            f = f.assign(cells=[len(index.words[i]) + len(t) for i, t in zip(f["item"], texts, strict=True)], at=range(len(f))).sort_values("cells")
-            a = 0
-            while a < len(f):  # passages of like length, about 8 million cells of a row at once at most
-                b = min(len(f), a + 2000)
-                while b > a + 1 and (b - a) * int(f["cells"].iloc[b - 1]) > 1_000_000:
-                    b = (a + b + 1) // 2
-                part = f[a:b]
-                score, matched = align([index.words[i] for i in part["item"]], [texts[k] for k in part["at"]])
-                size = np.array([len(index.words[i]) for i in part["item"]])
-                ok = matched >= least * size - 1e-9
-                yield pd.DataFrame({"key": part["key"], "item": [index.ids[i] for i in part["item"]], "similarity": matched / size, "matched": matched, "score": score, "start_word": part["start"], "end_word": part["start"] + [len(texts[k]) for k in part["at"]]})[ok]
-                a = b
-
-    out = hits.mapInPandas(verify, f"key {kinds[key]}, item {kinds['item']}, similarity double, matched int, score int, start_word int, end_word int")
+    out = source.mapInPandas(match, f"key {kinds[key]}, item {kinds['item']}, similarity double, matched int, score int, start_word int, end_word int")
     return out.withColumnsRenamed({"key": key, "item": item_key})

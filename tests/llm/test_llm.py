@@ -92,6 +92,29 @@ def test_contaminated_finds_copies_and_edits_only(spark):
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_contaminated_finds_frequent_edits_and_short_runs(spark):
+    from emberline.llm.decontam import align, contaminated
+
+    r = random.Random(12)
+    filler = lambda n: " ".join(f"f{r.randrange(5000)}" for _ in range(n))
+    items = [" ".join(f"w{100 * i + j}" for j in range(n)) for i, n in enumerate((40, 40, 15, 10, 5, 40))]
+    edited = items[0].split()
+    edited[5] = edited[15] = edited[25] = edited[35] = "x"
+    rows = [(0, filler(30) + " " + items[0])] + [(i, filler(30) + " " + " ".join(edited) + " " + filler(9)) for i in range(1, 300)]
+    fifth = lambda t: " ".join("y" if k % 5 == 4 else w for k, w in enumerate(t.split()))
+    rows += [(1000 + i, filler(20) + " " + fifth(t) + " " + filler(20)) for i, t in enumerate(items)]
+    half = items[5].split()
+    rows += [(2000, " ".join(half[:20]) + " " + filler(30) + " " + " ".join(half[20:])), (2001, fifth(fifth(items[1]).replace("y", "y y")))]
+    rows += [(3000 + i, filler(20) + " " + " ".join("y" if k in gone else w for k, w in enumerate(items[i % 6].split())) + " " + filler(20)) for i in range(60) for gone in [set(r.sample(range(40), 8))]]
+    h = lambda t: np.array([xxhash.xxh64_intdigest(w) for w in t.encode().split()], np.uint64)
+    pairs = [(d, i, h(t), h(u)) for d, t in rows for i, u in enumerate(items)]
+    matched = align([p[3] for p in pairs], [p[2] for p in pairs])[1]
+    want = {(d, i) for (d, i, _, u), m in zip(pairs, matched, strict=True) if m >= 0.8 * len(u) - 1e-9}
+    assert {(i, 0) for i in range(300)} | {(1000 + i, i) for i in range(6)} | {(2000, 5)} <= want
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in contaminated(docs, bench).collect()} == want
+
+
 # --------------------------------------------------------------------- op 2
 
 
