@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberline.llm.common import cut
 from emberline.llm.components import connected_components
 
-_BLOCK, _DENSE, _ROWS, _CELLS = 512, 64, 20_000, 1_000_000
+_BLOCK, _ROWS, _CELLS = 512, 20_000, 1_000_000
 
 
 @functools.lru_cache(maxsize=64)
@@ -70,14 +70,14 @@ def share_met(x: np.ndarray, y: np.ndarray, codes: int, k: int) -> float:
 
 @functools.lru_cache(maxsize=64)
 def filter_plan(dims: int, rows: int, least: float, recall: float) -> tuple[int, int]:
-    """(codes, k) for a table of ``rows`` vectors: about rows / 4 filters, and the shortest lists by which ``recall`` of random pairs at the least cosine meet.
+    """(codes, k) for a table of ``rows`` vectors: about rows / 16 filters, and the shortest lists by which ``recall`` of random pairs at the least cosine meet.
 
     Measured on seeded pairs.  Where lists of 64 don't reach it (few dimensions, low cosines), there are fewer filters; one filter holds all.
     """
-    codes = max(64, int(rows**0.5 / 2) + 1)
+    codes = max(32, int(rows**0.5 / 4) + 1)
     x, y = pairs_at(dims, least, 2000, dims)
     while codes > 1:
-        for k in (16, 20, 24, 32, 40, 48, 64):
+        for k in (6, 8, 10, 12, 16, 20, 24, 32, 40, 48, 64):
             if share_met(x, y, codes, k) >= recall:
                 return codes, k
         codes = codes * 2 // 3
@@ -95,80 +95,75 @@ def _local_labels(links: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    x = vectors / np.abs(vectors).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _compare(rows: pd.DataFrame, least: float) -> Iterator[pd.DataFrame]:
-    """Links within each group of sorted rows; a pair counts in the first filter that both pass only."""
-    x = np.stack(rows["unit"].to_numpy())
-    ids, copies, cell = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["cell"].to_numpy()
-    slot, one, filters = rows["slot"].to_numpy(), (rows["p"] == rows["q"]).to_numpy(), rows["filters"].to_numpy()
-    group = np.cumsum(np.r_[True, (rows[["label", "dims", "cell", "p", "q"]].to_numpy()[1:] != rows[["label", "dims", "cell", "p", "q"]].to_numpy()[:-1]).any(1)]) - 1
-    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-    size = np.diff(edges)[group]
+    """Links within each group of sorted rows of one length; a pair counts in the first filter that both pass only."""
+    x = _unit(np.stack(rows["v"].to_numpy()).astype(np.float64))
+    node, copies, cell = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["cell"].to_numpy()
+    slot, one, filters = rows["slot"].to_numpy(), (rows["p"] == rows["q"]).to_numpy(), np.stack(rows["filters"].to_numpy())
+    filters = np.where(filters < cell[:, None], filters, -1)  # those before the group's own
+    change = np.zeros(len(rows), bool)
+    for c in ("label", "cell", "p", "q"):
+        v = rows[c].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    edges = np.r_[0, np.flatnonzero(change), len(rows)]
     for s, e in zip(edges[:-1], edges[1:], strict=True):
-        if e - s < _DENSE:
+        if e - s < 2:
             continue
-        earlier = {f: k for k, f in enumerate(np.unique(np.concatenate([f[: np.searchsorted(f, cell[s])] for f in filters[s:e]])))}
-        held = np.zeros((e - s, len(earlier) + 1), np.float32)
-        for k, f in enumerate(filters[s:e]):
-            held[k, [earlier[v] for v in f[: np.searchsorted(f, cell[s])]]] = 1
-        links = (x[s:e] @ x[s:e].T >= least) & (held @ held.T == 0)
+        links = x[s:e] @ x[s:e].T >= least
         np.fill_diagonal(links, False)
         if not one[s]:
             links &= slot[s:e, None] != slot[None, s:e]
-        yield pd.DataFrame({"a": ids[s:e], "b": ids[s:e][_local_labels(links)], "n": links @ copies[s:e]})
-    small = np.flatnonzero((size > 1) & (size < _DENSE))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for d in range(1, int(size[small].max()) if len(small) else 0):
-        i = small[(small + d < len(group))]
-        i = i[(group[i + d] == group[i]) & (one[i] | (slot[i] != slot[np.minimum(i + d, len(slot) - 1)]))]
-        i = i[np.einsum("ij,ij->i", x[i], x[i + d]) >= least]
-        a.append(i)
-        b.append(i + d)
-    a, b = np.concatenate(a), np.concatenate(b)
-    if len(a):
-        padded = np.full((len(x), max(map(len, filters))), -1, np.int64)
-        for k in np.unique(np.r_[a, b]):
-            f = filters[k][: np.searchsorted(filters[k], cell[k])]
-            padded[k, : len(f)] = f
-        fresh = np.ones(len(a), bool)
-        for s in range(0, len(a), 2000):
-            u, v = padded[a[s : s + 2000]], padded[b[s : s + 2000]]
-            fresh[s : s + 2000] = ~((u[:, :, None] == v[:, None, :]) & (u[:, :, None] >= 0)).any((1, 2))
-        a, b = a[fresh], b[fresh]
-        yield pd.DataFrame({"a": np.r_[ids[a], ids[b]], "b": np.r_[ids[b], ids[a]], "n": np.r_[copies[b], copies[a]]})
-
-
-def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 0.995) -> DataFrame:
+        linked = np.flatnonzero(links.any(1))
+        if not len(linked):
+            continue
+        links, f = links[np.ix_(linked, linked)], filters[s:e][linked]
+        earlier, at = np.unique(f, return_inverse=True)
+        held = np.zeros((len(f), len(earlier)), np.float32)
+        held[np.arange(len(f))[:, None], at.reshape(f.shape)] = 1
+        held[:, earlier < 0] = 0
+        links &= held @ held.T == 0
+        linked = linked + s
+        yield pd.DataFrame({"a": node[linked], "b": node[linked][_local_labels(links)], "n": links @ copies[linked]})
+
+
+def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", recall: float = 0.98) -> DataFrame:
     """(key, n_links, component_id, kept) of every row; rows link if their labels are equal and the cosine in double precision is ``least`` or more.
 
     Vectors that are null, empty or zero or hold a null or non-finite component, and those without a label, link with nothing; nor do vectors of
-    different lengths.  Equal vectors are compared once, with their number.  Each remaining vector goes to its nearest filters; the number of filters
+    different lengths.  Repeated keys are vectors of their own; a null key counts as a vector but never as a component's smallest key unless
+    all its keys are null.  Equal vectors are compared once, with their number.  Each remaining vector goes to its nearest filters; the number of filters
     grows with the rows, and the lists with it so that a pair at the least cosine meets with a probability of ``recall`` at any number of rows, closer
     pairs more surely.  A filter with many vectors is split into blocks that meet pairwise.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("label"))
+    item = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{item}>").alias("v"), F.col(label).alias("label"))
     finite = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda c: c != 0), F.lit(False))
     rows = rows.withColumn("label", F.when(finite, F.col("label"))).withColumns({"h": F.xxhash64("v"), "g": F.hash("v")})
     rows = cut(rows.withColumn("v", F.when(F.col("label").isNotNull(), F.col("v"))))
     linked = rows.filter("label is not null")
-    copies = cut(linked.groupBy("label", "h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min_by("v", "id").alias("v")))
+    copies = linked.groupBy("label", "h", "g").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    copies = cut(copies.withColumn("node", F.monotonically_increasing_id()))
     distinct = copies.count()
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for dims, part in f.groupby(f["v"].map(len)):
-                x = np.stack(part["v"].to_numpy())
-                x = x / np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"id": part["rep"], "label": part["label"], "copies": part["copies"], "dims": dims, "unit": list(x), "filters": list(list_decode(x, *filter_plan(dims, distinct, least, recall)))})
+                x = _unit(np.stack(part["v"].to_numpy()).astype(np.float64))
+                yield pd.DataFrame({"node": part["node"], "label": part["label"], "copies": part["copies"], "dims": dims, "v": part["v"], "filters": list(list_decode(x, *filter_plan(dims, distinct, least, recall)))})
 
     kind = dict(rows.dtypes)["label"]
-    passed = cut(copies.select("rep", "label", "copies", "v").mapInPandas(decode, f"id long, label {kind}, copies long, dims int, unit array<double>, filters array<long>"))
-    cells = passed.select("*", F.explode("filters").alias("cell"))
+    passed = cut(copies.select("node", "label", "copies", "v").mapInPandas(decode, f"node long, label {kind}, copies long, dims int, v array<{item}>, filters array<long>"))
+    cells = passed.select("node", "label", "dims", F.explode("filters").alias("cell"))
     sizes = cells.groupBy("label", "dims", "cell").agg(F.ceil(F.count("*") / F.lit(_BLOCK)).cast("int").alias("blocks"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    cells = cells.join(sizes, ["label", "dims", "cell"]).withColumn("slot", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    cells = cells.join(sizes, ["label", "dims", "cell"]).withColumn("slot", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     cells = cells.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"p": F.least("slot", "other"), "q": F.greatest("slot", "other")})
     at = ["label", "dims", "cell", "p", "q"]
-    cells = cells.select(*at, "slot", "id", "copies", "unit", "filters").repartition(*at).sortWithinPartitions(*at, "id")
+    cells = cells.select("node", *at, "slot").join(passed.select("node", "copies", "v", "filters"), "node").repartition(*at).sortWithinPartitions(*at, "node")
 
     def by_length(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
         for _, same in part.groupby("dims", sort=False):
@@ -190,10 +185,11 @@ def vector_links(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", v
             yield from by_length(pd.concat(kept, ignore_index=True))
 
     found = cut(cells.mapInPandas(compare, "a long, b long, n long"))
-    n = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    tops = connected_components(found.select("a", "b")).select(F.col("node").alias("rep"), "component")
-    reps = copies.select("label", "h", "g", "rep", "copies").join(n, "rep", "left").join(tops, "rep", "left")
-    reps = reps.select("label", "h", "g", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
+    n = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    tops = connected_components(found.select("a", "b")).withColumnRenamed("component", "top")
+    reps = copies.drop("v").join(n, "node", "left").join(tops, "node", "left").withColumn("top", F.coalesce("top", "node"))
+    smallest = reps.groupBy("top").agg(F.min("rep").alias("component"))
+    reps = reps.join(smallest, "top").select("label", "h", "g", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), "component")
     out = rows.drop("v").join(reps, ["label", "h", "g"], "left")
     out = out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
