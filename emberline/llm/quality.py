@@ -24,11 +24,13 @@ class _Shapes(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         shape, last = 0, ""
-        for c in word[:200]:
+        for c in word:
             k = _CLASSES.get(c) or ("a" if c.islower() else "A" if c.isupper() else c)
             if k != last:
                 shape, last = (shape * 1_000_003 + ord(k)) & 0xFFFFFFFF, k
-        n = self[word] = ((shape * 0x9E3779B1) & 0xFFFFFFFF) >> 25
+        n = ((shape * 0x9E3779B1) & 0xFFFFFFFF) >> 25
+        if len(word) <= 200:  # longer ones are worked out each time instead of being remembered
+            self[word] = n
         return n
 
 
@@ -97,9 +99,10 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = 15_000) -> PuModel:
     """Learn from ``docs`` (the rows to learn from) and ``labels`` of them; both hold ``key``.
 
-    Trusted positives are rows with label 1, the unlabelled set is drawn from all of ``docs``; each is a sample of about ``sample`` rows, picked by a
-    hash of the key.  The class prior is the share of label 1 among the given labels.  Null labels are ignored; with no positive the
-    model gives 0.5 to everything.  Several labels of one key count once, the highest winning.
+    Trusted positives are rows with label 1, the unlabelled set is drawn from all of ``docs``; each is a random sample of about ``sample`` rows, drawn row by
+    row, so copies and repeated keys don't come all or none.  The class prior is the share of label 1 among the given labels, which estimates that of the
+    pool if labelled rows are a fair draw from it.  Null labels and keys are ignored; with no positive the model gives 0.5 to everything.
+    Several labels of one key count once, the highest winning.
     """
     labels = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).alias("y"))
     known = labels.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
@@ -107,10 +110,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     width = 2 * _SHAPES + 15
     if not known["p"] or not rows:
         return PuModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    at_most = lambda n: F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < min(1.0, sample / n) * 1_000_000
-    trusted = labels.filter("y = 1").filter(at_most(known["p"])).select("key", F.lit(True).alias("trusted"))  # bounded by ``sample``
+    trusted = labels.filter("y = 1").filter(F.rand(11) < sample / known["p"]).select("key", F.lit(True).alias("trusted"))  # about ``sample`` rows
     x = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(trusted), "key", "left")
-    x = x.withColumns({"drawn": F.coalesce(at_most(rows), F.lit(False)), "trusted": F.coalesce("trusted", F.lit(False))}).filter("trusted or drawn")
+    x = x.withColumns({"drawn": F.rand(12) < sample / rows, "trusted": F.coalesce("trusted", F.lit(False))}).filter("trusted or drawn")
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shapes = _Shapes()
@@ -118,6 +120,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
             yield pd.DataFrame({"trusted": f["trusted"], "drawn": f["drawn"], "x": [text_features(t, shapes).tolist() for t in f["text"]]})
 
     drawn = cut(x.mapInPandas(features, "trusted boolean, drawn boolean, x array<float>"))
+    if (n := drawn.count()) > 3 * sample:  # keys that many documents share
+        drawn = drawn.filter(F.rand(13) < 2 * sample / n)
     prior = min(0.99, max(0.01, known["p"] / known["n"]))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -139,7 +143,7 @@ def quality_score(model: PuModel, text: Column) -> Column:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shapes = _Shapes()
         for s in texts:
-            out = [model.score(np.clip((text_features(t, shapes) - model.mean) / model.scale, -8, 8) * model.scale + model.mean) for t in s]
-            yield pd.Series(np.array(out, float))
+            x = np.stack([text_features(t, shapes) for t in s]).astype(np.float64) if len(s) else np.zeros((0, len(model.mean)))
+            yield pd.Series(model.score(np.clip((x - model.mean) / model.scale, -8, 8) * model.scale + model.mean))
 
     return score(text)
