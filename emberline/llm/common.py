@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the cluster names, or one of our own where nothing is set (tests)."""
+    """The folder that driver and executors share: what the cluster names, or one of our own where nothing is set and all runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", "") or _OWN.get(spark.sparkContext.applicationId)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return named.rstrip("/")
 
@@ -34,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, or it with underscores before it where ``df`` has such a column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
 class WordHash(dict):
     """XXH64 of a word's bytes, remembered up to a bound."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import cut, gram_hashes
+from emberline.llm.common import cut, free_name, gram_hashes
 
 _WILD = 0
 _TEXT_END = 0xFE  # a byte that no UTF-8 text holds
@@ -19,8 +20,8 @@ _BYTE_VALUES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) |
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _token_hashes(nb: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """32-bit hashes of words that lie in a row as bytes; words with digits, addresses and links are variable fields and all have the hash 0.
+def _token_hashes(nb: np.ndarray, start: np.ndarray, size: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """32-bit hashes of words that lie in a row as bytes; words with digits, addresses and links are variable fields and all have the hash 0, but for ``whole`` ones.
 
     A word's hash is the sum of a fixed value for each byte times a power for its place, mixed at the end.
     """
@@ -33,13 +34,13 @@ def _token_hashes(nb: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
     slashes = np.flatnonzero((nb[:-2] == 58) & (nb[1:-1] == 47) & (nb[2:] == 47)) if len(nb) > 2 else np.empty(0, np.int64)
     variable[slashes[pos[slashes + 2] == pos[slashes] + 2]] = True
     h = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    h[np.maximum.reduceat(variable.view(np.uint8), start) > 0] = _WILD
+    h[(np.maximum.reduceat(variable.view(np.uint8), start) > 0) & ~whole] = _WILD
     return h
 
 
 @dataclass(frozen=True)
 class Lines:
-    """The lines of some texts: text and line numbers, token counts, hashes of the masked line and of its leaf, and all token hashes in a row."""
+    """The lines of some texts: text and line numbers, token counts, hashes of the masked line and of its leaf, all token hashes in a row, and the tokens that a leaf's lines share."""
 
     text: np.ndarray
     number: np.ndarray
@@ -48,39 +49,45 @@ class Lines:
     leaf: np.ndarray
     tokens: np.ndarray
     start: np.ndarray
+    prefix: np.ndarray
 
 
-def masked_lines(texts: list[str | None], fewest: int, depth: int) -> Lines:
-    """Lines with at least ``fewest`` (1 or more) tokens; the leaf is the way down the tree: token count, then ``depth`` leading tokens."""
+def masked_lines(texts: list[str | None], depth: int, exact: int = 3) -> Lines:
+    """All lines with a token.  Lines of ``exact`` tokens or fewer have no variable fields.
+
+    The leaf is the way down the tree: the token count, then place and hash of the first ``depth`` tokens that aren't variable, so that lines which
+    begin with numbers don't all meet.
+    """
     buf = np.frombuffer(bytes([_TEXT_END]).join([t.encode("utf-8", "replace") if t else b"" for t in texts]), np.uint8)
     space = _SPACE[buf]
     at = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(buf) else np.zeros(0, np.int64)
     width = np.flatnonzero(~space & np.r_[space[1:], True]) + 1 - at if len(at) else at
-    tokens = _token_hashes(buf[~space], np.cumsum(width) - width, width) if len(at) else np.zeros(0, np.uint32)
     ends_text = buf == _TEXT_END
     line_no, text_no = np.cumsum(ends_text | (buf == 10)), np.cumsum(ends_text)
     first_line = np.r_[0, line_no[ends_text]]
     line_no, text_no = line_no[at], text_no[at]
-    size = np.bincount(line_no) if len(line_no) else np.zeros(0, np.int64)
-    keep = (size >= fewest)[line_no]
-    tokens, line_no, text_no = tokens[keep], line_no[keep], text_no[keep]
-    start = np.flatnonzero(np.r_[True, line_no[1:] != line_no[:-1]]) if len(tokens) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(tokens)])
+    start = np.flatnonzero(np.r_[True, line_no[1:] != line_no[:-1]]) if len(at) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[start, len(at)])
+    tokens = _token_hashes(buf[~space], np.cumsum(width) - width, width, np.repeat(size <= exact, size)) if len(at) else np.zeros(0, np.uint32)
     text = text_no[start]
     number = line_no[start] - first_line[text]
+    place = np.arange(len(tokens), dtype=np.int64) - np.repeat(start, size)
     with np.errstate(over="ignore"):
-        spot = (np.arange(len(tokens), dtype=np.int64) - np.repeat(start, size) + 1).astype(np.uint64)
-        x = (tokens + spot * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (tokens + (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
         x ^= x >> np.uint64(32)
     line = np.add.reduceat(x, start) if len(start) else np.empty(0, np.uint64)
+    fixed = np.flatnonzero(tokens != _WILD)
+    owner = np.repeat(np.arange(len(size)), size)[fixed]
+    turn = np.arange(len(fixed)) - np.searchsorted(owner, np.arange(len(size)))[owner] if len(fixed) else fixed
     leaf = np.zeros((len(size), depth + 1), np.uint64)
     leaf[:, 0] = size
-    for d in range(depth):
-        there = size > d
-        leaf[there, d + 1] = tokens[start[there] + d]
+    first = fixed[turn < depth]
+    leaf[owner[turn < depth], turn[turn < depth] + 1] = x[first]
+    prefix = np.zeros(len(size), np.int64)  # tokens that all lines of the leaf have alike
+    np.maximum.at(prefix, owner[turn < depth], place[first] + 1)
     leaf = gram_hashes(leaf.ravel(), depth + 1)[:: depth + 1]
-    return Lines(text, number, size, line.view(np.int64), leaf.view(np.int64), tokens, start)
+    return Lines(text, number, size, line.view(np.int64), leaf.view(np.int64), tokens, start, prefix)
 
 
 def _chunks(frames: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[tuple[np.ndarray, list]]:
@@ -94,18 +101,22 @@ def _chunks(frames: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[
 class _Leaf:
     """Templates of one leaf.  Lines come as token hashes; a template is a line's tokens with 0 where members differ.
 
-    Templates are found by blocks: lines that differ in at most k tokens share one of k + 1 blocks, so each block of a line is looked up.
+    Templates are found by blocks: lines that differ in at most k tokens share one of k + 1 blocks of what follows the leaf's common start, so each block
+    of a line is looked up.
     """
 
-    def __init__(self, size: int, share: float):
+    def __init__(self, size: int, prefix: int, share: float):
         self.most = size - int(np.ceil(share * size - 1e-9))
-        self.cuts = np.linspace(0, size, self.most + 2).astype(int)
+        self.cuts = np.linspace(min(prefix, size), size, self.most + 2).astype(int)
         self.by_block: dict[tuple[int, bytes], list[int]] = {}
         self.templates: list[np.ndarray] = []
 
     def take(self, tokens: np.ndarray) -> int:
         blocks = [(k, tokens[a:b].tobytes()) for k, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True))]
-        near = sorted({t for x in blocks for t in self.by_block.get(x, ())})
+        if len(blocks) > 1 and self.templates and not all(b for _, b in blocks):  # fewer tokens follow than may differ: all lines of the leaf fit
+            near = [0]
+        else:
+            near = sorted({t for x in blocks for t in self.by_block.get(x, ())})
         if near:
             same = (np.stack([self.templates[t] for t in near]) == tokens).sum(1)
             best = int(np.argmax(same))
@@ -119,18 +130,59 @@ class _Leaf:
         return len(self.templates) - 1
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float = 0.8, depth: int = 3, fewest: int = 4) -> DataFrame:
+class _Tree:
+    """Leaves one after another, from rows sorted by leaf, line, document and number; of a leaf's lines only hash and template are kept."""
+
+    def __init__(self, share: float):
+        self.share, self.leaf, self.line = share, None, None
+
+    def close(self) -> Iterator[tuple]:
+        """The recurring lines of the leaf that ends: (line, template, first document, line number there)."""
+        if self.leaf is not None:
+            self._place()
+            for line, t in zip(self.lines, self.of, strict=True):
+                first, last = self.span[t]
+                if first[0] != last:
+                    yield line, self.named[t], *first
+
+    def _place(self) -> None:
+        if self.line is not None:
+            line, tokens, first, last = self.line
+            t = self.templates.take(np.frombuffer(tokens, np.uint32))
+            if t == len(self.span):
+                self.span.append([first, last])
+                self.named.append(line)
+            else:
+                self.span[t] = [min(self.span[t][0], first), max(self.span[t][1], last)]
+            self.lines.append(line)
+            self.of.append(t)
+            self.line = None
+
+    def take(self, leaf: int, line: int, size: int, prefix: int, tokens: bytes, doc, number: int, last) -> Iterator[tuple]:
+        if leaf != self.leaf:
+            yield from self.close()
+            self.leaf, self.templates = leaf, _Leaf(size, prefix, self.share)
+            self.lines, self.of, self.span, self.named, self.line = array("q"), array("i"), [], [], None
+        if self.line is not None and self.line[0] == line:
+            self.line[3] = max(self.line[3], last)
+        else:
+            self._place()
+            self.line = [line, tokens, (doc, number), last]
+
+
+def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float = 0.8, depth: int = 3, exact: int = 3) -> DataFrame:
     """(line, template, keep_key, keep_number): masked lines of the templates that occur in more than one document, with their first occurrence.
 
-    Lines of ``fewest`` tokens or more go down the tree by token count and ``depth`` leading tokens; in a leaf a line joins the template that it agrees with
-    best, in ``share`` of its tokens at least, and the tokens that differ become variable fields; else it starts a template.  Tasks send a line once for
-    all that they hold of it, so a line that is everywhere adds a few rows per task; a leaf comes to one task in order, which holds one leaf at a time.
+    Lines go down the tree by token count and their first ``depth`` constant tokens; in a leaf a line joins the template that it agrees with
+    best, in ``share`` of its tokens at least, and the tokens that differ become variable fields; else it starts a template.  Lines of ``exact`` tokens or
+    fewer, such as menus and footers, are too short for that and must be equal.  Tasks send a line once for all that they hold of it,
+    so a line that is everywhere adds a few rows per task; a leaf comes to one task in order, which keeps a hash and a template number for each line.
     """
     kind = dict(docs.dtypes)[key]
 
     def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, texts in _chunks(frames):
-            x = masked_lines(texts, fewest, depth)
+            x = masked_lines(texts, depth, exact)
             doc = keys[x.text]
             order = np.lexsort((x.number, np.unique(doc, return_inverse=True)[1], x.line))
             first = np.flatnonzero(np.r_[True, np.diff(x.line[order]) != 0]) if len(order) else order
@@ -138,71 +190,48 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
             at = order[first]
             raw = x.tokens.tobytes()
             own = [raw[4 * a : 4 * (a + n)] for a, n in zip(x.start[at].tolist(), x.size[at].tolist(), strict=True)]
-            yield pd.DataFrame({"leaf": x.leaf[at], "line": x.line[at], "size": x.size[at], "tokens": own, "doc": doc[at], "number": x.number[at], "last": doc[last]})
+            yield pd.DataFrame({"leaf": x.leaf[at], "line": x.line[at], "size": x.size[at], "prefix": x.prefix[at], "tokens": own, "doc": doc[at], "number": x.number[at], "last": doc[last]})
 
     def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rows, names = None, [], ["line", "template", "keep_key", "keep_number"]
+        tree, names = _Tree(share), ["line", "template", "keep_key", "keep_number"]
         for f in frames:
-            out = []
-            for r in zip(f["leaf"], f["line"], f["size"], f["tokens"], f["doc"], f["number"], f["last"], strict=True):
-                if r[0] != now:
-                    out += _leaf_rows(rows, share)
-                    now, rows = r[0], []
-                rows.append(r)
+            out = [y for r in zip(*(f[c].tolist() for c in f.columns), strict=True) for y in tree.take(*r)]
             yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(_leaf_rows(rows, share), columns=names)
+        yield pd.DataFrame(list(tree.close()), columns=names)
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    rows = rows.mapInPandas(summed, f"leaf long, line long, size int, tokens binary, doc {kind}, number int, last {kind}")
+    rows = rows.mapInPandas(summed, f"leaf long, line long, size int, prefix int, tokens binary, doc {kind}, number int, last {kind}")
     rows = rows.repartition("leaf").sortWithinPartitions("leaf", "line", "doc", "number")
     return rows.mapInPandas(grow, f"line long, template long, keep_key {kind}, keep_number int")
 
 
-def _leaf_rows(rows: list[tuple], share: float) -> list[tuple]:
-    """Recurring lines of one leaf, from its sorted rows (leaf, line, size, tokens, first document, line number there, last document)."""
-    if not rows or len(rows) == 1 and rows[0][4] == rows[0][6]:
-        return []
-    lines: dict[int, list] = {}
-    for _, line, _, tokens, doc, number, last in rows:
-        if (x := lines.get(line)) is None:
-            lines[line] = [tokens, (doc, number), last]
-        else:
-            x[2] = max(x[2], last)
-    leaf, groups = _Leaf(rows[0][2], share), {}
-    for line, (tokens, first, last) in lines.items():
-        groups.setdefault(leaf.take(np.frombuffer(tokens, np.uint32)), []).append((line, first, last))
-    out = []
-    for members in groups.values():
-        first = min(m[1] for m in members)
-        if first[0] != max(m[2] for m in members):
-            out += [(line, members[0][0], *first) for line, _, _ in members]
-    return out
-
-
-def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float = 0.8, depth: int = 3, fewest: int = 4) -> DataFrame:
+def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float = 0.8, depth: int = 3, exact: int = 3) -> DataFrame:
     """(key, numbers): of each document the sorted numbers of the lines to drop, those of recurring templates but for each template's first occurrence."""
-    recurring = cut(recurring_lines(docs, text, key, share, depth, fewest))
+    recurring = cut(recurring_lines(docs, text, key, share, depth, exact))
     kind = dict(docs.dtypes)[key]
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, texts in _chunks(frames):
-            x = masked_lines(texts, fewest, depth)
+            x = masked_lines(texts, depth, exact)
             yield pd.DataFrame({"line": x.line, "doc": keys[x.text], "number": x.number})
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
     places = rows.mapInPandas(listed, f"line long, doc {kind}, number int").join(recurring, "line")
     places = places.filter("doc <> keep_key or number <> keep_number")
-    return places.groupBy(F.col("doc").alias(key)).agg(F.array_sort(F.collect_set("number")).alias("numbers"))
+    return places.groupBy("doc").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
 
 
 def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the lines of recurring templates but for the first occurrence of each, by (key, line number); n_dropped counts them.
 
     Every row stays, with what is left of its text (empty if all its lines recur).  Null texts and null keys are left alone; rows with the same key lose the same
-    line numbers.  Lines with fewer than ``fewest`` tokens stay.
+    line numbers.  A column n_dropped of ``docs`` is replaced, all others stay.
     """
     marks = dropped_lines(docs, text, key, **how)
+    own, gone = free_name("doc", docs), free_name("numbers", docs)
+    marks = marks.select(F.col("doc").alias(own), F.col("numbers").alias(gone))
     lines = F.split(F.col(text), "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("numbers"), i))
-    out = docs.join(marks, key, "left")
-    return out.withColumns({text: F.when(F.col("numbers").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")), "n_dropped": F.coalesce(F.size("numbers"), F.lit(0))}).drop("numbers")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    left = F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise("")
+    out = docs.join(marks, F.col(key) == F.col(own), "left")
+    return out.withColumns({text: F.when(F.col(gone).isNull(), F.col(text)).otherwise(left), "n_dropped": F.coalesce(F.size(gone), F.lit(0))}).drop(own, gone)

@@ -127,24 +127,72 @@ def test_lines_drop_recurring_templates(spark):
     assert got[1] == (rows[0][1], 0)
     assert got[2] == ("unique line of words here", 1)
     assert got[3] == (rows[2][1], 0)  # repeated within one document only
-    assert got[4] == ("short\n", 1)
-    assert got[5] == (rows[4][1], 0) and got[6] == (None, 0) and got[7] == ("", 0) and got[None] == (rows[7][1], 0)
+    assert got[4] == ("short\n", 1)  # the first of the short lines stays, the template's line goes
+    assert got[5] == ("", 2) and got[6] == (None, 0) and got[7] == ("", 0) and got[None] == (rows[7][1], 0)
     assert drop_recurring_lines(frame(spark)).count() == len(HARD)
     assert drop_recurring_lines(frame(spark).limit(0)).count() == 0
 
 
+def plain_template_tree(docs, share=0.8, depth=3):
+    """Dropped line numbers of each document by a plain tree over token tuples; lines are taken in the order of the operator's line hash."""
+    from emberline.llm.lines import masked_lines
+
+    leaves, order = {}, {}
+    for key, text in docs:
+        x = iter(masked_lines([text], depth).line.tolist())
+        for n, line in enumerate((text or "").encode().split(b"\n")):
+            w = line.split()
+            if not w:
+                continue
+            w = tuple(b"*" if len(w) > 3 and re.search(rb"[0-9]|\S@\S|://", u) else u for u in w)
+            order[w] = next(x)
+            path = (len(w), *[(i, u) for i, u in enumerate(w) if u != b"*"][:depth])
+            leaves.setdefault(path, {}).setdefault(w, []).append((key, n))
+    gone = {}
+    for lines in leaves.values():
+        templates = []
+        for w in sorted(lines, key=order.get):
+            same = [sum(a == b for a, b in zip(t, w, strict=True)) for t, _ in templates]
+            if same and max(same) >= share * len(w) - 1e-9:
+                k = same.index(max(same))
+                templates[k][0] = tuple(a if a == b else b"*" for a, b in zip(templates[k][0], w, strict=True))
+                templates[k][1].extend(lines[w])
+            else:
+                templates.append([w, list(lines[w])])
+        for _, places in templates:
+            if len({k for k, _ in places}) > 1:
+                for k, n in places:
+                    if (k, n) != min(places):
+                        gone.setdefault(k, set()).add(n)
+    return gone
+
+
+def test_template_tree_matches_a_plain_one(spark):
+    from emberline.llm.lines import drop_recurring_lines, dropped_lines
+
+    r = random.Random(13)
+    docs = [(x.doc_id, x.text) for x in spark.read.parquet(f"{SMALL}/documents.parquet").collect()][:120]
+    word = lambda: r.choice(["error", "disk", "on", "host", "full", "7", "12.5", "a@b.c", "user", "the", "10:30"])
+    docs += [(10_000 + i, "\n".join(" ".join(word() for _ in range(r.choice([1, 2, 3, 5, 5, 8, 12]))) for _ in range(r.randint(1, 8)))) for i in range(150)]
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string")
+    want = plain_template_tree(docs)
+    assert {x.doc: set(x.numbers) for x in dropped_lines(frame_).collect()} == want and len(want) > 100
+    left = {x.doc_id: x.text for x in drop_recurring_lines(frame_.withColumns({"numbers": F.lit(1), "doc": F.lit("x")})).collect()}
+    assert left == {k: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want.get(k, ())) for k, t in docs}
+
+
 def test_line_table_matches_plain_split():
     from emberline.llm.lines import masked_lines
 
     r = random.Random(3)
     texts = ["".join(r.choice(["ab ", "c\n", "d ", "1 ", "\n", " ", "é ", "x@y ", "ab", "c://d", "@"]) for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, ""]
-    x = masked_lines(texts, 2, 3)
-    want = [(i, n, ln.split()) for i, t in enumerate(texts) for n, ln in enumerate((t or "").encode().split(b"\n")) if len(ln.split()) >= 2]
+    x = masked_lines(texts, 3)
+    want = [(i, n, ln.split()) for i, t in enumerate(texts) for n, ln in enumerate((t or "").encode().split(b"\n")) if ln.split()]
     seen = {}
     for (i, n, w), a, b, s, z in zip(want, x.text, x.number, x.start, x.size, strict=True):
         assert (i, n, len(w)) == (a, b, z)
         for u, h in zip(w, x.tokens[s : s + z], strict=True):
-            assert (h == 0) == bool(re.search(rb"[0-9]|\S@\S|://", u))
+            assert (h == 0) == (len(w) > 3 and bool(re.search(rb"[0-9]|\S@\S|://", u)))
             assert h == 0 or seen.setdefault(u, h) == h
     assert len(set(seen.values())) == len(seen)
 
