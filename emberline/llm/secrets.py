@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import cut
 
-#: A candidate is a run of such characters, eight or more, with a digit, or what is assigned to a telling name.
-_RUN = re.compile(r"(?=[A-Za-z0-9+/_\-.@:]*[0-9])[A-Za-z0-9+/_\-.@:]{8,}=*")
-_ASSIGNED = re.compile(r"(?i)\b[\w.\-]*(?:passw(?:or)?d|pwd|secret|token|api_?key|access_?key|credential)[\w.\-]*\s*[=:]\s*[\"']?([^\s\"']{6,})")
+#: A candidate is a run of such characters, eight or more, with a digit; what is assigned to a telling name; or the head of a key block.  Quantifiers don't
+#: give back and names begin at their first character, so the time is linear in the text.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_\-.@:])[A-Za-z0-9+/_\-.@:]{8,}+=*+")
+_ASSIGNED = re.compile(r"(?<![\w.\-])([\w.\-]++)\s*+[=:]\s*+[\"']?")
+_VALUE = re.compile(r"[^\s\"']{6,}")
+_TELLING = re.compile(r"(?i)passw(?:or)?d|pwd|secret|token|api_?key|access_?key|credential")
+_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,12} ){0,4}PRIVATE KEY(?: BLOCK)?-----")
 _NAME = re.compile(r"(?i)(passw(?:or)?d|pwd|secret|token|api_?key|access_?key|private_?key|credential|bearer|auth)")
 #: Forms of which the label is beyond doubt; they make the labelled findings.
-_SURE = re.compile(r"(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+")
+_SURE = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]+\.eyJ[\w-]+\.[\w-]+")
 _HARMLESS = re.compile(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+\.?|\d{1,3}(\.\d{1,3}){3}(:\d+)?\.?|[+(]?[\d\-().:/]+|(?i:https?://\S+)|(?i:\S*(example|xxxx|changeme|placeholder|dummy)\S*)")
 _HEX = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
 
@@ -30,21 +34,45 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def candidates(text: str | None) -> list[tuple[int, int]]:
-    """Spans of candidates in order, none within another."""
+    """Spans of candidates in order, none within another: key blocks first, then what is assigned to a telling name, then runs with a digit."""
     text = text or ""
-    if not re.search(r"\d|[=:]", text):
-        return []
-    spans = {m.span(1) for m in _ASSIGNED.finditer(text)}
-    taken = sorted(spans)
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        if (eq := text.rfind("=", a, b)) > a and _NAME.search(text[a:eq]):
-            a = eq + 1
-        if b - a >= 6 and not any(a < y and x < b for x, y in taken):
-            spans.add((a, b))
+    spans: list[tuple[int, int]] = []
+
+    def add(found: Iterator[tuple[int, int]]) -> None:
+        """Spans of one kind, in order, that touch none of those before."""
+        taken, i, new = sorted(spans), 0, []
+        for a, b in found:
+            while i < len(taken) and taken[i][1] <= a:
+                i += 1
+            if i == len(taken) or taken[i][0] >= b:
+                new.append((a, b))
+        spans.extend(new)
+
+    if "-----BEGIN" in text:
+        add(m.span() for m in _KEY_BLOCK.finditer(text))
+    if "=" in text or ":" in text:
+        add(_assigned(text))
+    add(x for m in _RUN.finditer(text) if (x := _value(text, *m.span())))
     return sorted(spans)
 
 
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of what is assigned to telling names; after another name the search goes on at its value, which may hold a further one."""
+    at = 0
+    while m := _ASSIGNED.search(text, at):
+        at = m.end()
+        if _TELLING.search(m[1]) and (value := _VALUE.match(text, at)):
+            yield value.span()
+            at = value.end()
+
+
+def _value(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The run without the telling name that it begins with, if it has a digit and six characters."""
+    if (eq := text.rfind("=", a, b)) > a and _NAME.search(text[a:eq]):
+        a = eq + 1
+    return (a, b) if b - a >= 6 and re.search(r"\d", text[a:b]) else None
+
+
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
 
@@ -77,7 +105,7 @@ def sure_label(text: str, a: int, b: int) -> int | None:
 
 
 def word_dictionary(docs: DataFrame, text: str = "text", words: int = 20_000, least: int = 5) -> set[str]:
-    """The ``words`` most frequent words of letters, counted over all documents, ties by the word itself; the size is the feature's parameter."""
+    """The most frequent words of letters, ``words`` at most and no word without all that are as frequent, counted over all documents."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -92,8 +120,15 @@ def word_dictionary(docs: DataFrame, text: str = "text", words: int = 20_000, le
 
     rows = docs.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(count, "word string, n long")
     rows = rows.withColumn("word", F.regexp_replace("word", r"^[\p{P}]+|[\p{P}]+$", "")).filter(F.col("word").rlike(r"^\p{L}{2,40}$"))
-    rows = rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return {r["word"] for r in rows.orderBy(F.desc("n"), "word").limit(words).collect()}
+    rows = cut(rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    # Words of nearly equal frequency form a class; classes are taken whole from the top while they fit, so a task sends only words that stay.
+    rows = rows.withColumn("class", F.floor(F.log2("n") * 16).cast("int"))
+    lowest, room = None, words
+    for r in sorted(rows.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):  # at most 16 for each doubling
+        if r["n"] > room:
+            break
+        lowest, room = r["class"], room - r["n"]
+    return set() if lowest is None else {r["word"] for r in rows.filter(F.col("class") >= lowest).select("word").collect()}
 
 
 def found_candidates(docs: DataFrame, dictionary: set[str], text: str = "text", key: str = "doc_id", path: str = "source") -> DataFrame:
@@ -114,12 +149,12 @@ def found_candidates(docs: DataFrame, dictionary: set[str], text: str = "text",
 
 
 def fit_forest(labelled: DataFrame, sample: int = 20_000, trees: int = 40, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel | None:
-    """A balanced forest on labelled findings (label, x), about ``sample`` of each label picked by a hash; None without both labels."""
+    """A balanced forest on labelled findings (label, x), a random sample of about ``sample`` of each label; None without both labels."""
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
         return None
     rate = F.when(F.col("label") == 1, min(1.0, sample / sizes[1])).otherwise(min(1.0, sample / sizes[0]))
-    rows = labelled.filter(F.pmod(F.xxhash64("finding", "start"), F.lit(1_000_000)) < rate * 1_000_000)
+    rows = labelled.filter(F.rand(seed) < rate)
     taken = {k: min(n, sample) for k, n in sizes.items()}
     rows = rows.select(F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"), F.when(F.col("label") == 1, 0.5 / taken[1]).otherwise(0.5 / taken[0]).alias("weight"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, weightCol="weight", minInstancesPerNode=2, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
