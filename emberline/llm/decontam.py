@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import WordHash, gram_hashes, lower_words
 
+#: A seed of more items than this is common: its items are looked at only if the text holds one of their rare words too.
+_COMMON = 8
 _SCORE = 1 << 20  # alignments carry score * _SCORE + matched words in one number
 _PAD_ITEM, _PAD_TEXT = np.uint64(1), np.uint64(2)
 
@@ -64,6 +66,10 @@ class ItemIndex:
     place: np.ndarray
     sizes: tuple[int, ...]  # lengths of n-grams
     bags: list[tuple[np.ndarray, np.ndarray]]  # distinct words of each item, sorted, with their numbers
+    rare: np.ndarray  # distinct rare words of all items, sorted
+    rare_first: np.ndarray  # into rare_item, by rare word
+    rare_item: np.ndarray
+    common: list[np.ndarray]  # places in ``item`` and ``place`` of each item's common seeds
 
     @classmethod
     def of(cls, rows: list[tuple], n: int, least: float) -> ItemIndex:
@@ -76,12 +82,34 @@ class ItemIndex:
         place = np.concatenate([*(np.arange(len(g)) for g in each), np.empty(0, np.int64)])
         order = np.argsort(flat, kind="stable")
         grams, first = np.unique(flat[order], return_index=True)
-        return cls([i for i, _ in rows], [w for _, w in rows], grams, np.r_[first, len(flat)], item[order], place[order].astype(np.int64), tuple(sorted(set(size))), [np.unique(w, return_counts=True) for _, w in rows])
+        first, item, place = np.r_[first, len(flat)], item[order], place[order].astype(np.int64)
+        bags = [np.unique(w, return_counts=True) for _, w in rows]
+        held, items_of = np.unique(np.concatenate([w for w, _ in bags] or [np.empty(0, np.uint64)]), return_counts=True)
+        rare: list[tuple[int, int]] = []
+        for i, (w, n) in enumerate(bags):  # so many of its rarest words that a match can't miss all of them
+            k = np.argsort(items_of[np.searchsorted(held, w)], kind="stable")
+            need = int(np.searchsorted(np.cumsum(n[k]), n.sum() - fewest_matched(int(n.sum()), least), "right")) + 1
+            rare += [(int(x), i) for x in w[k[:need]]]
+        rare.sort()
+        words, at = np.unique(np.array([x for x, _ in rare], np.uint64), return_index=True)
+        often = np.flatnonzero(np.repeat(np.diff(first) > _COMMON, np.diff(first)))
+        by_item = np.argsort(item[often], kind="stable")
+        common = np.split(often[by_item], np.searchsorted(item[often][by_item], np.arange(1, len(rows)))) if rows else []
+        return cls([i for i, _ in rows], [w for _, w in rows], grams, first, item, place, tuple(sorted(set(size))), bags, words, np.r_[at, len(rare)], np.array([i for _, i in rare], np.int64), common)
+
+
+def _hits(index: ItemIndex, seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items and diagonals of seeds found at places of a text."""
+    many = index.first[seeds + 1] - index.first[seeds]
+    own = np.repeat(index.first[seeds] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return index.item[own], np.repeat(at, many) - index.place[own]
 
 
 def _passages(h: np.ndarray, index: ItemIndex, least: float) -> Iterator[tuple[int, int, int]]:
     """(item, start, stop) of a text's passages that hold a seed of an item and enough of its words, neighbouring seeds along a diagonal taken together.
 
+    Rare seeds name their items at once; a common one, such as an instruction that all items begin with, names those of its items of which the text
+    holds a rare word.  An item's rare words are so many that a match can't miss all of them, so nothing is lost.
     A passage reaches twice the item's length beyond its seeds: an alignment spends more on extra words beyond that than its matches give.
     """
     seeds, at = [], []
@@ -95,8 +123,22 @@ def _passages(h: np.ndarray, index: ItemIndex, least: float) -> Iterator[tuple[i
     if not len(seeds):
         return
     many = index.first[seeds + 1] - index.first[seeds]
-    own = np.repeat(index.first[seeds] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    item, diagonal = index.item[own], np.repeat(at, many) - index.place[own]
+    often = many > _COMMON
+    item, diagonal = _hits(index, seeds[~often], at[~often])
+    if often.any():
+        k = np.minimum(np.searchsorted(index.rare, words := np.unique(h)), len(index.rare) - 1)
+        k = k[index.rare[k] == words]
+        near = np.unique(np.concatenate([index.rare_item[a:b] for a, b in zip(index.rare_first[k], index.rare_first[k + 1], strict=True)] or [np.empty(0, np.int64)]))
+        own = np.concatenate([index.common[i] for i in near.tolist()] or [np.empty(0, np.int64)])
+        gram = np.searchsorted(index.first, own, "right") - 1
+        order = np.argsort(seeds[often], kind="stable")
+        seeds, at = seeds[often][order], at[often][order]
+        a, b = np.searchsorted(seeds, gram), np.searchsorted(seeds, gram, "right")
+        own = np.repeat(own, b - a)
+        spot = np.arange(len(own)) - np.repeat(np.cumsum(b - a) - b, b - a)
+        item, diagonal = np.r_[item, index.item[own]], np.r_[diagonal, at[spot] - index.place[own]]
+    if not len(item):
+        return
     order = np.lexsort((diagonal, item))
     item, diagonal = item[order], diagonal[order]
     lengths = np.array([len(index.words[i]) for i in item])
