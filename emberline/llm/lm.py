@@ -11,7 +11,6 @@ import functools
 import json
 import mmap
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from emberline.llm.common import WordHash, lower_words, shared_dir
+from emberline.llm.common import WordHash, free_name, lower_words, shared_dir
 
 #: No word holds a space, so no word has these hashes but by chance.
 END, BEGIN = (np.uint64(WordHash()[x]) for x in (b" end", b" begin"))
@@ -129,30 +128,45 @@ def write_shard(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 
 @functools.lru_cache(maxsize=512)
 def _mapped(folder: str, name: str) -> dict[str, np.ndarray]:
-    """A shard's arrays in mapped memory; from a remote folder by an unnamed local file."""
-    from pyarrow import fs
-
-    system, path = _filesystem(folder)
-    if isinstance(system, fs.LocalFileSystem):
-        f = open(f"{path}/{name}", "rb")  # noqa: SIM115
-    else:
-        f = tempfile.TemporaryFile()  # noqa: SIM115
-        with system.open_input_stream(f"{path}/{name}") as source:
-            while block := source.read(1 << 22):
-                f.write(block)
-        f.flush()
-    with f:
+    """A shard's arrays in mapped memory."""
+    with open(f"{_filesystem(folder)[1]}/{name}", "rb") as f:
         data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    end = data.find(b"\n") + 1
+    return _arrays(data, data.find(b"\n") + 1)
+
+
+@functools.lru_cache(maxsize=2)
+def _fetched(folder: str, name: str) -> dict[str, np.ndarray]:
+    """A shard's arrays from a folder that can't be mapped, in memory; few are kept."""
+    fs, path = _filesystem(folder)
+    with fs.open_input_stream(f"{path}/{name}") as f:
+        data = f.read()
+    return _arrays(data, data.find(b"\n") + 1)
+
+
+def _arrays(data, end: int) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(data, kind, n, end + at) for k, (kind, n, at) in json.loads(data[:end]).items()}
 
 
-def shard_arrays(context: np.ndarray, word: np.ndarray, count: np.ndarray, base: int, span: int, discount: float) -> dict[str, np.ndarray]:
-    """A shard's trie from (context hash, low 32 bits of the word's hash, count) rows, repeats included; ``base`` and ``span``: the shard's share of the hashes."""
+def _shard(folder: str, name: str) -> dict[str, np.ndarray]:
+    from pyarrow import fs
+
+    return (_mapped if isinstance(_filesystem(folder)[0], fs.LocalFileSystem) else _fetched)(folder, name)
+
+
+def summed_pairs(context: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct pairs with their summed counts."""
     order = np.lexsort((word, context))
     context, word, count = context[order], word[order], count[order]
-    new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])])
-    count, context, word = np.add.reduceat(count, new), context[new], word[new]
+    new = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])]) if len(context) else np.empty(0, np.int64)
+    return context[new], word[new], np.add.reduceat(count, new) if len(new) else count
+
+
+def shard_arrays(context: np.ndarray, word: np.ndarray, count: np.ndarray, base: int, span: int, discount: float) -> dict[str, np.ndarray]:
+    """A shard's trie from (context hash, low 32 bits of the word's hash, count) rows, repeats included; ``base`` and ``span``: the shard's share of the hashes.
+
+    Words of one context whose low 32 bits are equal count as one: a chance of about one in four thousand for a word after a million others.
+    """
+    context, word, count = summed_pairs(context, word, count)
     first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
     total = np.add.reduceat(count, first)
     pointer = np.r_[first, len(context)].astype(np.uint64)
@@ -206,7 +220,7 @@ class BigramModel:
         for s, a, b in zip(self.present, edges, np.r_[edges[1:], len(h)], strict=True):
             b = a + int(np.searchsorted(h[a:b], np.uint64((s + 1 << (64 - self.log_shards)) - 1), "right"))
             if b > a:
-                yield Shard(_mapped(self.folder, f"{s}.trie"), s << (64 - self.log_shards)), slice(a, b)
+                yield Shard(_shard(self.folder, f"{s}.trie"), s << (64 - self.log_shards)), slice(a, b)
 
     def score(self, hashes: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """(n_tokens, n_known, base_score, score) of texts given as word hashes.
@@ -245,14 +259,16 @@ class BigramModel:
         return [(int(n), int(k), float(b), float(s)) for n, k, b, s in zip(size, *sums, strict=True)]
 
 
-def fit_bigrams(train: DataFrame, text: str = "text", discount: float = 0.75, folder: str | None = None) -> BigramModel:
+def fit_bigrams(train: DataFrame, text: str = "text", discount: float = 0.75, folder: str | None = None, shard_bytes: int = 64 << 20) -> BigramModel:
     """Count all pairs of neighbouring tokens of ``train`` and write the tries; null texts count as empty, one end token each.
 
-    Tasks sum the pairs of what they hold and send them, packed by shard of the context's hash, through one shuffle; the number of shards follows the
-    number of input partitions.  Only a row of totals for each shard comes to the driver.
+    Tasks sum the pairs of what they hold and send them, packed by shard of the context's hash, through one shuffle; a shard's task sums them again as they
+    come, so a context that is everywhere takes the room of its distinct successors.  There is a shard for each ``shard_bytes`` of text.
+    Only a row of totals for each shard comes to the driver.
     """
     folder = folder or f"{shared_dir(train.sparkSession)}/trie-{uuid.uuid4().hex}"
-    log_shards = max(4, (4 * train.rdd.getNumPartitions() - 1).bit_length())
+    size = train.agg(F.sum(F.octet_length(F.col(text)).cast("long")).alias("n")).first()["n"] or 0
+    log_shards = max(3, (size // shard_bytes).bit_length())
     shift = np.uint64(64 - log_shards)
 
     def packed(hashes: list[np.ndarray]) -> Iterator[dict]:
@@ -279,19 +295,22 @@ def fit_bigrams(train: DataFrame, text: str = "text", discount: float = 0.75, fo
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def finish(shard: int, parts: list) -> pd.DataFrame:
-            context, word, n = (np.concatenate([np.frombuffer(p[k], kind) for p in parts]) for k, kind in enumerate((np.uint64, np.uint32, np.uint32)))
-            arrays = shard_arrays(context, word, n.astype(np.int64), shard << int(shift), 1 << int(shift), discount)
+            arrays = shard_arrays(*(np.concatenate(c) for c in zip(*parts, strict=True)), shard << int(shift), 1 << int(shift), discount)
             write_shard(folder, f"{shard}.trie", arrays)
             return pd.DataFrame({"shard": [shard], "tokens": [int(arrays["total"].sum())], "contexts": [len(arrays["total"])]})
 
-        now, parts = None, []
+        now, parts, fresh = None, [], 0
         for f in frames:
             for shard, *cols in zip(f["shard"], f["contexts"], f["words"], f["counts"], strict=True):
                 if shard != now and parts:
                     yield finish(now, parts)
-                    parts = []
+                    parts, fresh = [], 0
                 now = shard
-                parts.append(cols)
+                context, word, n = (np.frombuffer(c, kind) for c, kind in zip(cols, (np.uint64, np.uint32, np.uint32), strict=True))
+                parts.append((context, word, n.astype(np.int64)))
+                fresh += len(n)
+                if fresh > max(2_000_000, len(parts[0][2])):  # as much again as is summed already
+                    parts, fresh = [summed_pairs(*(np.concatenate(c) for c in zip(*parts, strict=True)))], 0
         if parts:
             yield finish(now, parts)
 
@@ -301,7 +320,11 @@ def fit_bigrams(train: DataFrame, text: str = "text", discount: float = 0.75, fo
 
 
 def lm_scores(model: BigramModel, docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability); null counts as empty, one end token."""
+    """``docs`` with n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability); null counts as empty, one end token.
+
+    Columns of ``docs`` with these names are replaced, all others stay.
+    """
+    own = free_name("lm", docs)
 
     @pandas_udf("struct<n_tokens:long,n_known:long,base_score:double,score:double>")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -311,11 +334,11 @@ def lm_scores(model: BigramModel, docs: DataFrame, text: str = "text") -> DataFr
             for t in s:
                 part.append(known.of(lower_words(t)))
                 n += len(part[-1]) + 1
-                if n > _TOKENS // 3:
+                if n > _TOKENS // 2:
                     out += model.score(part)
                     part, n = [], 0
             out += model.score(part) if part else []
             yield pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
 
-    out = docs.withColumn("lm", scores(F.col(text)))
-    return out.withColumns({"n_tokens": F.col("lm.n_tokens"), "n_known": F.col("lm.n_known"), "train_tokens": F.lit(model.tokens).cast("long"), "base_score": F.col("lm.base_score"), "score": F.col("lm.score")}).drop("lm")
+    out = docs.withColumn(own, scores(F.col(text)))
+    return out.withColumns({"train_tokens": F.lit(model.tokens).cast("long"), **{c: F.col(own)[c] for c in ("n_tokens", "n_known", "base_score", "score")}}).drop(own)

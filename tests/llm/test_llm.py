@@ -115,6 +115,35 @@ def test_contaminated_finds_frequent_edits_and_short_runs(spark):
     assert {(x.doc_id, x.item_id) for x in contaminated(docs, bench).collect()} == want
 
 
+def test_contaminated_matches_all_pairs_with_a_common_head(spark):
+    """Recall and precision against Smith-Waterman of every document with every item; all items begin with the same words."""
+    from emberline.llm.decontam import align, contaminated
+
+    r = random.Random(31)
+    head = "answer the following question about the passage above in one word"
+    items = [head + " " + " ".join(f"v{r.randrange(300)}" for _ in range(r.randint(8, 30))) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        w = r.choice(items).split()
+        for _ in range(r.randint(0, len(w) // 4)):
+            k = r.randrange(len(w))
+            kind = r.random()
+            if kind < 0.5:
+                w[k] = f"v{r.randrange(300)}"
+            elif kind < 0.75:
+                w.insert(k, "extra")
+            else:
+                del w[k]
+        rows.append((i, head + " " + " ".join(f"f{r.randrange(900)}" for _ in range(30)) + " " + " ".join(w) + " " + " ".join(f"f{r.randrange(900)}" for _ in range(20))))
+    h = lambda t: np.array([xxhash.xxh64_intdigest(w) for w in t.encode().split()], np.uint64)
+    pairs = [(d, i, h(t), h(u)) for d, t in rows for i, u in enumerate(items)]
+    matched = align([p[3] for p in pairs], [p[2] for p in pairs])[1]
+    want = {(d, i) for (d, i, _, u), m in zip(pairs, matched, strict=True) if m >= 0.8 * len(u) - 1e-9}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in contaminated(docs, bench).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 200
+
+
 # --------------------------------------------------------------------- op 2
 
 
@@ -614,6 +643,16 @@ def test_language_model_matches_brute_force(spark):
     assert lm_scores(empty, spark.createDataFrame(docs[-3:], schema)).count() == 3
 
 
+def test_language_model_takes_clashing_names_and_many_batches(spark, monkeypatch):
+    from emberline.llm import lm
+
+    docs = frame(spark).withColumns({"lm": F.lit("kept"), "score": F.lit("replaced")})
+    got = lm.lm_scores(lm.fit_bigrams(docs), docs)
+    assert {x.lm for x in got.collect()} == {"kept"} and dict(got.dtypes)["score"] == "double" and got.count() == len(HARD)
+    x = [np.array(v, t) for v, t in (([5, 5, 2, 5], np.uint64), ([1, 1, 9, 0], np.uint32), ([2, 3, 1, 1], np.int64))]
+    assert [v.tolist() for v in lm.summed_pairs(*x)] == [[2, 5, 5], [9, 0, 1], [1, 1, 5]]
+
+
 # ----------------------------------------------------------------- pipeline
 
 
