@@ -22,22 +22,30 @@ CHAIN = 3
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash as a signed number: a bit is 1 if set in over half the hashes of the word shingles, repeats included."""
+def _shingles(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
+    """The lower-cased words with single spaces, and where its runs of ``size`` words begin and end; fewer words are one run, none no run."""
     words = lower_words(text)
-    if not words:
-        return 0
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    if len(words) <= SHINGLE:
-        starts, stops = [0], [len(joined)]
-    else:
-        starts, stops = [0, *(ends[: len(words) - SHINGLE] + 1).tolist()], ends[SHINGLE - 1 :].tolist()
+    if len(words) <= size:
+        return joined, [0][: len(words)], [len(joined)][: len(words)]
+    return joined, [0, *(ends[: len(words) - size] + 1).tolist()], ends[size - 1 :].tolist()
+
+
+def _votes(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit numbers have each bit set, the lowest first."""
+    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit SimHash as a signed number: a bit is 1 if set in over half the hashes of the word shingles, repeats included."""
+    joined, starts, stops = _shingles(text, SHINGLE)
+    if not starts:
+        return 0
     counts, n, h = np.zeros(BITS, np.int64), len(starts), xxhash.xxh64_intdigest
     for a in range(0, n, _BLOCK):
-        part = [h(joined[x:y], 42) for x, y in zip(starts[a : a + _BLOCK], stops[a : a + _BLOCK], strict=True)]
-        bits = np.unpackbits(np.array(part, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+        counts += _votes(np.array([h(joined[x:y], 42) for x, y in zip(starts[a : a + _BLOCK], stops[a : a + _BLOCK], strict=True)], np.uint64))
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<i8")[0])
 
 
@@ -104,3 +112,113 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     smallest = whole.groupBy("top").agg(F.min("id").alias("component_id"))
     by_fp = cut(whole.join(smallest, "top").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
+
+
+# ------------------------------------------------- near copies by similarity
+
+LANES = 4
+CHAINS = 16
+CHAIN_BITS = 24
+#: Bits of the wide fingerprint in which documents may differ to be compared; those of 0.8 of their shingles differ in about 30.
+MOST_WIDE = 48
+_LANE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    joined, starts, stops = _shingles(text, size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[x:y], 42) for x, y in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
+
+def _set_hash(h: np.ndarray) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))) if len(h) else 0
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """A SimHash of 64 * LANES bits of a set of hashes, as bytes."""
+    counts = np.zeros(BITS * LANES, np.int64)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(h), _BLOCK):
+            part = (h[a : a + _BLOCK, None] ^ _LANE) * np.uint64(0xD6E8FEB86659FD93)
+            part = (part ^ (part >> np.uint64(32))) * _LANE
+            part ^= part >> np.uint64(29)
+            counts += np.concatenate([_votes(part[:, k]) for k in range(LANES)])
+    return np.packbits(counts * 2 > len(h), bitorder="little")
+
+
+def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component_id) of every row: rows linked by steps of ``least`` or more similarity share the smallest key.
+
+    Similarity is the Jaccard index of the sets of ``shingle`` words, worked out from the whole texts before a link counts.  Candidates come from a SimHash
+    of 256 bits: a pair is looked at if one of the ring's chains of three segments of eight bits, of which every second segment begins one, differs in a bit at
+    most and the whole in ``MOST_WIDE`` at most.  Pairs within 15 bits always have such a chain; the share of pairs at the least similarity
+    that do is measured in the tests.  Work is on distinct sets.  First each is compared with the smallest and largest under its keys and the links are
+    contracted, then only keys under which different components meet are expanded, so a group of copies isn't written out in pairs.
+    Texts without words are one group.  Rows with a null key keep component null unless linked.
+    """
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    ring = (np.arange(CHAINS)[:, None] * 2 + np.arange(3)) % (8 * LANES)
+
+    @pandas_udf("struct<h:long,fp:array<long>,chains:array<int>>")
+    def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in texts:
+            out = []
+            for t in s:
+                h = shingle_set(t, shingle)
+                fp = wide_fingerprint(h)
+                chains = fp[ring] @ np.array([1, 1 << 8, 1 << 16])
+                out.append((_set_hash(h), fp.view("<i8"), chains.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["h", "fp", "chains"])
+
+    fps = cut(rows.select("key", sketch("text").alias("x")).select("key", "x.*"))
+    nodes = cut(fps.groupBy("h").agg(F.min("key").alias("id"), F.any_value("fp").alias("fp"), F.any_value("chains").alias("chains")))
+    near = lambda a, b: F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(LANES)) + f" <= {MOST_WIDE}")
+
+    def keyed(x: DataFrame, flips: bool) -> DataFrame:
+        x = x.select("*", F.posexplode("chains").alias("c_no", "chain")).drop("chains")
+        if flips:  # of two chains that differ in a bit, the one with the zero meets the other's own key
+            x = x.withColumn("flip", F.explode(F.array(*(F.lit(f) for f in (0, *(1 << b for b in range(CHAIN_BITS))))))).filter("chain & flip = 0")
+            x = x.withColumn("chain", F.expr("chain | flip")).drop("flip")
+        return x.withColumn("key", F.expr(f"c_no * {1 << CHAIN_BITS} + chain")).drop("c_no", "chain")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of set hashes that are similar enough."""
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", F.col("id").alias("key")), "h")
+
+        def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                found = [shingle_set(t, shingle) for t in f["text"]]
+                own = [_set_hash(x) for x in found]
+                keep = [k for k, (x, y) in enumerate(zip(own, f["h"], strict=True)) if x == y]  # repeated keys may hold other texts
+                yield pd.DataFrame({"h": [own[k] for k in keep], "s": [found[k].tobytes() for k in keep]})
+
+        known = rows.join(wanted, F.expr("text is not null") & rows["key"].eqNullSafe(wanted["key"])).select("h", "text").mapInPandas(sets, "h long, s binary")
+        known = cut(known.dropDuplicates(["h"]))
+
+        @pandas_udf("double")
+        def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
+            both = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
+            return pd.Series([n / max(1, (len(p) + len(q)) // 8 - n) for n, p, q in zip(both, x, y, strict=True)], dtype=float)
+
+        left, right = known.select(F.col("h").alias("a"), F.col("s").alias("s_a")), known.select(F.col("h").alias("b"), F.col("s").alias("s_b"))
+        return pairs.join(left, "a").join(right, "b").filter(jaccard("s_a", "s_b") >= least).select("a", "b")
+
+    own = keyed(nodes.filter("h <> 0").select("h", "fp", "chains"), False)
+    ends = own.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lo"), F.max(F.struct("h", "fp")).alias("hi")).filter("lo.h <> hi.h")
+    stars = own.join(ends, "key").select("h", "fp", F.explode(F.array("lo", "hi")).alias("e")).filter("h <> e.h").filter(near("fp", "e.fp"))
+    first = connected_components(verified(stars.select(F.col("h").alias("a"), F.col("e.h").alias("b"))))
+    held = cut(nodes.join(first.withColumnRenamed("node", "h"), "h", "left").select("h", "id", "fp", "chains", F.coalesce("component", "h").alias("c")))
+
+    live = held.filter("h <> 0").select("h", "fp", "chains", "c")
+    own = keyed(live, False)
+    met = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    abroad = keyed(live, True).join(met.hint("shuffle_hash"), "key").filter("lo <> c or hi <> c").select("key", "h", "fp", "c")
+    other = own.select("key", F.col("h").alias("h2"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
+    links = verified(abroad.join(other, "key").filter("c <> c2").filter(near("fp", "fp2")).select(F.col("h").alias("a"), F.col("h2").alias("b")))
+    top = held.select(F.col("h").alias("a"), F.col("c").alias("c_a")), held.select(F.col("h").alias("b"), F.col("c").alias("c_b"))
+    second = connected_components(links.join(top[0], "a").join(top[1], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    whole = held.select("h", "id", "c").join(second, "c", "left").select("h", "id", F.coalesce("top", "c").alias("top"))
+    smallest = whole.groupBy("top").agg(F.min("id").alias("component_id"))
+    by_set = cut(whole.join(smallest, "top").select("h", "component_id"))
+    return fps.select("key", "h").join(by_set, "h").select(F.col("key").alias(key), "component_id")

@@ -436,6 +436,34 @@ def test_simhash_links_dense_and_chained_fingerprints(spark, monkeypatch):
     assert got == groups(links, range(len(fps)))
 
 
+def test_near_copies_match_brute_force_similarity(spark):
+    """Links are never below 0.8; nearly all pairs at 0.8 or more are found, copies of copies and texts without words included."""
+    from emberline.llm.simhash import near_copy_components
+
+    r, docs = random.Random(41), []
+    for i in range(160):
+        w = [f"w{r.randrange(4000)}" for _ in range(r.randint(40, 300))]
+        docs.append(w)
+        for _ in range(r.choice([0, 1, 2, 3])):
+            v = list(w)
+            for _ in range(r.randint(0, max(1, len(v) // 45))):
+                v[r.randrange(len(v))] = f"x{r.randrange(99)}"
+            docs.append(v)
+    rows = [(i, " ".join(w).upper() if i % 3 else "  ".join(w)) for i, w in enumerate(docs)] + [(5000, None), (5001, ""), (5002, " \n"), (5003, "one two"), (5004, "One  two"), (None, "one two"), (5006, "one"), (3, rows_3 := " ".join(docs[3]))]
+    sets = {i: {tuple(words(t)[k : k + 5]) for k in range(max(1, len(words(t)) - 4))} if words(t) else set() for i, t in rows if i is not None}
+    assert rows_3
+    ids = sorted(sets)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    got = {}
+    for x in near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert got.setdefault(x.doc_id, x.component_id) == x.component_id
+    whole = groups(links, ids)
+    assert all(whole[i] == whole[got[i]] for i in ids)  # never beyond the real components
+    assert sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links) > 90
+    assert got[5000] == got[5001] == got[5002] == 5000 and got[5003] == got[5004] == got[None] == 5003 and got[5006] == 5006
+    assert near_copy_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # --------------------------------------------------------------------- op 8
 
 
@@ -658,7 +686,7 @@ def test_language_model_takes_clashing_names_and_many_batches(spark, monkeypatch
 
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
-    from emberline.llm.simhash import simhash_components
+    from emberline.llm.simhash import near_copy_components
 
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
@@ -667,7 +695,7 @@ def test_pipeline_stages(spark):
         after = cp.cut(stage(spark, docs, SMALL))
         assert after.columns == columns, name
         if name == "simhash_near_dedup":
-            kept = {x.component_id for x in simhash_components(docs.select("doc_id", "text")).collect()}
+            kept = {x.component_id for x in near_copy_components(docs.select("doc_id", "text")).collect()}
             assert {x.doc_id for x in after.select("doc_id").collect()} == kept
         docs = after
     assert 0 < docs.count() < first
