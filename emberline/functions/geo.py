@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,18 +65,10 @@ def route_link(lat: Column | str, lon: Column | str, to_lat: Column | str, to_lo
     return F.when(col(to_lat).isNull() | col(to_lon).isNull(), "No matched facility").otherwise(link)
 
 
-def inside_ring(lat: Column | str, lon: Column | str, edges: list[tuple[float, float, float, float]]) -> Column:
-    """P5: even-odd test of a point against a ring's edges (x1, y1, x2, y2) as one expression, without a join.
-
-    Points on an edge are outside.
-    """
+def inside_rings(lat: Column | str, lon: Column | str, edges: Column) -> Column:
+    """P5: even-odd test of a point against an array of ring edges (x1, y1, x2, y2).  Points on an edge are outside."""
     y, x = col(lat), col(lon)
-    crossed, touched = [], []
-    for x1, y1, x2, y2 in edges:
-        if y1 != y2:
-            at = F.lit(x1) + (y - F.lit(y1)) * F.lit(x2 - x1) / F.lit(y2 - y1)
-            crossed.append((((y >= y1) & (y < y2)) | ((y >= y2) & (y < y1))) & (x < at))
-        cross = (x - F.lit(x1)) * F.lit(y2 - y1) - (y - F.lit(y1)) * F.lit(x2 - x1)
-        touched.append((F.abs(cross) <= 1e-12) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
-    odd = reduce(lambda a, b: a + b, (c.cast("int") for c in crossed)) % 2 == 1
-    return odd & ~reduce(lambda a, b: a | b, touched)
+    crosses = lambda e: ((y >= e.y1) & (y < e.y2) | (y >= e.y2) & (y < e.y1)) & (x < e.x1 + (y - e.y1) * (e.x2 - e.x1) / F.nullif(e.y2 - e.y1, F.lit(0.0)))
+    on_line = lambda e: F.abs((x - e.x1) * (e.y2 - e.y1) - (y - e.y1) * (e.x2 - e.x1)) <= 1e-12
+    touches = lambda e: on_line(e) & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)) & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
+    return (F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1) & ~F.exists(edges, lambda e: F.coalesce(touches(e), F.lit(False)))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import labels as lb
+from emberline.sources.shared import materialize, shared_folder
 
 RARE_COVERS = ("Mangroves", "Permanent water bodies", "Bare/sparse vegetation")
 SEED = 42
@@ -42,13 +42,14 @@ def published_score(df: DataFrame) -> DataFrame:
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Dense unique ranks over a whole table without bringing it to one task.
 
-    Rows are dealt by ranges of the sort keys; ranks count within a range and start after the rows of the ranges before it.  ``order`` must end with a unique key.
+    Rows are dealt by ranges of the sort keys and written with the number of their range, so that both passes see the same ranges; ranks count within a
+    range and start after the rows of the ranges before it.  ``order`` must end with a unique key.
     """
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    spread = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row per partition
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return spread.join(F.broadcast(before), "_part").withColumn(name, (inner + F.col("_before")).cast("long")).drop("_part", "_row", "_before")
+    return spread.join(F.broadcast(before), "_part").withColumn(name, (inner + F.col("_before")).cast("long")).drop("_part", "_before")
 
 
 def seeded_order(key: str = "event_id", seed: int = SEED) -> Column:
@@ -146,7 +147,7 @@ def greedy_diverse(df: DataFrame, quotas: dict[str, int], total: int = 50, key:
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-greedy-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     cats = ("landcover_class", "month", "coverage", "persistent_location_flag")
     c = df.withColumns({"month": F.date_format("acq_date", "yyyy-MM"), "day": F.datediff("acq_date", F.lit("2024-01-01").cast("date"))})
     c = c.select(key, "latitude", "longitude", "frp", "day", *cats, "candidate_priority", F.coalesce("is_spatial_duplicate", F.lit(False)).alias("dup"), F.lit(1e9).alias("km"), F.lit(1e9).alias("gap"), F.lit(False).alias("close")).checkpoint()

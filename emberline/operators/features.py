@@ -9,6 +9,7 @@ from emberline.functions import thermal as th
 from emberline.functions.common import flag
 from emberline.functions.labels import landcover_class
 from emberline.params import DEFAULTS, Params
+from emberline.sources.shared import materialize
 
 
 def temporal_features(df: DataFrame) -> DataFrame:
@@ -132,7 +133,10 @@ def display_id(ordinal: Column) -> Column:
 
 def cell_roll_up(df: DataFrame) -> DataFrame:
     """The flagship question: persistent cells with how far their detections lie from the cell's own history."""
-    scored = local_anomaly(grid_persistence(thermal_features(df)))
+    celled = df.withColumns({"cell_y": th.cell_floor("latitude", DEFAULTS.grid_degrees), "cell_x": th.cell_floor("longitude", DEFAULTS.grid_degrees)})
+    celled = materialize(celled.select("cell_y", "cell_x", "acq_date", "brightness", "frp"))  # read once for cells, days and scores
+    days = active_days(celled).groupBy("cell_y", "cell_x").agg(F.max("grid_active_days").alias("grid_active_days"))
+    scored = local_anomaly(celled, ("brightness",)).join(days, ["cell_y", "cell_x"])
     return scored.groupBy("cell_y", "cell_x").agg(F.count("*").alias("detections"), F.max("grid_active_days").alias("active_days"), F.round(F.max("brightness_zscore_local"), 6).alias("max_zscore"), F.sum("high_brightness_flag_local").alias("spikes"))
 
 

@@ -22,6 +22,13 @@ def require_columns(df: DataFrame, columns: tuple[str, ...] = REQUIRED) -> DataF
     return df
 
 
+def require_rows(df: DataFrame, what: str = "input") -> DataFrame:
+    """The table itself, or an error if it has no row."""
+    if df.isEmpty():
+        raise ValueError(f"{what} has no rows")
+    return df
+
+
 def contract(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exactly these columns in this order, or an error."""
     return require_columns(df, tuple(columns)).select(*columns)
@@ -36,7 +43,8 @@ def coordinate_problem(lat: str = "latitude", lon: str = "longitude") -> Column:
 def clean_detections(df: DataFrame, params: Params = DEFAULTS, distinct: bool = True) -> DataFrame:
     """Numbers coerced, rows without key values or with impossible coordinates dropped, cut to the region's box, whole-row duplicates removed."""
     df = require_columns(df)
-    df = df.withColumns({c: number(c) for c in NUMERIC if c in df.columns})
+    kinds = dict(df.dtypes)
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c).cast("double")) if kinds[c] in ("double", "float") else number(c) for c in NUMERIC if c in kinds})
     df = df.filter(coordinate_problem().isNull()).na.drop(subset=["latitude", "longitude", "brightness", "frp", "acq_date"])
     df = df.filter(F.col("latitude").between(params.bbox_south, params.bbox_north) & F.col("longitude").between(params.bbox_west, params.bbox_east))
     return df.distinct() if distinct else df

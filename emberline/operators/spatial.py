@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.common import flag
-from emberline.functions.geo import haversine_m, inside_ring
-from emberline.params import DEFAULTS
+from emberline.functions.geo import haversine_m, inside_rings
+from emberline.params import DEFAULTS, Params
+from emberline.sources.shared import materialize, union_all
 
-#: Cell sizes in degrees that a nearest-neighbour search goes through; what the last leaves open is compared with everything.
+#: Cell sizes in degrees that a nearest-neighbour search goes through; what the last leaves open is compared with all sites, in blocks.
 LEVELS = (0.25, 1.0, 4.0, 16.0)
 
 
@@ -19,24 +20,28 @@ def in_box(df: DataFrame, south: float, north: float, west: float, east: float,
 
 
 def in_polygon(df: DataFrame, edges: DataFrame, lat: str = "latitude", lon: str = "longitude", most_edges: int = 5000) -> DataFrame:
-    """Rows inside the rings of ``edges`` (x1, y1, x2, y2), boundary points outside, after the box of the edges.
+    """Rows inside the rings of ``edges`` (x1, y1, x2, y2), boundary points outside, after the box of the edges.
 
-    No edges: no row, same columns.  Rings beyond ``most_edges`` edges are joined by latitude band instead of becoming one expression.
+    No edges: no row, same columns.  Up to ``most_edges`` edges are one array in the plan; more are joined by latitude band.  The test is the same.
     """
     box = edges.agg(F.count("*").alias("n"), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2")), F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2"))).first()
     if not box[0]:
         return df.limit(0)
     near = in_box(df, *box[1:], lat, lon)
     if box[0] <= most_edges:
-        rows = [(r["x1"], r["y1"], r["x2"], r["y2"]) for r in edges.collect()]
-        return near.filter(inside_ring(lat, lon, rows))
+        rows = F.array(*(F.struct(*(F.lit(float(r[c])).alias(c) for c in ("x1", "y1", "x2", "y2"))) for r in edges.collect()))
+        return near.filter(inside_rings(lat, lon, rows))
     step = max((box[2] - box[1]) / 1000, 1e-9)
     band = lambda c: F.floor((c - box[1]) / step)
     by_band = edges.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))).groupBy("_band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
-    x, y = F.col(lon), F.col(lat)
-    crosses = lambda e: ((y >= e.y1) & (y < e.y2) | (y >= e.y2) & (y < e.y1)) & (x < e.x1 + (y - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1))
-    inside = F.size(F.filter("_edges", lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
-    return near.withColumn("_band", band(y)).join(by_band, "_band").filter(inside).drop("_band", "_edges")
+    return near.withColumn("_band", band(F.col(lat))).join(by_band, "_band").filter(inside_rings(lat, lon, F.col("_edges"))).drop("_band", "_edges")
+
+
+def in_region(df: DataFrame, edges: DataFrame | None, params: Params = DEFAULTS, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Rows inside the polygon, or inside the region's box where there is no polygon."""
+    if edges is None or edges.isEmpty():
+        return in_box(df, params.bbox_south, params.bbox_north, params.bbox_west, params.bbox_east, lat, lon)
+    return in_polygon(df, edges, lat, lon)
 
 
 def tile_grid(spark: SparkSession, rows: int, cols: int, south: float, north: float, west: float, east: float, overlap: float = 0.0) -> DataFrame:
@@ -61,30 +66,40 @@ def _reach(lat: Column, lon: Column, cell: float) -> Column:
     return F.when(inside, F.least(F.radians(up), sideways) * DEFAULTS.earth_radius_m).otherwise(F.lit(-1.0))
 
 
-def nearest(points: DataFrame, sites: DataFrame, k: int = 1, lat: str = "latitude", lon: str = "longitude", keep: tuple[str, ...] = ("osm_type", "osm_id"), result: str = "nearest") -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, k: int = 1, lat: str = "latitude", lon: str = "longitude", keep: tuple[str, ...] = ("osm_type", "osm_id"), result: str = "nearest", block: int = 1000) -> DataFrame:
     """Each point with an array of its ``k`` nearest sites, struct(distance_m, *keep), ties by ``keep`` in order.
 
     Sites go to their cell and its neighbours as one array per cell, so points keep their partitioning: they look their own cell up and take the
-    smallest distances.  A result stands if the k-th distance lies within what the cells surely cover; other points look up the next larger
-    cells, and the last remaining ones all sites.  Points without coordinates and tables without sites get an empty array.  Distances are
-    rounded to a millimetre, which settles ties.
+    smallest distances.  A result stands if the k-th distance lies within what the cells surely cover; only points that are still open look up the
+    next larger cells.  The last of them (far from all sites, or with fewer than ``k`` sites at all) meet the sites in blocks of about ``block`` and merge the
+    blocks' results.  Points without coordinates and tables without sites get an empty array.  Distances are rounded to a
+    millimetre, which settles ties.
     """
     y, x = F.col(lat), F.col(lon)
-    site = sites.filter("latitude is not null and longitude is not null").select(F.struct("latitude", "longitude", *keep).alias("_s"))
-    out = points.withColumn("_n", F.array().cast("array<struct<distance_m:double," + ",".join(f"{c}:{dict(sites.dtypes)[c]}" for c in keep) + ">>")).withColumn("_done", y.isNull() | x.isNull())
+    site = materialize(sites.filter("latitude is not null and longitude is not null").select(F.struct("latitude", "longitude", *keep).alias("_s")))
+    kind = "array<struct<distance_m:double," + ",".join(f"{c}:{dict(sites.dtypes)[c]}" for c in keep) + ">>"
     ranked = lambda a: F.slice(F.array_sort(F.transform(a, lambda s: F.struct(F.round(haversine_m(y, x, s.latitude, s.longitude), 3).alias("distance_m"), *(s[c].alias(c) for c in keep)))), 1, k)
-    for cell in LEVELS:
+    none = F.array().cast(kind)
+    lost = y.isNull() | x.isNull()
+    done, open_, whole = [points.filter(lost).withColumn(result, none)], points.filter(~lost), site.count()
+    for cell in LEVELS if whole >= k else ():
         around = F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1))))
         cells = site.withColumn("_dy", around).withColumn("_dx", around)
         cells = cells.groupBy((F.floor(F.col("_s.latitude") / cell) + F.col("_dy")).alias("_cy"), (F.floor(F.col("_s.longitude") / cell) + F.col("_dx")).alias("_cx")).agg(F.collect_list("_s").alias("_sites"))
-        away = F.lit(10**9) + F.pmod(F.hash(lat, lon), F.lit(1_000_000))  # settled points look up nothing and stay spread
-        out = out.withColumns({"_cy": F.when(F.col("_done"), away).otherwise(F.floor(y / cell)), "_cx": F.when(F.col("_done"), F.lit(0)).otherwise(F.floor(x / cell))}).join(cells, ["_cy", "_cx"], "left")
-        found = F.when(F.col("_done") | F.col("_sites").isNull(), F.col("_n")).otherwise(ranked(F.col("_sites")))
-        done = F.col("_done") | ((F.size("_n") == k) & (F.element_at("_n", -1)["distance_m"] <= _reach(y, x, cell)))
-        out = out.withColumn("_n", found).withColumn("_done", F.coalesce(done, F.lit(False))).drop("_cy", "_cx", "_sites")
-    everything = site.groupBy().agg(F.collect_list("_s").alias("_sites")).filter(F.size("_sites") > 0).select("_sites", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("_all"))
-    out = out.withColumn("_all", F.when(F.col("_done"), -1 - F.pmod(F.hash(lat, lon), F.lit(1_000_000))).otherwise(F.pmod(F.hash(lat, lon), F.lit(32)))).join(everything, "_all", "left")
-    return out.withColumn(result, F.when(F.col("_done") | F.col("_sites").isNull(), F.col("_n")).otherwise(ranked(F.col("_sites")))).drop("_n", "_done", "_all", "_sites")
+        out = open_.withColumns({"_cy": F.floor(y / cell), "_cx": F.floor(x / cell)}).join(cells, ["_cy", "_cx"], "left")
+        out = out.withColumn(result, F.coalesce(ranked(F.col("_sites")), none)).drop("_cy", "_cx", "_sites")
+        out = materialize(out.withColumn("_done", F.coalesce((F.size(result) == k) & (F.element_at(result, -1)["distance_m"] <= _reach(y, x, cell)), F.lit(False))))
+        done.append(out.filter("_done").drop("_done"))
+        open_ = out.filter("not _done").drop("_done", result)
+        if open_.isEmpty():
+            return union_all(done)
+    blocks = max(1, -(-whole // block))
+    dealt = site.withColumn("_b", F.expr(f"cast(pmod(xxhash64(_s), {blocks}) as int)")).groupBy("_b").agg(F.collect_list("_s").alias("_sites"))
+    open_ = materialize(open_.withColumn("_p", F.monotonically_increasing_id()))
+    part = open_.select("_p", lat, lon, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).join(dealt, "_b").select("_p", ranked(F.col("_sites")).alias("_n"))
+    best = part.groupBy("_p").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_n"))), 1, k).alias(result))
+    last = open_.join(best, "_p", "left").withColumn(result, F.coalesce(result, none)).drop("_p")
+    return union_all([*done, last])
 
 
 def nearest_one(points: DataFrame, sites: DataFrame, prefix: str, distance: str, keep: tuple[str, ...] = ("osm_type", "osm_id", "name"), **how) -> DataFrame:

@@ -10,7 +10,7 @@ from emberline.functions import labels as lb
 from emberline.functions.common import flag
 from emberline.operators import features, quality, report, spatial
 from emberline.plans.registry import Tables, query
-from emberline.sources.files import materialize
+from emberline.sources.shared import materialize
 
 RADII = (500, 1000, 2000, 5000, 10000)
 FEW = ("event_id", "latitude", "longitude", "brightness", "frp")
@@ -134,7 +134,7 @@ def _(t):
 
 @query("u1_union_sensors", "detections", "SELECT event_id, satellite_source, CASE WHEN satellite_source = 'VIIRS_N20' THEN frp END AS frp FROM detections WHERE satellite_source <> 'VIIRS_NOAA21'")
 def _(t):
-    from emberline.sources.files import union_all
+    from emberline.sources.shared import union_all
 
     d = t("detections")
     return union_all([d.filter("satellite_source = 'VIIRS_N20'").select("event_id", "satellite_source", "frp"), d.filter("satellite_source = 'VIIRS_SUOMI_NPP'").select("event_id", "satellite_source")])

@@ -9,7 +9,7 @@ from emberline.functions import labels as lb
 from emberline.operators import curation, features, quality, report, serve, spatial
 from emberline.plans.detection_queries import CELLS, CLEAN, COVER, DAYS, LAND, _near, celled, clean, contextual, with_facility
 from emberline.plans.registry import Tables, query
-from emberline.sources.files import materialize
+from emberline.sources.shared import materialize
 
 CLASS_SQL = ("Agricultural Burning", "Industrial Thermal Activity", "Natural / Wildfire / Other")
 PROBS = ("p_agricultural", "p_industrial", "p_natural")

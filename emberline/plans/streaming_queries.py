@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +11,12 @@ from emberline.operators import features, spatial
 from emberline.plans.detection_queries import CLEAN, COVER, LAND
 from emberline.plans.registry import ORACLE_SQL, QUERIES, query
 from emberline.sources.fixtures import DERIVED, load, with_tables
+from emberline.sources.shared import shared_folder
 from emberline.streaming import pipelines
 
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,19 +108,3 @@ def write_review_sheets(extremes: DataFrame, path: str, label: str = "predicted_
 def read_dashboard(spark: SparkSession, path: str) -> DataFrame:
     """Everything as text; ``parse_dashboard`` types it."""
     return spark.read.csv(path, header=True, inferSchema=False)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """The table written to the folder that the cluster shares (spark.checkpoint.dir, or one of our own where none is set) and read back.
-
-    Use it before a table that is costly to make is read several times.
-    """
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="spark-tables-")
-    path = f"{named.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    """Rows of all parts by column name, missing columns as null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
