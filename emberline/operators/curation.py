@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberline.functions import labels as lb
 from emberline.sources.shared import materialize, shared_folder
 
+#: Rare land covers, and below the weights, quotas and budgets of the published selections.
 RARE_COVERS = ("Mangroves", "Permanent water bodies", "Bare/sparse vegetation")
 SEED = 42
 
@@ -57,8 +58,8 @@ def seeded_order(key: str = "event_id", seed: int = SEED) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
 
 
-def pools(df: DataFrame, key: str = "event_id") -> DataFrame:
-    """(key, stratum) of the seven pools, each row in the first that takes it.
+def pools(df: DataFrame, key: str = "event_id", names: str = "ABCDEFG") -> DataFrame:
+    """(key, stratum) of the seven pools, or those named, each row in the first that takes it.
 
     Pools A-C take the best by score or power, D-F seeded samples by land cover, G of ambiguous rows.
     """
@@ -70,7 +71,7 @@ def pools(df: DataFrame, key: str = "event_id") -> DataFrame:
         ("D", F.col("landcover_class") == "Built-up", shuffled, 10), ("E", F.col("landcover_class").isin("Cropland", "Grassland"), shuffled, 10),
         ("F", F.col("landcover_class").isin("Tree cover", "Shrubland"), shuffled, 8), ("G", F.col("frp").between(median * 0.5, median * 2.0) & (far > 2000) & (far <= 10_000), shuffled, 8),
     ]
-    parts = [df.filter(where).orderBy(*order).limit(n).select(key, F.lit(name).alias("stratum")) for name, where, order, n in takes]
+    parts = [df.filter(where).orderBy(*order).limit(n).select(key, F.lit(name).alias("stratum")) for name, where, order, n in takes if name in names]
     return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min("stratum").alias("stratum"))
 
 

@@ -140,6 +140,11 @@ def cell_roll_up(df: DataFrame) -> DataFrame:
     return scored.groupBy("cell_y", "cell_x").agg(F.count("*").alias("detections"), F.max("grid_active_days").alias("active_days"), F.round(F.max("brightness_zscore_local"), 6).alias("max_zscore"), F.sum("high_brightness_flag_local").alias("spikes"))
 
 
+def duplicate_flags(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """``df`` with is_duplicate, true for all but the first row of each key."""
+    return df.withColumn("is_duplicate", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
+
+
 def first_seen(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """The first row of each key by a total order; a deterministic form of dropDuplicates."""
     w = Window.partitionBy(*keys).orderBy(*order)

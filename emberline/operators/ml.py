@@ -40,7 +40,7 @@ def guard(df: DataFrame, columns: list[str], leakage: tuple[str, ...] = LEAKAGE)
     return df
 
 
-def stages(numeric: list[str], categorical: list[str], label: str, model: str = "rf", trees: int = 60, depth: int = 8, seed: int = 42) -> list:
+def stages(numeric: list[str], categorical: list[str], label: str, model: str = "rf", trees: int = 300, depth: int = 12, seed: int = 42) -> list:
     """Median imputation, one-hot with unknown values kept apart, and a model: rf, extra (no bootstrap) or gbt (one against the rest)."""
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
     prep = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"_{c}_f" for c in numeric])] if numeric else []
@@ -49,7 +49,7 @@ def stages(numeric: list[str], categorical: list[str], label: str, model: str =
         prep.append(OneHotEncoder(inputCols=[f"_{c}_i" for c in categorical], outputCols=[f"_{c}_o" for c in categorical]))
     prep.append(VectorAssembler(inputCols=[f"_{c}_f" for c in numeric] + [f"_{c}_o" for c in categorical], outputCol="_features"))
     common = {"featuresCol": "_features", "labelCol": "_label"}
-    forest = {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": 3, "seed": seed, "weightCol": "_weight"}
+    forest = {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": 3, "seed": seed, "weightCol": "_weight", "maxMemoryInMB": 1024}
     learner = {
         "rf": lambda: RandomForestClassifier(**common, **forest),
         "extra": lambda: RandomForestClassifier(**common, **forest, bootstrap=False, featureSubsetStrategy="sqrt", subsamplingRate=1.0),
@@ -66,7 +66,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str, model: str = "rf", **how) -> PipelineModel:
-    """The fitted pipeline; save it with its own ``write().save``."""
+    """The fitted pipeline."""
     filled = numeric_matrix(df, numeric)
     empty = filled.agg(*(F.count(c).alias(c) for c in numeric)).first().asDict() if numeric else {}
     if gone := [c for c, n in empty.items() if not n]:
@@ -74,6 +74,18 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str, m
     return Pipeline(stages=stages(numeric, categorical, label, model, **how)).fit(balanced(filled, label))
 
 
+def save(fitted: PipelineModel, path: str, df: DataFrame, numeric: list[str], categorical: list[str], label: str, metrics: dict[str, float]) -> DataFrame:
+    """Writes the pipeline to ``path``/model and its record to ``path``/metadata, and returns the record: one row of what the model is and was fitted on."""
+    learner = fitted.stages[-1]
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    row = (type(learner).__name__, fitted.stages[0].labels, numeric, categorical, sum(counts.values()), {str(k): v for k, v in counts.items()}, {p.name: str(v) for p, v in learner.extractParamMap().items()}, metrics)
+    kind = "model_type string, classes array<string>, numeric_features array<string>, categorical_features array<string>, rows long, rows_by_class map<string,long>, parameters map<string,string>, metrics map<string,double>"
+    fitted.write().overwrite().save(f"{path}/model")
+    record = df.sparkSession.createDataFrame([row], kind)
+    record.write.mode("overwrite").parquet(f"{path}/metadata")
+    return df.sparkSession.read.parquet(f"{path}/metadata")
+
+
 def score(df: DataFrame, fitted: PipelineModel, numeric: list[str], keep: list[str]) -> DataFrame:
     """Class, probabilities to four digits, the largest, and its tier."""
     labels = fitted.stages[0].labels
@@ -100,16 +112,20 @@ def holdout(df: DataFrame, label: str, key: str = "event_id", share: float = 0.2
     return df.withColumn("is_test", r <= F.floor(share * F.count("*").over(w)))
 
 
+def predicted(df: DataFrame, fitted: PipelineModel, numeric: list[str]) -> DataFrame:
+    """``df`` with predicted_class."""
+    rows = numeric_matrix(df, numeric)
+    for stage in fitted.stages[1:]:
+        rows = stage.transform(rows)
+    return IndexToString(inputCol="prediction", outputCol="predicted_class", labels=fitted.stages[0].labels).transform(rows)
+
+
 def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, key: str = "event_id", fold: str = "cv_fold", model: str = "rf", k: int = 5, **how) -> DataFrame:
     """Out-of-fold predictions (key, label, fold, predicted_class); everything is fitted on the other folds only."""
     parts = []
     for i in range(k):
         fitted = fit(df.filter(F.col(fold) != i), numeric, categorical, label, model, **how)
-        rows = numeric_matrix(df.filter(F.col(fold) == i), numeric)
-        for stage in fitted.stages[1:]:
-            rows = stage.transform(rows)
-        rows = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=fitted.stages[0].labels).transform(rows)
-        parts.append(rows.select(key, label, fold, "predicted_class"))
+        parts.append(predicted(df.filter(F.col(fold) == i), fitted, numeric).select(key, label, fold, "predicted_class"))
     return reduce(DataFrame.unionByName, parts)
 
 

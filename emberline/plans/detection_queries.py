@@ -110,6 +110,21 @@ def _(t):
     return features.first_seen(spatial.in_polygon(clean(t), t("boundary_edges")), keys, ("event_id",)).select("event_id", *keys)
 
 
+@query("p7_box_fallback", "detections", CLEAN + " SELECT event_id, latitude, longitude FROM clean")
+def _(t):
+    return spatial.in_region(clean(t), t("boundary_edges").filter("edge_id < 0")).select("event_id", "latitude", "longitude")
+
+
+@query("p18_guarded_rows", "detections", CLEAN + " SELECT satellite_source, COUNT(*) AS n FROM clean GROUP BY satellite_source")
+def _(t):
+    return quality.require_rows(clean(t), "detections").groupBy("satellite_source").agg(F.count("*").alias("n"))
+
+
+@query("w5_duplicate_flags", "detections", CLEAN + " SELECT event_id, ROW_NUMBER() OVER (PARTITION BY latitude, longitude, acq_date ORDER BY event_id) > 1 AS is_duplicate FROM clean")
+def _(t):
+    return features.duplicate_flags(clean(t), ("latitude", "longitude", "acq_date"), ("event_id",)).select("event_id", "is_duplicate")
+
+
 @query("p8_distinct_rows", "detections", CLEAN + " SELECT DISTINCT latitude, longitude, acq_date, satellite_source FROM clean")
 def _(t):
     return quality.clean_detections(t("detections").select("latitude", "longitude", "acq_date", "satellite_source", F.col("brightness"), "frp"), distinct=False).select("latitude", "longitude", "acq_date", "satellite_source").distinct()
@@ -300,10 +315,9 @@ def _(t):
     return features.attach_cached_landcover(clean(t), sampled).select("event_id", "landcover_class")
 
 
-@query("j24_space_time_pairs", "detections", CLEAN + """, s AS (SELECT * FROM clean WHERE brightness > 360) SELECT a.event_id AS a, b.event_id AS b FROM s a JOIN s b ON a.event_id <> b.event_id AND ABS(a.acq_date - b.acq_date) < 3 AND """ + haversine_sql("a", "b") + " < 3000")
+@query("j24_space_time_pairs", "detections", CLEAN + """ SELECT a.event_id AS a, b.event_id AS b FROM clean a JOIN clean b ON a.event_id <> b.event_id AND ABS(a.acq_date - b.acq_date) < 3 AND """ + haversine_sql("a", "b") + " < 3000")
 def _(t):
-    hot = clean(t).filter("brightness > 360")
-    return spatial.near_in_space_time(hot, hot).distinct()
+    return spatial.near_in_space_time(clean(t), clean(t)).distinct()
 
 
 @query("j25_spatial_duplicates", "detections", CLEAN + """ SELECT a.event_id, EXISTS (SELECT 1 FROM clean b WHERE b.acq_date = a.acq_date AND b.event_id <> a.event_id AND (b.frp > a.frp OR (b.frp = a.frp AND b.event_id < a.event_id)) AND ABS(a.latitude - b.latitude) < 0.06 AND """ + haversine_sql("a", "b") + " <= 5500) AS is_spatial_duplicate FROM clean a")
@@ -311,10 +325,10 @@ def _(t):
     return spatial.spatial_duplicates(clean(t), "frp").select("event_id", "is_spatial_duplicate")
 
 
-@query("s8_tile_grid", "tiles", "SELECT COUNT(*) AS tiles, ROUND(MIN(south), 6) AS south, ROUND(MAX(north), 6) AS north, ROUND(MIN(west), 6) AS west FROM tiles")
+@query("s8_tile_grid", "tiles", "SELECT tile_no, ROUND(south, 6) AS south, ROUND(north, 6) AS north, ROUND(west, 6) AS west, ROUND(east, 6) AS east FROM tiles")
 def _(t):
     grid = spatial.tile_grid(t("tiles").sparkSession, 5, 5, 8.1, 13.55, 76.25, 80.375).join(t("tiles").select("tile_no"), "tile_no")
-    return grid.agg(F.count("*").alias("tiles"), F.round(F.min("south"), 6).alias("south"), F.round(F.max("north"), 6).alias("north"), F.round(F.min("west"), 6).alias("west"))
+    return grid.select("tile_no", *(F.round(c, 6).alias(c) for c in ("south", "north", "west", "east")))
 
 
 @query("a12_a13_w7_distance_bands", "detections facilities", CLEAN + _near() + """, r AS (SELECT * FROM (VALUES (500), (1000), (2000), (5000), (10000)) v(radius_m)),

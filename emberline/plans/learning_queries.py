@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from emberline.functions.labels import target_class
 from emberline.operators import features, ml, serve
 from emberline.plans.registry import Tables, query
 from emberline.plans.serving_queries import CLASS_SQL, REVIEWED, TARGET
+from emberline.sources.shared import materialize, shared_folder, union_all
 
 NUMERIC = ["brightness", "bright_t31", "frp", "scan", "track", "brightness_difference", "log_frp", "hour", "confidence_encoded"]
 CATEGORICAL = ["satellite_source", "daynight"]
@@ -44,17 +47,39 @@ def _(t):
 @query("l3_l14_train_and_score")
 def _(t):
     train = ml.guard(cohort(t).drop("reviewed_class", "raw_label"), NUMERIC, ("reviewed_class", "raw_label"))
-    fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class", trees=20, depth=6)
+    fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class")
     rows = features.thermal_features(features.temporal_features(t("detections")))
     return ml.score(rows, fitted, NUMERIC, ["event_id"])
 
 
 @query("l8_a32_cross_validation")
 def _(t):
-    oof = ml.cross_validate(ml.folds(cohort(t), "target_class", k=3), NUMERIC, CATEGORICAL, "target_class", k=3, trees=10, depth=5)
+    oof = ml.cross_validate(materialize(ml.folds(cohort(t), "target_class")), NUMERIC, CATEGORICAL, "target_class", trees=100, depth=6)
     return ml.summary_metrics(oof, "target_class", "predicted_class", "cv_fold")
 
 
+@query("l9_model_families")
+def _(t):
+    """Accuracy of each family on the quarter that is held out."""
+    rows = materialize(ml.holdout(cohort(t), "target_class"))
+    train, test = rows.filter("not is_test"), rows.filter("is_test")
+    out = []
+    for family in ("rf", "extra", "gbt"):
+        fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class", family, trees=100, depth=6)
+        out.append(ml.summary_metrics(ml.predicted(test, fitted, NUMERIC), "target_class", "predicted_class").withColumn("model_name", F.lit(family)))
+    return union_all(out)
+
+
+@query("l12_model_metadata")
+def _(t):
+    """The record of a forest as it is kept beside the saved model, with its accuracy on the cohort."""
+    train = materialize(cohort(t))
+    fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class", trees=100, depth=6)
+    metrics = ml.summary_metrics(ml.predicted(train, fitted, NUMERIC), "target_class", "predicted_class").first().asDict()
+    folder = f"{shared_folder(train.sparkSession)}/model-{uuid.uuid4().hex}"
+    return ml.save(fitted, folder, train, NUMERIC, CATEGORICAL, "target_class", metrics).select("model_type", "rows", F.size("classes").alias("classes"), F.array_join("numeric_features", ",").alias("numeric_features"), F.element_at("parameters", "numTrees").alias("trees"), F.element_at("metrics", "accuracy").alias("accuracy"))
+
+
 @query("l5_manifest", "detections", """SELECT 'brightness' AS feature_name, 'numeric' AS data_type, COUNT(*) - COUNT(brightness) AS missing_count, ROUND(100.0 * (COUNT(*) - COUNT(brightness)) / CAST(COUNT(*) AS DOUBLE), 4) AS missing_pct, CASE WHEN COUNT(*) > COUNT(brightness) THEN 'median' ELSE 'as is' END AS handling FROM detections
   UNION ALL SELECT 'daynight', 'categorical', COUNT(*) - COUNT(daynight), CAST(0 AS DOUBLE), 'one-hot' FROM detections UNION ALL SELECT 'slope', 'numeric', COUNT(*), CAST(100 AS DOUBLE), 'median' FROM detections""")
 def _(t):
@@ -128,7 +153,7 @@ def _(t):
 
 @query("k8_l11_importances")
 def _(t):
-    fitted = ml.fit(cohort(t), NUMERIC, CATEGORICAL, "target_class", trees=10, depth=5)
+    fitted = ml.fit(cohort(t), NUMERIC, CATEGORICAL, "target_class")
     rows = ml.numeric_matrix(cohort(t), NUMERIC)
     for stage in fitted.stages[1:-1]:
         rows = stage.transform(rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import labels as lb
 from emberline.operators import curation, features, quality, report, serve, spatial
-from emberline.plans.detection_queries import CELLS, CLEAN, COVER, DAYS, LAND, _near, celled, clean, contextual, with_facility
+from emberline.plans.detection_queries import CELLS, CLEAN, COVER, DAYS, LAND, _near, celled, clean, contextual, haversine_sql, with_facility
 from emberline.plans.registry import Tables, query
 from emberline.sources.shared import materialize
 
@@ -69,6 +69,12 @@ def _(t):
     return curation.pools(scored(t))
 
 
+@query("k3_best_pools", "detections facilities landcover_cells", SCORE + """, a AS (SELECT event_id FROM scores WHERE COALESCE(d_hr, 999999) <= 2000 ORDER BY ROUND(score, 6) DESC, event_id LIMIT 25), b AS (SELECT event_id FROM scores WHERE COALESCE(d_any, 999999) <= 2000 ORDER BY ROUND(score, 6) DESC, event_id LIMIT 15),
+  c AS (SELECT event_id FROM scores ORDER BY frp DESC, event_id LIMIT 20) SELECT event_id, MIN(s) AS stratum FROM (SELECT event_id, 'A' AS s FROM a UNION ALL SELECT event_id, 'B' FROM b UNION ALL SELECT event_id, 'C' FROM c) GROUP BY event_id""")
+def _(t):
+    return curation.pools(scored(t).withColumn("candidate_priority_score", F.round("candidate_priority_score", 6)), names="ABC")
+
+
 @query("k4_quintile_best", "detections facilities landcover_cells", SCORE + """, q AS (SELECT QUANTILE_CONT(latitude, [0.2, 0.4, 0.6, 0.8]) AS a, QUANTILE_CONT(longitude, [0.2, 0.4, 0.6, 0.8]) AS o FROM scores),
   b AS (SELECT event_id, ROUND(score, 6) AS s, (latitude > q.a[1])::INT + (latitude > q.a[2])::INT + (latitude > q.a[3])::INT + (latitude > q.a[4])::INT AS y, (longitude > q.o[1])::INT + (longitude > q.o[2])::INT + (longitude > q.o[3])::INT + (longitude > q.o[4])::INT AS x FROM scores CROSS JOIN q)
   SELECT event_id FROM (SELECT event_id, ROW_NUMBER() OVER (PARTITION BY y, x ORDER BY s DESC, event_id) AS r FROM b) WHERE r = 1""")
@@ -93,24 +99,44 @@ def published(t: Tables) -> DataFrame:
     return materialize(spatial.spatial_duplicates(materialize(curation.published_score(x)), "published_score"))
 
 
-@query("m35_published_score")
+PUBLISHED = CELLS + DAYS + _near() + HR + COVER + """, base AS (SELECT c.event_id, c.latitude, c.longitude, c.acq_date, c.frp, LN(1 + GREATEST(c.frp, 0)) AS lf, c.brightness - c.bright_t31 AS bd, CAST(d.active AS DOUBLE) AS ad, n.distance_m AS d_any, n.relevance_tier AS tier, h.distance_m AS d_hr, v.coverage, CASE WHEN EXTRACT(MONTH FROM c.acq_date) IN (4, 5, 10, 11) THEN 1::DOUBLE ELSE 0::DOUBLE END AS season
+  FROM celled c JOIN days d ON c.cell_y = d.cell_y AND c.cell_x = d.cell_x AND EXTRACT(YEAR FROM c.acq_date) = d.y JOIN near n ON n.event_id = c.event_id LEFT JOIN hr h ON h.event_id = c.event_id JOIN covered v ON v.event_id = c.event_id),
+  ranges AS (SELECT MIN(lf) AS l0, MAX(lf) AS l1, MIN(bd) AS b0, MAX(bd) AS b1, MIN(ad) AS a0, MAX(ad) AS a1 FROM base),
+  pub0 AS (SELECT b.*, ROUND(0.30::DOUBLE * CASE WHEN coverage = 'COVERED' THEN 0.6::DOUBLE * (1 - LEAST(COALESCE(d_any, 50000), 50000::DOUBLE) / 50000) + 0.4::DOUBLE * CASE tier WHEN 'HIGHER_RELEVANCE' THEN 1::DOUBLE WHEN 'GENERAL_CONTEXT' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END ELSE 0.4::DOUBLE END
+    + 0.25::DOUBLE * ((COALESCE((lf - l0) / (l1 - l0 + 1e-9::DOUBLE), 0) + COALESCE((bd - b0) / (b1 - b0 + 1e-9::DOUBLE), 0)) / 2) + 0.20::DOUBLE * COALESCE((ad - a0) / (a1 - a0 + 1e-9::DOUBLE), 0) + 0.15::DOUBLE * (1 - LEAST(COALESCE(d_hr, 50000), 50000::DOUBLE) / 50000) + 0.10::DOUBLE * season, 9) AS published_score FROM base b CROSS JOIN ranges),
+  pub1 AS (SELECT *, CASE WHEN published_score >= 0.5 THEN 'HIGH' WHEN published_score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS candidate_priority FROM pub0),
+  pub AS (SELECT a.*, EXISTS (SELECT 1 FROM pub1 b WHERE b.acq_date = a.acq_date AND b.event_id <> a.event_id AND (b.published_score > a.published_score OR (b.published_score = a.published_score AND b.event_id < a.event_id)) AND ABS(a.latitude - b.latitude) < 0.06 AND """ + haversine_sql("a", "b") + """ <= 5500) AS dup FROM pub1 a)"""
+
+
+@query("m35_published_score", "detections facilities tiles", PUBLISHED + " SELECT event_id, published_score, candidate_priority, dup AS is_spatial_duplicate FROM pub")
 def _(t):
     return published(t).select("event_id", "published_score", "candidate_priority", "is_spatial_duplicate")
 
 
-@query("k9_representatives")
+PICKS = " ".join(f"WHEN candidate_priority = '{tier}' AND landcover_class = '{cover}' THEN {n}" for n, tier, cover in ((0, "HIGH", "Built-up"), (1, "HIGH", "Cropland"), (2, "HIGH", "Tree cover"), (4, "MEDIUM", "Built-up"), (5, "MEDIUM", "Cropland"), (6, "MEDIUM", "Tree cover"), (7, "MEDIUM", "Shrubland"), (8, "LOW", "Cropland"), (9, "LOW", "Shrubland")))
+
+
+@query("k9_representatives", "detections facilities tiles landcover_cells", PUBLISHED + LAND + f""", own AS (SELECT p.event_id, p.frp, p.candidate_priority, l.landcover_class FROM pub p JOIN landed l ON l.event_id = p.event_id WHERE NOT p.dup),
+  picks AS (SELECT pick, MIN(event_id) AS event_id FROM (SELECT event_id, CASE {PICKS} END AS pick FROM own) WHERE pick IS NOT NULL GROUP BY pick),
+  extra AS (SELECT 3 AS pick, event_id FROM own WHERE candidate_priority = 'HIGH' AND event_id NOT IN (SELECT event_id FROM picks) ORDER BY frp DESC NULLS LAST, event_id LIMIT 1), chosen AS (SELECT pick, event_id FROM picks UNION ALL SELECT pick, event_id FROM extra),
+  spare AS (SELECT 99 AS pick, event_id, ROW_NUMBER() OVER (ORDER BY event_id) AS r FROM own WHERE event_id NOT IN (SELECT event_id FROM chosen))
+  SELECT CAST(pick AS INTEGER) AS pick, event_id FROM chosen UNION ALL SELECT CAST(pick AS INTEGER), event_id FROM spare WHERE r <= 10 - (SELECT COUNT(*) FROM chosen)""")
 def _(t):
     return curation.representatives(published(t))
 
 
-@query("k11_w6_strata_batch")
+STRATA = (("d_any <= 500", "facility within 500 m", 12), ("d_any <= 1000", "facility within 1 km", 12), ("d_any <= 2000", "facility within 2 km", 8), ("candidate_priority = 'HIGH'", "high tier", 10), ("coverage = 'FAILED_TILE'", "failed tile", 8), ("candidate_priority = 'MEDIUM'", "medium tier", 20), ("frp >= 5", "high power", 10), ("ad >= 3", "persistent", 10), ("frp < 1", "low power", 5), ("d_any > 10000", "remote", 5))
+
+
+@query("k11_w6_strata_batch", "detections facilities tiles", PUBLISHED + ", s AS (SELECT event_id, published_score, CASE " + " ".join(f"WHEN {w} THEN {i}" for i, (w, _, _) in enumerate(STRATA)) + " END AS no FROM pub), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY no ORDER BY published_score DESC, event_id) AS r FROM s WHERE no IS NOT NULL), k AS (SELECT * FROM r WHERE r <= CASE no "
+  + " ".join(f"WHEN {i} THEN {n}" for i, (_, _, n) in enumerate(STRATA)) + " END) SELECT event_id, CASE no " + " ".join(f"WHEN {i} THEN '{n}'" for i, (_, n, _) in enumerate(STRATA)) + " END AS stratum, CAST(ROW_NUMBER() OVER (ORDER BY no, r) AS INTEGER) AS selection_no FROM k")
 def _(t):
     return curation.strata_batch(published(t), curation.default_strata()).select("event_id", "stratum", "selection_no")
 
 
 @query("k10_greedy_diverse")
 def _(t):
-    return curation.greedy_diverse(published(t), {"HIGH": 5, "MEDIUM": 5, "LOW": 2}, 12)
+    return curation.greedy_diverse(published(t), {"HIGH": 20, "MEDIUM": 20, "LOW": 10}, 50)
 
 
 @query("m36_rationale", "detections facilities landcover_cells", CELLS + DAYS + _near() + LAND + """ SELECT c.event_id, CONCAT_WS('; ', CASE WHEN c.frp >= 5 THEN 'HIGH' ELSE 'LOW' END || ' priority', CASE WHEN n.distance_m <= 2000 THEN 'industrial facility within 2 km' END, CASE WHEN c.frp >= 5 THEN 'high radiative power' END, CASE WHEN d.active >= 3 THEN 'persistent location' END, CASE WHEN l.landcover_class <> 'Unknown' THEN 'land cover: ' || l.landcover_class END) AS rationale
@@ -237,9 +263,9 @@ def _(t):
     return quality.id_differences(ids, right)
 
 
-@query("q1_q4_expectations", "detections", "SELECT 'row_count' AS name, COUNT(*) AS observed, 10000::BIGINT AS expected, COUNT(*) = 10000 AS passed FROM detections UNION ALL SELECT 'duplicate_keys', COUNT(event_id) - COUNT(DISTINCT event_id), 0, COUNT(event_id) = COUNT(DISTINCT event_id) FROM detections UNION ALL SELECT 'missing_keys', COUNT(*) - COUNT(event_id), 0, COUNT(*) = COUNT(event_id) FROM detections UNION ALL SELECT 'null_brightness', COUNT(*) - COUNT(brightness), 0, COUNT(*) = COUNT(brightness) FROM detections")
+@query("q1_q4_expectations", "detections", "SELECT 'row_count' AS name, COUNT(*) AS observed, (SELECT COUNT(*) FROM events) AS expected, COUNT(*) = (SELECT COUNT(*) FROM events) AS passed FROM detections UNION ALL SELECT 'duplicate_keys', COUNT(event_id) - COUNT(DISTINCT event_id), 0, COUNT(event_id) = COUNT(DISTINCT event_id) FROM detections UNION ALL SELECT 'missing_keys', COUNT(*) - COUNT(event_id), 0, COUNT(*) = COUNT(event_id) FROM detections UNION ALL SELECT 'null_brightness', COUNT(*) - COUNT(brightness), 0, COUNT(*) = COUNT(brightness) FROM detections")
 def _(t):
-    return quality.expectations(t("detections"), "event_id", 10_000, ("brightness",))
+    return quality.expectations(t("detections"), "event_id", t("events").count(), ("brightness",))
 
 
 @query("q3_q7_preserved_fields", "detections", "SELECT 'frp' AS field, COUNT(*) AS compared, COUNT(CASE WHEN event_id % 10 = 0 THEN 1 END) AS differing, MAX(CASE WHEN event_id % 10 = 0 THEN ABS(frp - (frp + 1)) ELSE 0 END) AS largest FROM detections UNION ALL SELECT 'daynight', COUNT(*), 0, NULL FROM detections")
