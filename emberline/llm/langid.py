@@ -145,7 +145,9 @@ def fit_language_centroids(train: DataFrame, text: str = "text", lang: str = "la
                 rows.append((x, 0, False, *ngram_counts(t)))
                 for k, shuffled, probe in _probes(t, r) if i % 4 == 0 else ():
                     rows.append((x, k, shuffled, *ngram_counts(probe)))
-            yield pd.DataFrame(rows, columns=["lang", "length", "shuffled", "at", "n"])
+                if len(rows) >= 300 or i == len(f) - 1:
+                    yield pd.DataFrame(rows, columns=["lang", "length", "shuffled", "at", "n"])
+                    rows = []
 
     sample = train.filter(F.rand(5) < rate)
     probes = cut(sample.mapInPandas(features, "lang string, length int, shuffled boolean, at array<int>, n array<long>").filter("size(at) > 0"))
