@@ -174,12 +174,9 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
     nodes = cut(fps.groupBy("h").agg(F.min("key").alias("id"), F.any_value("fp").alias("fp"), F.any_value("chains").alias("chains")))
     near = lambda a, b: F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(LANES)) + f" <= {MOST_WIDE}")
 
-    def keyed(x: DataFrame, flips: bool) -> DataFrame:
-        x = x.select("*", F.posexplode("chains").alias("c_no", "chain")).drop("chains")
-        if flips:  # of two chains that differ in a bit, the one with the zero meets the other's own key
-            x = x.withColumn("flip", F.explode(F.array(*(F.lit(f) for f in (0, *(1 << b for b in range(CHAIN_BITS))))))).filter("chain & flip = 0")
-            x = x.withColumn("chain", F.expr("chain | flip")).drop("flip")
-        return x.withColumn("key", F.expr(f"c_no * {1 << CHAIN_BITS} + chain")).drop("c_no", "chain")
+    def keyed(x: DataFrame) -> DataFrame:
+        """Each row under the keys of its chains."""
+        return x.select("*", F.posexplode("chains").alias("c_no", "chain")).withColumn("key", F.expr(f"c_no * {1 << CHAIN_BITS} + chain"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of set hashes that are similar enough."""
@@ -204,16 +201,19 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
         left, right = known.select(F.col("h").alias("a"), F.col("s").alias("s_a")), known.select(F.col("h").alias("b"), F.col("s").alias("s_b"))
         return pairs.join(left, "a").join(right, "b").filter(jaccard("s_a", "s_b") >= least).select("a", "b")
 
-    own = keyed(nodes.filter("h <> 0").select("h", "fp", "chains"), False)
+    own = keyed(nodes.filter("h <> 0")).select("key", "h", "fp")
     ends = own.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lo"), F.max(F.struct("h", "fp")).alias("hi")).filter("lo.h <> hi.h")
     stars = own.join(ends, "key").select("h", "fp", F.explode(F.array("lo", "hi")).alias("e")).filter("h <> e.h").filter(near("fp", "e.fp"))
     first = connected_components(verified(stars.select(F.col("h").alias("a"), F.col("e.h").alias("b"))))
     held = cut(nodes.join(first.withColumnRenamed("node", "h"), "h", "left").select("h", "id", "fp", "chains", F.coalesce("component", "h").alias("c")))
 
     live = held.filter("h <> 0").select("h", "fp", "chains", "c")
-    own = keyed(live, False)
+    own = keyed(live).select("key", "h", "fp", "c")
     met = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    abroad = keyed(live, True).join(met.hint("shuffle_hash"), "key").filter("lo <> c or hi <> c").select("key", "h", "fp", "c")
+    # Of two chains that differ in a bit, the one with the zero meets the other's own key.  Only hashes go under the many keys; the rest is looked up for those that meet.
+    flips = keyed(live.select("h", "chains")).select("h", "key", F.explode(F.array(*(F.lit(f) for f in (0, *(1 << b for b in range(CHAIN_BITS)))))).alias("flip")).filter("key & flip = 0")
+    abroad = flips.select("h", F.expr("key | flip").alias("key"), F.expr("flip = 0").alias("home")).join(met.hint("shuffle_hash"), "key").filter("lo <> hi or not home")
+    abroad = abroad.join(live.select("h", "fp", "c"), "h").filter("lo <> c or hi <> c").select("key", "h", "fp", "c")
     other = own.select("key", F.col("h").alias("h2"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
     links = verified(abroad.join(other, "key").filter("c <> c2").filter(near("fp", "fp2")).select(F.col("h").alias("a"), F.col("h2").alias("b")))
     top = held.select(F.col("h").alias("a"), F.col("c").alias("c_a")), held.select(F.col("h").alias("b"), F.col("c").alias("c_b"))
