@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from emberline.llm.common import cut, free_name, gram_hashes
 
@@ -56,7 +57,7 @@ def masked_lines(texts: list[str | None], depth: int, exact: int = 3) -> Lines:
     """All lines with a token.  Lines of ``exact`` tokens or fewer have no variable fields.
 
     The leaf is the way down the tree: the token count, then place and hash of the first ``depth`` tokens that aren't variable, so that lines which
-    begin with numbers don't all meet.
+    begin with numbers don't all meet.  With ``depth`` 0 all leaves are 0.
     """
     buf = np.frombuffer(bytes([_TEXT_END]).join([t.encode("utf-8", "replace") if t else b"" for t in texts]), np.uint8)
     space = _SPACE[buf]
@@ -77,6 +78,8 @@ def masked_lines(texts: list[str | None], depth: int, exact: int = 3) -> Lines:
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
         x ^= x >> np.uint64(32)
     line = np.add.reduceat(x, start) if len(start) else np.empty(0, np.uint64)
+    if not depth:
+        return Lines(text, number, size, line.view(np.int64), np.zeros(len(size), np.int64), tokens, start, np.zeros(len(size), np.int64))
     fixed = np.flatnonzero(tokens != _WILD)
     owner = np.repeat(np.arange(len(size)), size)[fixed]
     turn = np.arange(len(fixed)) - np.searchsorted(owner, np.arange(len(size)))[owner] if len(fixed) else fixed
@@ -158,11 +161,11 @@ class _Tree:
             self.of.append(t)
             self.line = None
 
-    def take(self, leaf: int, line: int, size: int, prefix: int, tokens: bytes, doc, number: int, last) -> Iterator[tuple]:
-        if leaf != self.leaf:
-            yield from self.close()
-            self.leaf, self.templates = leaf, _Leaf(size, prefix, self.share)
-            self.lines, self.of, self.span, self.named, self.line = array("q"), array("i"), [], [], None
+    def open(self, leaf: int, size: int, prefix: int) -> None:
+        self.leaf, self.templates = leaf, _Leaf(size, prefix, self.share)
+        self.lines, self.of, self.span, self.named, self.line = array("q"), array("i"), [], [], None
+
+    def take(self, line: int, tokens: bytes, doc, number: int, last) -> None:
         if self.line is not None and self.line[0] == line:
             self.line[3] = max(self.line[3], last)
         else:
@@ -195,7 +198,20 @@ def recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     def grow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree, names = _Tree(share), ["line", "template", "keep_key", "keep_number"]
         for f in frames:
-            out = [y for r in zip(*(f[c].tolist() for c in f.columns), strict=True) for y in tree.take(*r)]
+            leaf, out = f["leaf"].to_numpy(), []
+            edge = np.r_[True, leaf[1:] != leaf[:-1], True]
+            alone = edge[:-1] & edge[1:]  # leaves of one row need no template
+            if len(f):
+                alone[0] &= leaf[0] != tree.leaf
+                alone[-1] = False  # the next frame may go on with it
+            spread = f[alone & (f["doc"] != f["last"]).to_numpy()]
+            out += zip(spread["line"].tolist(), spread["line"].tolist(), spread["doc"].tolist(), spread["number"].tolist(), strict=True)
+            rest = f[~alone]
+            for r in zip(*(rest[c].tolist() for c in f.columns), strict=True):
+                if r[0] != tree.leaf:
+                    out += tree.close()
+                    tree.open(r[0], r[2], r[3])
+                tree.take(r[1], r[4], r[5], r[6], r[7])
             yield pd.DataFrame(out, columns=names)
         yield pd.DataFrame(list(tree.close()), columns=names)
 
@@ -212,7 +228,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shar
 
     def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, texts in _chunks(frames):
-            x = masked_lines(texts, depth, exact)
+            x = masked_lines(texts, 0, exact)
             yield pd.DataFrame({"line": x.line, "doc": keys[x.text], "number": x.number})
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
@@ -230,8 +246,11 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text", key: str = "doc_id
     marks = dropped_lines(docs, text, key, **how)
     own, gone = free_name("doc", docs), free_name("numbers", docs)
     marks = marks.select(F.col("doc").alias(own), F.col("numbers").alias(gone))
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    left = F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")).otherwise("")
+
+    @pandas_udf("string")
+    def without(texts: pd.Series, numbers: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out) for t, out in zip(texts, (set() if n is None else set(n) for n in numbers), strict=True)], dtype=object)
+
     out = docs.join(marks, F.col(key) == F.col(own), "left")
+    left = without(F.when(F.col(gone).isNotNull(), F.col(text)), F.col(gone))  # only texts that lose lines go to Python
     return out.withColumns({text: F.when(F.col(gone).isNull(), F.col(text)).otherwise(left), "n_dropped": F.coalesce(F.size(gone), F.lit(0))}).drop(own, gone)
