@@ -175,3 +175,86 @@ def test_facility_and_boundary_files(spark, tmp_path):
     (tmp_path / "b.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"NAME_1": "Tamil Nadu"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"type": "Feature", "properties": {"name": "Other"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]}))
     assert files.boundary_edges(spark, str(tmp_path / "b.geojson"), "tamil nadu").count() == 3
     assert files.boundary_edges(spark, str(tmp_path / "b.geojson"), "OTHER").count() == 6
+
+
+def test_global_rank_keeps_all_rows_and_columns(spark):
+    from emberline.operators import curation
+
+    df = spark.range(300_000, numPartitions=16).select("id", (F.xxhash64("id") % 1000).alias("s"), F.sha2(F.col("id").cast("string"), 256).alias("wide"), (F.col("id") * 2).alias("twice"))
+    got = curation.global_rank(df, [F.desc("s"), F.asc("id")])
+    assert got.columns == ["id", "s", "wide", "twice", "rank"]
+    rows = got.select("rank", "s", "id", (F.col("twice") == F.col("id") * 2).alias("whole")).orderBy("rank").collect()
+    assert [r["rank"] for r in rows] == list(range(1, 300_001)) and all(r.whole for r in rows)
+    assert all((-a.s, a.id) < (-b.s, b.id) for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_region_falls_back_to_its_box_and_guards_empty_input(spark):
+    points = spark.createDataFrame([(1, 10.0, 78.0), (2, 0.0, 0.0)], "event_id long, latitude double, longitude double")
+    none = spark.createDataFrame([], "x1 double, y1 double, x2 double, y2 double")
+    assert [r.event_id for r in spatial.in_region(points, none).collect()] == [1] == [r.event_id for r in spatial.in_region(points, None).collect()]
+    assert quality.require_rows(points).count() == 2
+    with pytest.raises(ValueError, match="detections has no rows"):
+        quality.require_rows(points.limit(0), "detections")
+
+
+def test_nearest_with_few_and_far_sites(spark):
+    points = spark.createDataFrame([(1, 10.0, 78.0), (2, -40.0, -170.0)], "event_id long, latitude double, longitude double")
+    sites = spark.createDataFrame([(7, "node", 11.0, 78.0), (8, "way", 60.0, 10.0)], "osm_id long, osm_type string, latitude double, longitude double")
+    got = {r.event_id: [n.osm_id for n in r.nearest] for r in spatial.nearest(points, sites, 3, block=1).collect()}
+    assert got[1] == [7, 8] and sorted(got[2]) == [7, 8]
+
+
+def test_sinks_write_what_they_read_back(spark, tmp_path):
+    from emberline.sources import files
+
+    df = spark.createDataFrame([(1, 1.5, float("inf"), "A, b", D(2024, 1, 1)), (2, float("nan"), 2.0, 'say "x"', D(2024, 1, 2))], "event_id long, frp double, z double, predicted_class string, acq_date date")
+    files.write_clean(df, f"{tmp_path}/clean")
+    back = spark.read.parquet(f"{tmp_path}/clean")
+    assert sorted(back.columns) == sorted(df.columns) and back.filter("acq_date = '2024-01-02'").count() == 1
+    files.write_classified(df, f"{tmp_path}/classified")
+    got = {r.event_id: (r.frp, r.z, r.predicted_class) for r in spark.read.csv(f"{tmp_path}/classified", header=True, schema=df.schema).collect()}
+    assert got == {1: (1.5, None, "A, b"), 2: (None, 2.0, 'say "x"')}
+    files.write_facilities(df.select("event_id", F.create_map(F.lit("power"), F.lit("plant")).alias("tags")), f"{tmp_path}/sites")
+    assert {r.tags["power"] for r in files.read_tags(spark.read.csv(f"{tmp_path}/sites", header=True)).collect()} == {"plant"}
+    files.write_review_sheets(df.drop("acq_date"), f"{tmp_path}/sheets")
+    assert {p.name for p in tmp_path.joinpath("sheets").iterdir() if p.is_dir()} and spark.read.option("header", True).csv(f"{tmp_path}/sheets").count() == 2
+
+
+def test_model_record_and_saved_model(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from emberline.operators import ml
+
+    rows = spark.createDataFrame([(i, float(i % 7), "x" if i % 2 else "y", "A" if i % 7 > 3 else "B") for i in range(80)], "event_id long, a double, b string, target string")
+    for family in ("rf", "extra", "gbt"):
+        fitted = ml.fit(rows, ["a"], ["b"], "target", family, trees=10, depth=3)
+        assert ml.predicted(rows, fitted, ["a"]).filter("predicted_class = target").count() >= 76
+    fitted = ml.fit(rows, ["a"], ["b"], "target", trees=10, depth=3)
+    record = ml.save(fitted, str(tmp_path), rows, ["a"], ["b"], "target", {"accuracy": 1.0}).first()
+    assert record.rows == 80 and record.rows_by_class == {"A": 33, "B": 47} and record.parameters["numTrees"] == "10" and record.metrics == {"accuracy": 1.0}
+    again = PipelineModel.load(f"{tmp_path}/model")
+    assert [r.predicted_class for r in ml.predicted(rows, again, ["a"]).orderBy("event_id").collect()] == [r.predicted_class for r in ml.predicted(rows, fitted, ["a"]).orderBy("event_id").collect()]
+    with pytest.raises(ValueError, match="leaking"):
+        ml.guard(rows.withColumn("cv_fold", F.lit(1)), ["a"])
+
+
+def test_selections_match_plain_code(spark):
+    from emberline.operators import curation
+
+    r = random.Random(3)
+    covers = ["Built-up", "Cropland", "Tree cover", "Mangroves"]
+    rows = [(i, r.uniform(8, 13), r.uniform(76, 80), round(r.uniform(0, 9), 3), D(2024, 1, 1 + i % 28), r.choice(covers), "COVERED", i % 2, r.choice(["HIGH", "MEDIUM", "LOW"]), False) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, latitude double, longitude double, frp double, acq_date date, landcover_class string, coverage string, persistent_location_flag int, candidate_priority string, is_spatial_duplicate boolean")
+    got = [x.event_id for x in curation.greedy_diverse(df, {"HIGH": 3, "MEDIUM": 2}, 6).orderBy("selection_order").collect()]
+    by = {x[0]: x for x in rows}
+    assert got[0] == min(i for i, x in by.items() if x[5] == "Mangroves") and len(got) == len(set(got)) == 6
+    assert sum(by[i][8] == "HIGH" for i in got) >= 3 and sum(by[i][8] == "MEDIUM" for i in got) >= 2
+
+
+def test_late_rows_go_aside(spark, tmp_path):
+    from emberline.streaming import pipelines
+
+    spark.createDataFrame([(1, dt.datetime(2024, 1, 10)), (2, dt.datetime(2024, 1, 9)), (3, dt.datetime(2024, 1, 1))], "event_id long, event_time timestamp").write.parquet(f"{tmp_path}/in")
+    stream = pipelines.detection_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, "parquet")
+    pipelines.split_late(stream, f"{tmp_path}/good", f"{tmp_path}/late", f"{tmp_path}/c").awaitTermination()
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/good").collect()) == [1, 2] and [r.event_id for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [3]
