@@ -681,6 +681,25 @@ def test_language_model_takes_clashing_names_and_many_batches(spark, monkeypatch
     assert [v.tolist() for v in lm.summed_pairs(*x)] == [[2, 5, 5], [9, 0, 1], [1, 1, 5]]
 
 
+@pytest.mark.parametrize("rows", [[], [r if r[0] != 5 else (5, "word " * 3000, "s") for r in HARD]])
+def test_queries_take_empty_and_hard_tables(spark, tmp_path, rows):
+    """Every query on no documents at all, and on nulls, empty texts, repeated rows and extra columns."""
+    from emberline.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(*r, "en" if r[1] else None, 7) for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three")] if rows else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("op1_decontamination", "op2_line_dedup", "op3_secrets", "op4_quality", "op5_language", "op6_token_counts", "op7_simhash", "op8_packing", "op9_embeddings", "op10_lm"):
+        got = QUERIES[name](spark, str(tmp_path)).collect()
+        if name in ("op1_decontamination", "op3_secrets", "op9_embeddings"):
+            continue
+        assert len(got) >= len(rows), name
+        if "held_out" in (got[0].asDict() if got else ()):
+            assert all(x.held_out is not None and (x.doc_id is not None or x.held_out) for x in got), name
+
+
 # ----------------------------------------------------------------- pipeline
 
 
