@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.labels import confidence_tier
+from emberline.sources.shared import materialize, spread
 
 LEAKAGE = ("reviewed_class", "raw_label", "target_class", "cv_fold", "validation_label")
 
@@ -49,7 +50,7 @@ def stages(numeric: list[str], categorical: list[str], label: str, model: str =
         prep.append(OneHotEncoder(inputCols=[f"_{c}_i" for c in categorical], outputCols=[f"_{c}_o" for c in categorical]))
     prep.append(VectorAssembler(inputCols=[f"_{c}_f" for c in numeric] + [f"_{c}_o" for c in categorical], outputCol="_features"))
     common = {"featuresCol": "_features", "labelCol": "_label"}
-    forest = {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": 3, "seed": seed, "weightCol": "_weight", "maxMemoryInMB": 1024}
+    forest = {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": 3, "seed": seed, "weightCol": "_weight", "maxMemoryInMB": 1024, "cacheNodeIds": True}
     learner = {
         "rf": lambda: RandomForestClassifier(**common, **forest),
         "extra": lambda: RandomForestClassifier(**common, **forest, bootstrap=False, featureSubsetStrategy="sqrt", subsamplingRate=1.0),
@@ -66,12 +67,12 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str, model: str = "rf", **how) -> PipelineModel:
-    """The fitted pipeline."""
+    """The fitted pipeline.  The weighted rows are written once, as every step of the pipeline reads them, and dealt over all cores."""
     filled = numeric_matrix(df, numeric)
     empty = filled.agg(*(F.count(c).alias(c) for c in numeric)).first().asDict() if numeric else {}
     if gone := [c for c, n in empty.items() if not n]:
         filled = filled.fillna(0.0, gone)
-    return Pipeline(stages=stages(numeric, categorical, label, model, **how)).fit(balanced(filled, label))
+    return Pipeline(stages=stages(numeric, categorical, label, model, **how)).fit(spread(materialize(balanced(filled, label))))
 
 
 def save(fitted: PipelineModel, path: str, df: DataFrame, numeric: list[str], categorical: list[str], label: str, metrics: dict[str, float]) -> DataFrame:

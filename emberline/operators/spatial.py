@@ -78,7 +78,7 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, lat: str = "latitud
     y, x = F.col(lat), F.col(lon)
     site = materialize(sites.filter("latitude is not null and longitude is not null").select(F.struct("latitude", "longitude", *keep).alias("_s")))
     kind = "array<struct<distance_m:double," + ",".join(f"{c}:{dict(sites.dtypes)[c]}" for c in keep) + ">>"
-    ranked = lambda a: F.slice(F.array_sort(F.transform(a, lambda s: F.struct(F.round(haversine_m(y, x, s.latitude, s.longitude), 3).alias("distance_m"), *(s[c].alias(c) for c in keep)))), 1, k)
+    ranked = lambda a: F.slice(F.sort_array(F.transform(a, lambda s: F.struct(F.round(haversine_m(y, x, s.latitude, s.longitude), 3).alias("distance_m"), *(s[c].alias(c) for c in keep)))), 1, k)
     none = F.array().cast(kind)
     lost = y.isNull() | x.isNull()
     done, open_, whole = [points.filter(lost).withColumn(result, none)], points.filter(~lost), site.count()
@@ -97,7 +97,7 @@ def nearest(points: DataFrame, sites: DataFrame, k: int = 1, lat: str = "latitud
     dealt = site.withColumn("_b", F.expr(f"cast(pmod(xxhash64(_s), {blocks}) as int)")).groupBy("_b").agg(F.collect_list("_s").alias("_sites"))
     open_ = materialize(open_.withColumn("_p", F.monotonically_increasing_id()))
     part = open_.select("_p", lat, lon, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).join(dealt, "_b").select("_p", ranked(F.col("_sites")).alias("_n"))
-    best = part.groupBy("_p").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_n"))), 1, k).alias(result))
+    best = part.groupBy("_p").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_n"))), 1, k).alias(result))
     last = open_.join(best, "_p", "left").withColumn(result, F.coalesce(result, none)).drop("_p")
     return union_all([*done, last])
 

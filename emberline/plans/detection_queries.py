@@ -10,7 +10,7 @@ from emberline.functions import labels as lb
 from emberline.functions.common import flag
 from emberline.operators import features, quality, report, spatial
 from emberline.plans.registry import Tables, query
-from emberline.sources.shared import materialize
+from emberline.sources.shared import materialize, spread
 
 RADII = (500, 1000, 2000, 5000, 10000)
 FEW = ("event_id", "latitude", "longitude", "brightness", "frp")
@@ -53,13 +53,18 @@ def clean(t: Tables) -> DataFrame:
     return quality.clean_detections(t("detections"), distinct=False)
 
 
+def searched(t: Tables) -> DataFrame:
+    """Clean detections for the nearest searches, which cost far more a row than a scan."""
+    return quality.clean_detections(spread(t("detections")), distinct=False)
+
+
 def celled(t: Tables) -> DataFrame:
     return clean(t).withColumns({"cell_y": thermal.cell_floor("latitude"), "cell_x": thermal.cell_floor("longitude")})
 
 
 def with_facility(t: Tables) -> DataFrame:
     """Clean detections with the nearest facility and the nearest of higher relevance."""
-    out = spatial.nearest_one(clean(t), t("facilities"), "nearest", "distance_to_facility_m", ("osm_type", "osm_id", "name", "relevance_tier"))
+    out = spatial.nearest_one(searched(t), t("facilities"), "nearest", "distance_to_facility_m", ("osm_type", "osm_id", "name", "relevance_tier"))
     return spatial.nearest_one(out, t("facilities").filter("relevance_tier = 'HIGHER_RELEVANCE'"), "nearest_hr", "distance_to_higher_relevance_m")
 
 
@@ -253,23 +258,23 @@ def _(t):
 # ------------------------------------------------------------- spatial joins
 @query("j1_nearest_facility", "detections facilities", CLEAN + _near() + " SELECT event_id, osm_type, osm_id, name, relevance_tier, distance_m FROM near")
 def _(t):
-    near = spatial.nearest_one(clean(t), t("facilities"), "n", "distance_m", ("osm_type", "osm_id", "name", "relevance_tier"))
+    near = spatial.nearest_one(searched(t), t("facilities"), "n", "distance_m", ("osm_type", "osm_id", "name", "relevance_tier"))
     return near.select("event_id", *(F.col(f"n_{c}").alias(c) for c in ("osm_type", "osm_id", "name", "relevance_tier")), "distance_m")
 
 
 @query("j2_nearest_higher_relevance", "detections facilities", CLEAN + _near("f.relevance_tier = 'HIGHER_RELEVANCE'") + " SELECT event_id, osm_id, distance_m FROM near")
 def _(t):
-    return spatial.nearest_one(clean(t), t("facilities").filter("relevance_tier = 'HIGHER_RELEVANCE'"), "n", "distance_m").select("event_id", F.col("n_osm_id").alias("osm_id"), "distance_m")
+    return spatial.nearest_one(searched(t), t("facilities").filter("relevance_tier = 'HIGHER_RELEVANCE'"), "n", "distance_m").select("event_id", F.col("n_osm_id").alias("osm_id"), "distance_m")
 
 
 @query("j27_nearest_general_context", "detections facilities", CLEAN + _near("f.relevance_tier = 'GENERAL_CONTEXT'") + " SELECT event_id, osm_id, distance_m FROM near")
 def _(t):
-    return spatial.nearest_one(clean(t), t("facilities").filter("relevance_tier = 'GENERAL_CONTEXT'"), "n", "distance_m").select("event_id", F.col("n_osm_id").alias("osm_id"), "distance_m")
+    return spatial.nearest_one(searched(t), t("facilities").filter("relevance_tier = 'GENERAL_CONTEXT'"), "n", "distance_m").select("event_id", F.col("n_osm_id").alias("osm_id"), "distance_m")
 
 
 @query("j4_three_nearest", "detections facilities", CLEAN + _near(k=3) + " SELECT event_id, CAST(r AS INTEGER) AS place, osm_id, distance_m, CASE WHEN distance_m <= 10000 THEN 'MATCH' ELSE 'NONE' END AS found FROM near")
 def _(t):
-    near = spatial.nearest(clean(t), t("facilities"), 3).select("event_id", F.posexplode("nearest").alias("p", "s"))
+    near = spatial.nearest(searched(t), t("facilities"), 3).select("event_id", F.posexplode("nearest").alias("p", "s"))
     return near.select("event_id", (F.col("p") + 1).alias("place"), "s.osm_id", "s.distance_m", F.when(F.col("s.distance_m") <= 10_000, "MATCH").otherwise("NONE").alias("found"))
 
 

@@ -11,7 +11,7 @@ from emberline.functions.labels import target_class
 from emberline.operators import features, ml, serve
 from emberline.plans.registry import Tables, query
 from emberline.plans.serving_queries import CLASS_SQL, REVIEWED, TARGET
-from emberline.sources.shared import materialize, shared_folder, union_all
+from emberline.sources.shared import materialize, shared_folder, spread, union_all
 
 NUMERIC = ["brightness", "bright_t31", "frp", "scan", "track", "brightness_difference", "log_frp", "hour", "confidence_encoded"]
 CATEGORICAL = ["satellite_source", "daynight"]
@@ -48,7 +48,7 @@ def _(t):
 def _(t):
     train = ml.guard(cohort(t).drop("reviewed_class", "raw_label"), NUMERIC, ("reviewed_class", "raw_label"))
     fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class")
-    rows = features.thermal_features(features.temporal_features(t("detections")))
+    rows = features.thermal_features(features.temporal_features(spread(t("detections"))))
     return ml.score(rows, fitted, NUMERIC, ["event_id"])
 
 

@@ -27,6 +27,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores, dealt over all of them before costly work on each row; a larger one stays as it is.
+
+    Use it on scans and on narrow steps over them: to count the partitions of a shuffled plan would run its shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """Rows of all parts by column name, missing columns as null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
