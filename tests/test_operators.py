@@ -111,6 +111,8 @@ def test_polygon_excludes_its_edge_and_empty_polygon_keeps_columns(spark):
     assert [r.event_id for r in spatial.in_polygon(points, edges).collect()] == [1]
     assert spatial.in_polygon(points, edges.limit(0)).columns == points.columns
     assert [r.event_id for r in spatial.in_polygon(points, edges, most_edges=1).collect()] == [1]
+    for most in (1, 5000):
+        assert [r.event_id for r in spatial.in_polygon(points, edges.union(edges.limit(1).selectExpr(*(f"cast(null as double) as {c}" for c in edges.columns))), most_edges=most).collect()] == [1]
 
 
 def test_image_ranking_prefers_the_nearest_day(spark):
