@@ -102,6 +102,14 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(model, docs).withColumn("held_out", held_out(7, 2)).drop("text")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under two tokenizers; null and empty texts and those that a tokenizer doesn't give back have zeros, repeated doc_ids are documents of their own."""
+    from emberline.llm.align import alignment_counts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment_counts(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -120,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_embeddings": op9_embeddings,
     "op10_lm": op10_lm,
+    "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 #: SQL has no way to say any of these (hash votes, tokenizers, trained models, alignments), so each is tested against brute force instead.
