@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.llm import oracle
 from emberline.llm.common import table
 
 
@@ -102,6 +103,14 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(model, docs).withColumn("held_out", held_out(7, 2)).drop("text")
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; a null text has none, a null source is the last source, repeated doc_ids are documents of their own."""
+    from emberline.llm.mixing import mix_sources, words_taken
+
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", words_taken(F.col("spans")).alias("taken"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, groups and links of every document under two tokenizers; null and empty texts and those that a tokenizer doesn't give back have zeros, repeated doc_ids are documents of their own."""
     from emberline.llm.align import alignment_counts
@@ -128,8 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_embeddings": op9_embeddings,
     "op10_lm": op10_lm,
+    "op12_mixing": op12_mixing,
     "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
-#: SQL has no way to say any of these (hash votes, tokenizers, trained models, alignments), so each is tested against brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+#: SQL has no way to say the others (hash votes, tokenizers, trained models, alignments), so each is tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {"op12_mixing": oracle.MIXING}

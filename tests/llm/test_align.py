@@ -1,5 +1,6 @@
 """Cross-tokenizer alignment against both libraries run over whole texts and a plain two-pointer merge."""
 
+import functools
 import hashlib
 from collections import Counter, defaultdict
 
@@ -17,13 +18,19 @@ HARD = [
 ]
 
 
-def encoded(text):
-    """(ids, bytes) of all tokens of A and of B; nothing where a tokenizer doesn't give the text back."""
+@functools.cache
+def libraries():
     import sentencepiece
     from tokenizers import Tokenizer
 
-    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a = Tokenizer.from_file(A)
     a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def encoded(text):
+    """(ids, bytes) of all tokens of A and of B; nothing where a tokenizer doesn't give the text back."""
+    a, b = libraries()
     plain = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255]
     byte = {chr(x): x for x in plain} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in plain)}
     e, ids = a.encode(" " + text, add_special_tokens=False), b.encode(text)
