@@ -40,3 +40,23 @@ y AS (SELECT row_no, place, shard, stop - size AS start, stop, unnest(range(CAST
 z AS (SELECT row_no, sum((least((block + 1) * 16, stop) - greatest(block * 16, start)) * times) AS taken FROM y JOIN b USING (place, shard, block) GROUP BY row_no)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM x LEFT JOIN z USING (row_no)
 """
+
+SEARCH = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM t WHERE len(terms) > 0),
+q AS (
+  SELECT DISTINCT item_no, item_id, term
+  FROM (SELECT row_number() OVER () AS item_no, item_id,
+      unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE text IS NOT NULL)),
+p AS (SELECT row_no, doc_id, n, term, count(*) AS tf FROM (SELECT row_no, doc_id, len(terms) AS n, unnest(terms) AS term FROM t) GROUP BY row_no, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s GROUP BY term, n_docs),
+r AS (
+  SELECT item_no, item_id, row_no, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY item_no, item_id, row_no, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM r WHERE score > 0) WHERE rank <= 50
+"""

@@ -103,6 +103,13 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(model, docs).withColumn("held_out", held_out(7, 2)).drop("text")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item; null and empty texts and items match nothing, repeated doc_ids are documents of their own."""
+    from emberline.llm.ranked import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document; a null text has none, a null source is the last source, repeated doc_ids are documents of their own."""
     from emberline.llm.mixing import mix_sources, words_taken
@@ -137,9 +144,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_embeddings": op9_embeddings,
     "op10_lm": op10_lm,
+    "op11_search": op11_search,
     "op12_mixing": op12_mixing,
     "op13_alignment": op13_alignment,
     "pipeline": pipeline,
 }
 #: SQL has no way to say the others (hash votes, tokenizers, trained models, alignments), so each is tested against brute force instead.
-ORACLE_SQL: dict[str, str] = {"op12_mixing": oracle.MIXING}
+ORACLE_SQL: dict[str, str] = {"op11_search": oracle.SEARCH, "op12_mixing": oracle.MIXING}
