@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from emberline.functions.common import flag
 from emberline.functions.geo import haversine_m, inside_rings
+from emberline.operators.site_index import MOST, site_index
 from emberline.params import DEFAULTS, Params
-from emberline.sources.shared import materialize, union_all
-
-#: Cell sizes in degrees that a nearest-neighbour search goes through; what the last leaves open is compared with all sites, in blocks.
-LEVELS = (0.25, 1.0, 4.0, 16.0)
 
 
 def in_box(df: DataFrame, south: float, north: float, west: float, east: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -60,49 +57,13 @@ def tile_grid(spark: SparkSession, rows: int, cols: int, south: float, north: fl
     )
 
 
-def _reach(lat: Column, lon: Column, cell: float) -> Column:
-    """Metres around the point that surely lie within its cell and the eight around it."""
-    south, west = (F.floor(lat / cell) - 1) * cell, (F.floor(lon / cell) - 1) * cell
-    up, across = F.least(lat - south, south + 3 * cell - lat), F.least(lon - west, west + 3 * cell - lon)
-    sideways = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(across)))
-    inside = (west >= -180) & (west + 3 * cell <= 180)
-    return F.when(inside, F.least(F.radians(up), sideways) * DEFAULTS.earth_radius_m).otherwise(F.lit(-1.0))
-
-
-def nearest(points: DataFrame, sites: DataFrame, k: int = 1, lat: str = "latitude", lon: str = "longitude", keep: tuple[str, ...] = ("osm_type", "osm_id"), result: str = "nearest", block: int = 1000) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, k: int = 1, lat: str = "latitude", lon: str = "longitude", keep: tuple[str, ...] = ("osm_type", "osm_id"), result: str = "nearest", most: int = MOST) -> DataFrame:
     """Each point with an array of its ``k`` nearest sites, struct(distance_m, *keep), ties by ``keep`` in order.
 
-    Sites go to their cell and its neighbours as one array per cell, so points keep their partitioning: they look their own cell up and take the
-    smallest distances.  A result stands if the k-th distance lies within what the cells surely cover; only points that are still open look up the
-    next larger cells.  The last of them (far from all sites, or with fewer than ``k`` sites at all) meet the sites in blocks of about ``block`` and merge the
-    blocks' results.  Points without coordinates and tables without sites get an empty array.  Distances are rounded to a
-    millimetre, which settles ties.
+    An index of the sites is built, then each point joins its one cell, which holds every site that can be nearest there, ``most`` of them at most.  Points that aren't on the globe and
+    tables without sites get an empty array.  Distances are rounded to a millimetre, which settles ties.
     """
-    y, x = F.col(lat), F.col(lon)
-    site = materialize(sites.filter("latitude is not null and longitude is not null").select(F.struct("latitude", "longitude", *keep).alias("_s")))
-    kind = "array<struct<distance_m:double," + ",".join(f"{c}:{dict(sites.dtypes)[c]}" for c in keep) + ">>"
-    ranked = lambda a: F.slice(F.sort_array(F.transform(a, lambda s: F.struct(F.round(haversine_m(y, x, s.latitude, s.longitude), 3).alias("distance_m"), *(s[c].alias(c) for c in keep)))), 1, k)
-    none = F.array().cast(kind)
-    lost = y.isNull() | x.isNull()
-    done, open_, whole = [points.filter(lost).withColumn(result, none)], points.filter(~lost), site.count()
-    for cell in LEVELS if whole >= k else ():
-        around = F.explode(F.array(*(F.lit(d) for d in (-1, 0, 1))))
-        cells = site.withColumn("_dy", around).withColumn("_dx", around)
-        cells = cells.groupBy((F.floor(F.col("_s.latitude") / cell) + F.col("_dy")).alias("_cy"), (F.floor(F.col("_s.longitude") / cell) + F.col("_dx")).alias("_cx")).agg(F.collect_list("_s").alias("_sites"))
-        out = open_.withColumns({"_cy": F.floor(y / cell), "_cx": F.floor(x / cell)}).join(cells, ["_cy", "_cx"], "left")
-        out = out.withColumn(result, F.coalesce(ranked(F.col("_sites")), none)).drop("_cy", "_cx", "_sites")
-        out = materialize(out.withColumn("_done", F.coalesce((F.size(result) == k) & (F.element_at(result, -1)["distance_m"] <= _reach(y, x, cell)), F.lit(False))))
-        done.append(out.filter("_done").drop("_done"))
-        open_ = out.filter("not _done").drop("_done", result)
-        if open_.isEmpty():
-            return union_all(done)
-    blocks = max(1, -(-whole // block))
-    dealt = site.withColumn("_b", F.expr(f"cast(pmod(xxhash64(_s), {blocks}) as int)")).groupBy("_b").agg(F.collect_list("_s").alias("_sites"))
-    open_ = materialize(open_.withColumn("_p", F.monotonically_increasing_id()))
-    part = open_.select("_p", lat, lon, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")).join(dealt, "_b").select("_p", ranked(F.col("_sites")).alias("_n"))
-    best = part.groupBy("_p").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_n"))), 1, k).alias(result))
-    last = open_.join(best, "_p", "left").withColumn(result, F.coalesce(result, none)).drop("_p")
-    return union_all([*done, last])
+    return site_index(sites, k, keep, most).look_up(points, lat, lon, result)
 
 
 def nearest_one(points: DataFrame, sites: DataFrame, prefix: str, distance: str, keep: tuple[str, ...] = ("osm_type", "osm_id", "name"), **how) -> DataFrame:

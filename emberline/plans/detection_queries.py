@@ -30,7 +30,7 @@ def haversine_sql(a: str, b: str) -> str:
     return f"ROUND(CAST(12742000 AS DOUBLE) * ASIN(SQRT(LEAST(CAST(1 AS DOUBLE), {s} * {s} + COS(RADIANS({a}.latitude)) * COS(RADIANS({b}.latitude)) * {t} * {t}))), 3)"
 
 
-def _near(where: str = "TRUE", k: int = 1, points: str = "clean") -> str:
+def near_sql(where: str = "TRUE", k: int = 1, points: str = "clean") -> str:
     return f""", pairs AS (SELECT d.event_id, f.osm_type, f.osm_id, f.name, f.relevance_tier, {haversine_sql("d", "f")} AS distance_m FROM {points} d CROSS JOIN facilities f WHERE {where}),
   near AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY distance_m, osm_type, osm_id) AS r FROM pairs) WHERE r <= {k})"""
 
@@ -256,47 +256,47 @@ def _(t):
 
 
 # ------------------------------------------------------------- spatial joins
-@query("j1_nearest_facility", "detections facilities", CLEAN + _near() + " SELECT event_id, osm_type, osm_id, name, relevance_tier, distance_m FROM near")
+@query("j1_nearest_facility", "detections facilities", CLEAN + near_sql() + " SELECT event_id, osm_type, osm_id, name, relevance_tier, distance_m FROM near")
 def _(t):
     near = spatial.nearest_one(searched(t), t("facilities"), "n", "distance_m", ("osm_type", "osm_id", "name", "relevance_tier"))
     return near.select("event_id", *(F.col(f"n_{c}").alias(c) for c in ("osm_type", "osm_id", "name", "relevance_tier")), "distance_m")
 
 
-@query("j2_nearest_higher_relevance", "detections facilities", CLEAN + _near("f.relevance_tier = 'HIGHER_RELEVANCE'") + " SELECT event_id, osm_id, distance_m FROM near")
+@query("j2_nearest_higher_relevance", "detections facilities", CLEAN + near_sql("f.relevance_tier = 'HIGHER_RELEVANCE'") + " SELECT event_id, osm_id, distance_m FROM near")
 def _(t):
     return spatial.nearest_one(searched(t), t("facilities").filter("relevance_tier = 'HIGHER_RELEVANCE'"), "n", "distance_m").select("event_id", F.col("n_osm_id").alias("osm_id"), "distance_m")
 
 
-@query("j27_nearest_general_context", "detections facilities", CLEAN + _near("f.relevance_tier = 'GENERAL_CONTEXT'") + " SELECT event_id, osm_id, distance_m FROM near")
+@query("j27_nearest_general_context", "detections facilities", CLEAN + near_sql("f.relevance_tier = 'GENERAL_CONTEXT'") + " SELECT event_id, osm_id, distance_m FROM near")
 def _(t):
     return spatial.nearest_one(searched(t), t("facilities").filter("relevance_tier = 'GENERAL_CONTEXT'"), "n", "distance_m").select("event_id", F.col("n_osm_id").alias("osm_id"), "distance_m")
 
 
-@query("j4_three_nearest", "detections facilities", CLEAN + _near(k=3) + " SELECT event_id, CAST(r AS INTEGER) AS place, osm_id, distance_m, CASE WHEN distance_m <= 10000 THEN 'MATCH' ELSE 'NONE' END AS found FROM near")
+@query("j4_three_nearest", "detections facilities", CLEAN + near_sql(k=3) + " SELECT event_id, CAST(r AS INTEGER) AS place, osm_id, distance_m, CASE WHEN distance_m <= 10000 THEN 'MATCH' ELSE 'NONE' END AS found FROM near")
 def _(t):
     near = spatial.nearest(searched(t), t("facilities"), 3).select("event_id", F.posexplode("nearest").alias("p", "s"))
     return near.select("event_id", (F.col("p") + 1).alias("place"), "s.osm_id", "s.distance_m", F.when(F.col("s.distance_m") <= 10_000, "MATCH").otherwise("NONE").alias("found"))
 
 
-@query("j5_m18_match_strength", "detections facilities", CLEAN + _near() + """ SELECT event_id, CASE WHEN distance_m > 10000 THEN 'NO MATCH' WHEN distance_m < 1000 THEN 'STRONG' WHEN distance_m < 5000 THEN 'NEARBY' ELSE 'WEAK' END AS strength,
+@query("j5_m18_match_strength", "detections facilities", CLEAN + near_sql() + """ SELECT event_id, CASE WHEN distance_m > 10000 THEN 'NO MATCH' WHEN distance_m < 1000 THEN 'STRONG' WHEN distance_m < 5000 THEN 'NEARBY' ELSE 'WEAK' END AS strength,
   CASE WHEN distance_m / 1000 <= 0.5 THEN 'strong' WHEN distance_m / 1000 <= 2 THEN 'moderate' ELSE 'weak' END AS quality FROM near""")
 def _(t):
     d = F.col("distance_to_facility_m")
     return with_facility(t).select("event_id", geo.match_strength(d).alias("strength"), geo.match_quality(d / 1000).alias("quality"))
 
 
-@query("j3_m14_distance_flags", "detections facilities", CLEAN + _near() + " SELECT event_id, " + ", ".join(f"CAST(CASE WHEN distance_m <= {r} THEN 1 ELSE 0 END AS INTEGER) AS near_industrial_{r}m" for r in RADII) + " FROM near")
+@query("j3_m14_distance_flags", "detections facilities", CLEAN + near_sql() + " SELECT event_id, " + ", ".join(f"CAST(CASE WHEN distance_m <= {r} THEN 1 ELSE 0 END AS INTEGER) AS near_industrial_{r}m" for r in RADII) + " FROM near")
 def _(t):
     return with_facility(t).select("event_id", *(c.alias(n) for n, c in geo.within_flags("distance_to_facility_m", "near_industrial").items()))
 
 
-@query("j7_facility_coordinates", "detections facilities", CLEAN + _near() + " SELECT n.event_id, f.latitude AS facility_latitude, f.longitude AS facility_longitude FROM near n JOIN facilities f ON n.osm_id = f.osm_id AND n.osm_type = f.osm_type")
+@query("j7_facility_coordinates", "detections facilities", CLEAN + near_sql() + " SELECT n.event_id, f.latitude AS facility_latitude, f.longitude AS facility_longitude FROM near n JOIN facilities f ON n.osm_id = f.osm_id AND n.osm_type = f.osm_type")
 def _(t):
     sites = t("facilities").select(F.col("osm_type").alias("nearest_osm_type"), F.col("osm_id").alias("nearest_osm_id"), F.col("latitude").alias("facility_latitude"), F.col("longitude").alias("facility_longitude"))
     return with_facility(t).join(sites, ["nearest_osm_type", "nearest_osm_id"], "left").select("event_id", "facility_latitude", "facility_longitude")
 
 
-@query("m23_review_links", "detections facilities", CLEAN + _near() + """ SELECT d.event_id, printf('https://www.google.com/maps/@%.6f,%.6f,800m/data=!3m1!1e3', d.latitude, d.longitude) AS satellite, printf('https://www.google.com/maps/dir/%.6f,%.6f/%.6f,%.6f', d.latitude, d.longitude, f.latitude, f.longitude) AS route
+@query("m23_review_links", "detections facilities", CLEAN + near_sql() + """ SELECT d.event_id, printf('https://www.google.com/maps/@%.6f,%.6f,800m/data=!3m1!1e3', d.latitude, d.longitude) AS satellite, printf('https://www.google.com/maps/dir/%.6f,%.6f/%.6f,%.6f', d.latitude, d.longitude, f.latitude, f.longitude) AS route
   FROM clean d JOIN near n ON d.event_id = n.event_id JOIN facilities f ON f.osm_id = n.osm_id AND f.osm_type = n.osm_type""")
 def _(t):
     sites = t("facilities").select(F.col("osm_type").alias("nearest_osm_type"), F.col("osm_id").alias("nearest_osm_id"), F.col("latitude").alias("fy"), F.col("longitude").alias("fx"))
@@ -336,20 +336,20 @@ def _(t):
     return grid.select("tile_no", *(F.round(c, 6).alias(c) for c in ("south", "north", "west", "east")))
 
 
-@query("a12_a13_w7_distance_bands", "detections facilities", CLEAN + _near() + """, r AS (SELECT * FROM (VALUES (500), (1000), (2000), (5000), (10000)) v(radius_m)),
+@query("a12_a13_w7_distance_bands", "detections facilities", CLEAN + near_sql() + """, r AS (SELECT * FROM (VALUES (500), (1000), (2000), (5000), (10000)) v(radius_m)),
   c AS (SELECT radius_m, COUNT(CASE WHEN distance_m <= radius_m THEN 1 END) AS within, ROUND(100.0 * COUNT(CASE WHEN distance_m <= radius_m THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 2) AS pct FROM r CROSS JOIN near GROUP BY radius_m)
   SELECT CAST(radius_m AS INTEGER) AS radius_m, within, pct, within - COALESCE(LAG(within) OVER (ORDER BY radius_m), 0) AS gain FROM c""")
 def _(t):
     return spatial.distance_bands(with_facility(t), "distance_to_facility_m")
 
 
-@query("a14_distance_by_coverage", "detections facilities tiles", CLEAN + _near() + COVER + """ SELECT coverage, COUNT(*) AS n, ROUND(MEDIAN(distance_m), 3) AS median_m, ROUND(100.0 * COUNT(CASE WHEN distance_m <= 2000 THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 4) AS pct_2km, ROUND(100.0 * COUNT(CASE WHEN distance_m <= 5000 THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 4) AS pct_5km
+@query("a14_distance_by_coverage", "detections facilities tiles", CLEAN + near_sql() + COVER + """ SELECT coverage, COUNT(*) AS n, ROUND(MEDIAN(distance_m), 3) AS median_m, ROUND(100.0 * COUNT(CASE WHEN distance_m <= 2000 THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 4) AS pct_2km, ROUND(100.0 * COUNT(CASE WHEN distance_m <= 5000 THEN 1 END) / CAST(COUNT(*) AS DOUBLE), 4) AS pct_5km
   FROM near JOIN covered USING (event_id) GROUP BY coverage""")
 def _(t):
     return report.by_coverage(spatial.tile_coverage(with_facility(t), t("tiles")), distance="distance_to_facility_m")
 
 
-@query("a40_nearby_tiers", "detections facilities", CLEAN + _near() + """, x AS (SELECT relevance_tier AS value, COUNT(*) AS n FROM near WHERE distance_m <= 5000 GROUP BY 1) SELECT value, n, ROUND(100.0 * n / CAST(SUM(n) OVER () AS DOUBLE), 4) AS pct FROM x""")
+@query("a40_nearby_tiers", "detections facilities", CLEAN + near_sql() + """, x AS (SELECT relevance_tier AS value, COUNT(*) AS n FROM near WHERE distance_m <= 5000 GROUP BY 1) SELECT value, n, ROUND(100.0 * n / CAST(SUM(n) OVER () AS DOUBLE), 4) AS pct FROM x""")
 def _(t):
     return report.nearby_categories(with_facility(t), "nearest_relevance_tier", "distance_to_facility_m")
 
@@ -388,7 +388,7 @@ def _(t):
     return back.select("osm_id", F.nullif(F.element_at("tags", "industrial"), F.lit("")).alias("industrial"))
 
 
-WEAK = CELLS + STATS + DAYS + LAND + _near()
+WEAK = CELLS + STATS + DAYS + LAND + near_sql()
 WEAK_SQL = """, w AS (SELECT s.event_id, n.distance_m <= 2000 AS near, d.active >= 3 AS lasting, (s.bz >= 2 OR s.fz >= 2) AS hot, l.landcover_class AS lc, EXTRACT(MONTH FROM s.acq_date) IN (2, 3, 4, 5) AS forest, EXTRACT(MONTH FROM s.acq_date) IN (4, 5, 10, 11) AS stubble
   FROM scored s JOIN near n ON s.event_id = n.event_id JOIN landed l ON l.event_id = s.event_id JOIN days d ON s.cell_y = d.cell_y AND s.cell_x = d.cell_x AND EXTRACT(YEAR FROM s.acq_date) = d.y)
   SELECT event_id, CASE WHEN lc <> 'Unknown' AND near AND lc = 'Built-up' AND lasting AND NOT hot THEN 'Persistent Thermal Source' WHEN lc <> 'Unknown' AND near AND lc = 'Built-up' AND hot THEN 'Industrial Fire'
@@ -444,7 +444,7 @@ def _(t):
     return report.tiles(clean(t), geo.tile_name("latitude", "longitude"))
 
 
-@query("a37_match_quality", "detections facilities", CLEAN + _near() + """, x AS (SELECT CASE WHEN distance_m / 1000 <= 0.5 THEN 'strong' WHEN distance_m / 1000 <= 2 THEN 'moderate' ELSE 'weak' END AS value, COUNT(*) AS n FROM near GROUP BY 1) SELECT value, n, ROUND(100.0 * n / CAST(SUM(n) OVER () AS DOUBLE), 4) AS pct FROM x""")
+@query("a37_match_quality", "detections facilities", CLEAN + near_sql() + """, x AS (SELECT CASE WHEN distance_m / 1000 <= 0.5 THEN 'strong' WHEN distance_m / 1000 <= 2 THEN 'moderate' ELSE 'weak' END AS value, COUNT(*) AS n FROM near GROUP BY 1) SELECT value, n, ROUND(100.0 * n / CAST(SUM(n) OVER () AS DOUBLE), 4) AS pct FROM x""")
 def _(t):
     return report.frequencies(with_facility(t), geo.match_quality(F.col("distance_to_facility_m") / 1000))
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from emberline.functions import labels as lb
 from emberline.operators import curation, features, quality, report, serve, spatial
-from emberline.plans.detection_queries import CELLS, CLEAN, COVER, DAYS, LAND, _near, celled, clean, contextual, haversine_sql, with_facility
+from emberline.plans.detection_queries import CELLS, CLEAN, COVER, DAYS, LAND, near_sql, celled, clean, contextual, haversine_sql, with_facility
 from emberline.plans.registry import Tables, query
 from emberline.sources.shared import materialize
 
 CLASS_SQL = ("Agricultural Burning", "Industrial Thermal Activity", "Natural / Wildfire / Other")
 PROBS = ("p_agricultural", "p_industrial", "p_natural")
-HR = ", hr AS (SELECT event_id, MIN(d_hr) AS distance_m FROM (SELECT d.event_id, " + _near().split("f.relevance_tier, ")[1].split(" AS distance_m")[0] + " AS d_hr FROM clean d CROSS JOIN facilities f WHERE f.relevance_tier = 'HIGHER_RELEVANCE') GROUP BY event_id)"
-SCORE = CLEAN + _near() + HR + LAND + """, g AS (SELECT event_id, CAST(COUNT(*) OVER (PARTITION BY ROUND_EVEN(latitude / CAST(0.01 AS DOUBLE), 0), ROUND_EVEN(longitude / CAST(0.01 AS DOUBLE), 0)) AS DOUBLE) AS gc FROM clean),
+HR = ", hr AS (SELECT event_id, MIN(d_hr) AS distance_m FROM (SELECT d.event_id, " + near_sql().split("f.relevance_tier, ")[1].split(" AS distance_m")[0] + " AS d_hr FROM clean d CROSS JOIN facilities f WHERE f.relevance_tier = 'HIGHER_RELEVANCE') GROUP BY event_id)"
+SCORE = CLEAN + near_sql() + HR + LAND + """, g AS (SELECT event_id, CAST(COUNT(*) OVER (PARTITION BY ROUND_EVEN(latitude / CAST(0.01 AS DOUBLE), 0), ROUND_EVEN(longitude / CAST(0.01 AS DOUBLE), 0)) AS DOUBLE) AS gc FROM clean),
   parts AS (SELECT d.event_id, d.frp, d.acq_date, d.latitude, d.longitude, g.gc, n.distance_m AS d_any, h.distance_m AS d_hr, l.landcover_class FROM clean d JOIN g ON g.event_id = d.event_id LEFT JOIN near n ON n.event_id = d.event_id LEFT JOIN hr h ON h.event_id = d.event_id JOIN landed l ON l.event_id = d.event_id),
   span AS (SELECT MIN(frp) AS f0, MAX(frp) AS f1, MIN(gc) AS g0, MAX(gc) AS g1 FROM parts),
   scores AS (SELECT p.*, GREATEST(CAST(0 AS DOUBLE), LEAST(CAST(1 AS DOUBLE), CAST(0.30 AS DOUBLE) * ((frp - f0) / (f1 - f0 + CAST(1e-9 AS DOUBLE))) + CAST(0.35 AS DOUBLE) * (1 - LEAST(COALESCE(d_hr, 50000), CAST(50000 AS DOUBLE)) / 50000) + CAST(0.10 AS DOUBLE) * (1 - LEAST(COALESCE(d_any, 50000), CAST(50000 AS DOUBLE)) / 50000)
@@ -99,7 +99,7 @@ def published(t: Tables) -> DataFrame:
     return materialize(spatial.spatial_duplicates(materialize(curation.published_score(x)), "published_score"))
 
 
-PUBLISHED = CELLS + DAYS + _near() + HR + COVER + """, base AS (SELECT c.event_id, c.latitude, c.longitude, c.acq_date, c.frp, LN(1 + GREATEST(c.frp, 0)) AS lf, c.brightness - c.bright_t31 AS bd, CAST(d.active AS DOUBLE) AS ad, n.distance_m AS d_any, n.relevance_tier AS tier, h.distance_m AS d_hr, v.coverage, CASE WHEN EXTRACT(MONTH FROM c.acq_date) IN (4, 5, 10, 11) THEN 1::DOUBLE ELSE 0::DOUBLE END AS season
+PUBLISHED = CELLS + DAYS + near_sql() + HR + COVER + """, base AS (SELECT c.event_id, c.latitude, c.longitude, c.acq_date, c.frp, LN(1 + GREATEST(c.frp, 0)) AS lf, c.brightness - c.bright_t31 AS bd, CAST(d.active AS DOUBLE) AS ad, n.distance_m AS d_any, n.relevance_tier AS tier, h.distance_m AS d_hr, v.coverage, CASE WHEN EXTRACT(MONTH FROM c.acq_date) IN (4, 5, 10, 11) THEN 1::DOUBLE ELSE 0::DOUBLE END AS season
   FROM celled c JOIN days d ON c.cell_y = d.cell_y AND c.cell_x = d.cell_x AND EXTRACT(YEAR FROM c.acq_date) = d.y JOIN near n ON n.event_id = c.event_id LEFT JOIN hr h ON h.event_id = c.event_id JOIN covered v ON v.event_id = c.event_id),
   ranges AS (SELECT MIN(lf) AS l0, MAX(lf) AS l1, MIN(bd) AS b0, MAX(bd) AS b1, MIN(ad) AS a0, MAX(ad) AS a1 FROM base),
   pub0 AS (SELECT b.*, ROUND(0.30::DOUBLE * CASE WHEN coverage = 'COVERED' THEN 0.6::DOUBLE * (1 - LEAST(COALESCE(d_any, 50000), 50000::DOUBLE) / 50000) + 0.4::DOUBLE * CASE tier WHEN 'HIGHER_RELEVANCE' THEN 1::DOUBLE WHEN 'GENERAL_CONTEXT' THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END ELSE 0.4::DOUBLE END
@@ -139,7 +139,7 @@ def _(t):
     return curation.greedy_diverse(published(t), {"HIGH": 20, "MEDIUM": 20, "LOW": 10}, 50)
 
 
-@query("m36_rationale", "detections facilities landcover_cells", CELLS + DAYS + _near() + LAND + """ SELECT c.event_id, CONCAT_WS('; ', CASE WHEN c.frp >= 5 THEN 'HIGH' ELSE 'LOW' END || ' priority', CASE WHEN n.distance_m <= 2000 THEN 'industrial facility within 2 km' END, CASE WHEN c.frp >= 5 THEN 'high radiative power' END, CASE WHEN d.active >= 3 THEN 'persistent location' END, CASE WHEN l.landcover_class <> 'Unknown' THEN 'land cover: ' || l.landcover_class END) AS rationale
+@query("m36_rationale", "detections facilities landcover_cells", CELLS + DAYS + near_sql() + LAND + """ SELECT c.event_id, CONCAT_WS('; ', CASE WHEN c.frp >= 5 THEN 'HIGH' ELSE 'LOW' END || ' priority', CASE WHEN n.distance_m <= 2000 THEN 'industrial facility within 2 km' END, CASE WHEN c.frp >= 5 THEN 'high radiative power' END, CASE WHEN d.active >= 3 THEN 'persistent location' END, CASE WHEN l.landcover_class <> 'Unknown' THEN 'land cover: ' || l.landcover_class END) AS rationale
   FROM celled c JOIN near n ON n.event_id = c.event_id JOIN landed l ON l.event_id = c.event_id JOIN days d ON d.cell_y = c.cell_y AND d.cell_x = c.cell_x AND d.y = EXTRACT(YEAR FROM c.acq_date)""")
 def _(t):
     from emberline.functions import thermal
