@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import labels as lb
-from emberline.sources.shared import materialize, shared_folder
+from emberline.operators.ranks import exact_quantiles, ranks_within
+from emberline.sources.shared import shared_folder, union_all
 
 #: Rare land covers, and below the weights, quotas and budgets of the published selections.
 RARE_COVERS = ("Mangroves", "Permanent water bodies", "Bare/sparse vegetation")
@@ -41,16 +42,8 @@ def published_score(df: DataFrame) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Dense unique ranks over a whole table without bringing it to one task.
-
-    Rows are dealt by ranges of the sort keys and written with the number of their range, so that both passes see the same ranges; ranks count within a
-    range and start after the rows of the ranges before it.  ``order`` must end with a unique key.
-    """
-    spread = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row per partition
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return spread.join(F.broadcast(before), "_part").withColumn(name, (inner + F.col("_before")).cast("long")).drop("_part", "_before")
+    """Dense unique ranks over a whole table without bringing it to one task; ``order`` must end with a unique key."""
+    return ranks_within(df, [], order, name)
 
 
 def seeded_order(key: str = "event_id", seed: int = SEED) -> Column:
@@ -64,7 +57,8 @@ def pools(df: DataFrame, key: str = "event_id", names: str = "ABCDEFG") -> DataF
     Pools A-C take the best by score or power, D-F seeded samples by land cover, G of ambiguous rows.
     """
     far = F.coalesce(F.col("distance_to_facility_m"), F.lit(999_999.0))
-    median = df.agg(F.median("frp").alias("m")).first()["m"] or 0.0
+    middle = exact_quantiles(df, "frp", [0.5]).first()
+    median = middle["quantiles"][0] if middle else 0.0
     best, power, shuffled = [F.desc("candidate_priority_score"), F.asc(key)], [F.desc("frp"), F.asc(key)], [seeded_order(key), F.asc(key)]
     takes = [
         ("A", F.coalesce(F.col("distance_to_higher_relevance_m"), F.lit(999_999.0)) <= 2000, best, 25), ("B", far <= 2000, best, 15), ("C", F.lit(True), power, 20),
@@ -77,11 +71,11 @@ def pools(df: DataFrame, key: str = "event_id", names: str = "ABCDEFG") -> DataF
 
 def geographic_best(df: DataFrame, key: str = "event_id") -> DataFrame:
     """K4: the best row of each latitude and longitude quintile (right-closed, equal edges dropped)."""
-    edges = df.agg(*(F.percentile(c, F.array(*(F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)))).alias(c) for c in ("latitude", "longitude"))).first()
-    bucket = lambda c: reduce(lambda a, b: a + b, (F.when(F.col(c) > e, 1).otherwise(0) for e in sorted(set(edges[c] or []))), F.lit(0))
-    binned = df.withColumns({"_a": bucket("latitude"), "_o": bucket("longitude")})
-    w = Window.partitionBy("_a", "_o").orderBy(F.desc("candidate_priority_score"), key)
-    return binned.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(key, F.lit("H").alias("stratum"), "candidate_priority_score")
+    found = {c: exact_quantiles(df, c, [0.2, 0.4, 0.6, 0.8]).first() for c in ("latitude", "longitude")}
+    edges = {c: sorted(set(r["quantiles"])) if r else [] for c, r in found.items()}
+    bucket = lambda c: reduce(lambda a, b: a + b, (F.when(F.col(c) > e, 1).otherwise(0) for e in edges[c]), F.lit(0))
+    best = df.groupBy(bucket("latitude").alias("_a"), bucket("longitude").alias("_o")).agg(F.min(F.struct((-F.col("candidate_priority_score")).alias("s"), F.col(key).alias("k"))).alias("_b"))
+    return best.select(F.col("_b.k").alias(key), F.lit("H").alias("stratum"), (-F.col("_b.s")).alias("candidate_priority_score"))
 
 
 def diverse_batch(df: DataFrame, target: int = 100, key: str = "event_id") -> DataFrame:
@@ -96,10 +90,13 @@ def diverse_batch(df: DataFrame, target: int = 100, key: str = "event_id") -> Da
 
 
 def extremes_per_class(df: DataFrame, label: str = "predicted_class", score: str = "max_probability", key: str = "event_id", top: int = 15, bottom: int = 10) -> DataFrame:
-    """The surest and the least sure rows of each class, each row once."""
+    """The surest and the least sure rows of each class, each row once, with the ranks for which it was taken."""
     w = Window.partitionBy(label)
-    ranked = df.withColumns({"rank_down": F.row_number().over(w.orderBy(F.desc(score), key)), "rank_up": F.row_number().over(w.orderBy(F.asc(score), key))})
-    return ranked.filter((F.col("rank_down") <= top) | (F.col("rank_up") <= bottom))
+    ends = []
+    for name, order, n in (("rank_down", F.desc(score), top), ("rank_up", F.asc(score), bottom)):  # each task sends so many rows of a class at most
+        ends.append(df.withColumn(name, F.row_number().over(w.orderBy(order, key))).filter(F.col(name) <= n))
+    rows = union_all(ends)
+    return rows.groupBy(*df.columns).agg(F.max("rank_down").alias("rank_down"), F.max("rank_up").alias("rank_up"))
 
 
 def representatives(df: DataFrame, n: int = 10, key: str = "event_id") -> DataFrame:
@@ -123,7 +120,9 @@ def strata_batch(df: DataFrame, rules: list[tuple[str, Column, int]], score: str
         chain = F.when(where, i) if chain is None else chain.when(where, i)
     w = Window.partitionBy("stratum_no").orderBy(F.desc(score), key)
     budget = F.element_at(F.array(*(F.lit(n) for *_, n in rules)), F.col("stratum_no") + 1)
-    picked = df.withColumn("stratum_no", chain).filter("stratum_no is not null").withColumn("stratum_rank", F.row_number().over(w)).filter(F.col("stratum_rank") <= budget)
+    picked = df.withColumn("stratum_no", chain).filter("stratum_no is not null").withColumn("stratum_rank", F.row_number().over(w))
+    most = max((n for *_, n in rules), default=0)  # a plain number, so that each task sends so many rows of a stratum at most
+    picked = picked.filter(F.col("stratum_rank") <= most).filter(F.col("stratum_rank") <= budget)
     names = F.element_at(F.array(*(F.lit(n) for n, *_ in rules)), F.col("stratum_no") + 1)
     number = F.row_number().over(Window.orderBy("stratum_no", "stratum_rank"))  # at most the sum of the budgets
     return picked.withColumns({"stratum": names, "selection_no": number})

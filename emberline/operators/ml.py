@@ -8,10 +8,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.labels import confidence_tier
+from emberline.operators.ranks import ranks_within
 from emberline.sources.shared import materialize, spread
 
 LEAKAGE = ("reviewed_class", "raw_label", "target_class", "cv_fold", "validation_label")
@@ -102,15 +103,14 @@ def score(df: DataFrame, fitted: PipelineModel, numeric: list[str], keep: list[s
 
 def folds(df: DataFrame, label: str, key: str = "event_id", k: int = 5, seed: int = 42) -> DataFrame:
     """cv_fold from 0 to k - 1, dealt in turn within each class in the order of a hash; sizes per class differ by one at most."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return df.withColumn("cv_fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    ranked = ranks_within(df, [label], [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "_rank")
+    return ranked.withColumn("cv_fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def holdout(df: DataFrame, label: str, key: str = "event_id", share: float = 0.25, seed: int = 42) -> DataFrame:
     """is_test for a quarter of each class by hash order."""
-    w = Window.partitionBy(label)
-    r = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key))
-    return df.withColumn("is_test", r <= F.floor(share * F.count("*").over(w)))
+    ranked = ranks_within(df, [label], [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], "_rank", "_size")
+    return ranked.withColumn("is_test", F.col("_rank") <= F.floor(share * F.col("_size"))).drop("_rank", "_size")
 
 
 def predicted(df: DataFrame, fitted: PipelineModel, numeric: list[str]) -> DataFrame:

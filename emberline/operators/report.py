@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.operators.ranks import exact_quantiles, same_keys
+from emberline.sources.shared import materialize
+
 from emberline.functions.common import flag
 
 
@@ -23,15 +26,20 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
 
 def distribution(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Minimum, quartile-like points, mean, maximum and missing values; percentiles are exact and interpolated."""
-    q = F.percentile(column, F.array(*(F.lit(x) for x in (0.5, 0.75, 0.9))))
-    out = df.groupBy(*(by or [])).agg(F.count(column).alias("n"), F.count_if(F.col(column).isNull()).alias("missing"), F.min(column).alias("lowest"), F.max(column).alias("highest"), F.avg(column).alias("mean"), q.alias("_q"))
+    by = by or []
+    out = df.groupBy(*by).agg(F.count(column).alias("n"), F.count_if(F.col(column).isNull()).alias("missing"), F.min(column).alias("lowest"), F.max(column).alias("highest"), F.avg(column).alias("mean"))
+    q = exact_quantiles(df, column, [0.5, 0.75, 0.9], by, "_q")
+    out = out.join(q, same_keys(out, q, by), "left").select(out["*"], "_q")
     return out.withColumns({n: F.round(F.col("_q")[i], 6) for i, n in enumerate(("median", "p75", "p90"))}).withColumn("mean", F.round("mean", 6)).drop("_q")
 
 
 def by_coverage(df: DataFrame, coverage: str = "coverage", distance: str = "distance_m") -> DataFrame:
     """Median distance and shares within 2 and 5 km by coverage status."""
     share = lambda r: F.round(100.0 * F.count_if(F.col(distance) <= r) / F.count("*"), 4)
-    return df.groupBy(coverage).agg(F.count("*").alias("n"), F.round(F.median(distance), 3).alias("median_m"), share(2000).alias("pct_2km"), share(5000).alias("pct_5km"))
+    df = materialize(df.select(coverage, distance))  # read twice
+    out = df.groupBy(coverage).agg(F.count("*").alias("n"), share(2000).alias("pct_2km"), share(5000).alias("pct_5km"))
+    q = exact_quantiles(df, distance, [0.5], [coverage], "_q")
+    return out.join(q, same_keys(out, q, [coverage]), "left").select(out["*"], F.round(F.col("_q")[0], 3).alias("median_m"))
 
 
 def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from emberline.functions.common import flag
 from emberline.functions.geo import haversine_m, inside_rings
 from emberline.operators.site_index import MOST, site_index
 from emberline.params import DEFAULTS, Params
+from emberline.sources.shared import materialize
 
 
 def in_box(df: DataFrame, south: float, north: float, west: float, east: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -102,18 +103,66 @@ def near_in_space_time(left: DataFrame, right: DataFrame, km: float = 3.0, days:
 def spatial_duplicates(events: DataFrame, score: str, km: float = 5.5, key: str = "event_id") -> DataFrame:
     """``events`` with is_spatial_duplicate: another event of the same date within ``km`` has a higher score, or the same and a lower key.
 
-    Events of a cell and date meet those of the nine cells around it.
+    All events of a date in a cell of a diagonal below ``km`` are near each other, so all but the best of them are duplicates at once.  Only the best of each cell go to the
+    cells around it and meet the events there, so an event meets some 25 others, however many share its cell.  Events without coordinates, date or
+    score beat nothing and aren't duplicates; the 180th meridian parts its two sides.
     """
-    degrees = km / 111.0 * 1.5
-    around = lambda c: F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1))))
-    a = events.select(F.col(key).alias("a"), F.col("latitude").alias("lat_a"), F.col("longitude").alias("lon_a"), F.col("acq_date").alias("d"), F.col(score).alias("score_a"))
-    a = a.withColumns({"cy": F.floor(F.col("lat_a") / degrees), "cx": F.floor(F.col("lon_a") / degrees)})
-    b = a.select(F.col("a").alias("b"), F.col("lat_a").alias("lat_b"), F.col("lon_a").alias("lon_b"), "d", F.col("score_a").alias("score_b"), "cy", "cx")
-    b = b.withColumn("cy", around("cy")).withColumn("cx", around("cx"))
-    beats = (F.col("score_b") > F.col("score_a")) | ((F.col("score_b") == F.col("score_a")) & (F.col("b") < F.col("a")))
-    near = F.round(haversine_m("lat_a", "lon_a", "lat_b", "lon_b"), 3) <= km * 1000
-    beaten = a.alias("l").join(b.alias("r"), (F.col("l.cy") == F.col("r.cy")) & (F.col("l.cx") == F.col("r.cx")) & (F.col("l.d") == F.col("r.d")) & beats & near, "left_semi").select(F.col("a").alias(key), F.lit(True).alias("_dup"))
-    return events.join(beaten, key, "left").withColumn("is_spatial_duplicate", F.coalesce("_dup", F.lit(False))).drop("_dup")
+    degrees = 0.95 * km / 111.32 / 2**0.5
+    row_of = lambda c: F.floor(c / degrees)
+    shrink = lambda row: F.greatest(F.cos(F.radians((row + 0.5) * degrees)), F.lit(0.02))
+    kept = events.select(key, "latitude", "longitude", F.col("acq_date").alias("_d"), F.col(score).alias("_score")).na.drop()
+    kept = kept.withColumn("_cy", row_of(F.col("latitude"))).withColumn("_cx", F.floor(F.col("longitude") * shrink(F.col("_cy")) / degrees))
+    kept = materialize(kept)
+    best = kept.groupBy("_d", "_cy", "_cx").agg(F.min(F.struct((-F.col("_score")).alias("s"), F.col(key).alias("k"), "latitude", "longitude")).alias("_best"))
+    best = materialize(best)
+    low = kept.join(best, ["_d", "_cy", "_cx"]).filter((-F.col("_score") > F.col("_best.s")) | ((-F.col("_score") == F.col("_best.s")) & (F.col(key) > F.col("_best.k")))).select(key)
+
+    around = best.select("_d", F.col("_best.s").alias("_s"), F.col("_best.k").alias("_k"), F.col("_best.latitude").alias("_y"), F.col("_best.longitude").alias("_x"), F.explode(F.sequence(F.col("_cy") - 2, F.col("_cy") + 2)).alias("_cy"))
+    wide = km / 111.32 * 1.01 / F.least(shrink(F.col("_cy") - 3), shrink(F.col("_cy") + 3), shrink(F.col("_cy")))  # degrees of longitude that reach so far in the rows around
+    column = lambda c: F.floor(c * shrink(F.col("_cy")) / degrees)
+    around = around.withColumn("_cx", F.explode(F.sequence(column(F.col("_x") - wide), column(F.col("_x") + wide))))
+    beats = (-F.col("_score") < F.col("_s")) | ((-F.col("_score") == F.col("_s")) & (F.col(key) < F.col("_k")))
+    near = F.round(haversine_m("_y", "_x", "latitude", "longitude"), 3) <= km * 1000
+    beaten = kept.join(around, ["_d", "_cy", "_cx"]).filter(beats & near).select(F.col("_k").alias(key))
+    marks = low.union(beaten).distinct().withColumn("_dup", F.lit(True))
+    return events.join(marks, key, "left").withColumn("is_spatial_duplicate", F.coalesce("_dup", F.lit(False))).drop("_dup")
+
+
+def footprint_cells(edges: DataFrame, key: str = "product_id", across: int = 16) -> DataFrame:
+    """A covering of polygons (key, x1, y1, x2, y2: edges of all rings) by cells (_level, _cy, _cx, key, _edges), some ``across`` on the longer side.
+
+    Cells that no edge's box meets lie inside or outside as a whole: the inner ones have no edges, the others are left out.  The rest hold the edges of their band of
+    latitude, which is all an even-odd test of a point in the cell needs.
+    """
+    edges = materialize(edges.select(key, *(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))).na.drop())
+    box = edges.groupBy(key).agg(F.min(F.least("y1", "y2")).alias("_s"), F.max(F.greatest("y1", "y2")).alias("_n"), F.min(F.least("x1", "x2")).alias("_w"), F.max(F.greatest("x1", "x2")).alias("_e"))
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("_n") - F.col("_s"), F.col("_e") - F.col("_w"), F.lit(1e-6)) / across)), F.lit(-30)).cast("int")
+    box = box.withColumn("_level", level)
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    span = lambda a, b: F.explode(F.sequence(F.floor(a / size), F.floor(b / size)))
+    sized = edges.join(box.select(key, "_level"), key)
+    banded = sized.withColumn("_cy", span(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    bands = banded.groupBy(key, "_cy").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
+    crossed = banded.withColumn("_cx", span(F.least("x1", "x2"), F.greatest("x1", "x2"))).select(key, "_cy", "_cx").distinct().withColumn("_crossed", F.lit(True))
+    cells = box.withColumn("_cy", span(F.col("_s"), F.col("_n"))).withColumn("_cx", span(F.col("_w"), F.col("_e"))).select(key, "_level", "_cy", "_cx")
+    cells = cells.join(bands, [key, "_cy"], "left").join(crossed, [key, "_cy", "_cx"], "left")
+    inner = F.coalesce(inside_rings((F.col("_cy") + 0.5) * size, (F.col("_cx") + 0.5) * size, F.col("_edges")), F.lit(False))
+    return cells.filter(F.col("_crossed") | inner).select("_level", "_cy", "_cx", key, F.when(F.col("_crossed"), F.col("_edges")).alias("_edges"))
+
+
+def in_footprints(points: DataFrame, cells: DataFrame, key: str = "product_id", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """``points`` with the key of each polygon that they lie in or on, a row for each; ``cells`` are a covering of ``footprint_cells``.
+
+    A point looks its cell up once for each cell size that occurs, of which there are some thirty at most; inner cells need no test.
+    """
+    levels = sorted(r["_level"] for r in cells.select("_level").distinct().collect())
+    if not levels:
+        return points.join(cells.select(key), F.lit(False))
+    y, x = F.col(lat), F.col(lon)
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    keyed = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumns({"_cy": F.floor(y / size), "_cx": F.floor(x / size)})
+    hit = F.col("_edges").isNull() | inside_rings(lat, lon, F.col("_edges"), closed=True)
+    return keyed.join(cells, ["_level", "_cy", "_cx"]).filter(hit).drop("_level", "_cy", "_cx", "_edges")
 
 
 def distance_bands(df: DataFrame, distance: str, radii: tuple[int, ...] = DEFAULTS.radii_m) -> DataFrame:

@@ -330,6 +330,23 @@ def _(t):
     return spatial.spatial_duplicates(clean(t), "frp").select("event_id", "is_spatial_duplicate")
 
 
+@query("j16_footprints", "detections footprint_edges", CLEAN + """ SELECT d.event_id, e.product_id FROM clean d JOIN footprint_edges e
+  ON d.latitude >= LEAST(e.y1, e.y2) AND d.latitude < GREATEST(e.y1, e.y2) AND d.longitude < e.x1 + (d.latitude - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1) GROUP BY d.event_id, e.product_id HAVING COUNT(*) % 2 = 1""")
+def _(t):
+    """Image footprints, some with holes, that an event lies in."""
+    return spatial.in_footprints(clean(t), spatial.footprint_cells(t("footprint_edges"))).select("event_id", "product_id")
+
+
+@query("j6_nearest_without_ties", "detections facilities", CLEAN + f""", twice AS (SELECT osm_type, osm_id, latitude, longitude FROM facilities UNION ALL SELECT 'area', osm_id + 7, latitude, longitude FROM facilities WHERE osm_id % 2 = 0),
+  pairs AS (SELECT d.event_id, f.osm_type, f.osm_id, {haversine_sql("d", "f")} AS distance_m FROM clean d CROSS JOIN twice f)
+  SELECT event_id, osm_type, osm_id, distance_m FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY distance_m, osm_type, osm_id) AS r FROM pairs) WHERE r = 1""")
+def _(t):
+    """Facilities at the same place tie; every event keeps one row, with the first of them."""
+    sites = t("facilities").select("osm_type", "osm_id", "latitude", "longitude")
+    twice = sites.union(sites.filter("osm_id % 2 = 0").select(F.lit("area"), F.col("osm_id") + 7, "latitude", "longitude"))
+    return spatial.nearest_one(searched(t), twice, "n", "distance_m", ("osm_type", "osm_id")).select("event_id", F.col("n_osm_type").alias("osm_type"), F.col("n_osm_id").alias("osm_id"), "distance_m")
+
+
 @query("s8_tile_grid", "tiles", "SELECT tile_no, ROUND(south, 6) AS south, ROUND(north, 6) AS north, ROUND(west, 6) AS west, ROUND(east, 6) AS east FROM tiles")
 def _(t):
     grid = spatial.tile_grid(t("tiles").sparkSession, 5, 5, 8.1, 13.55, 76.25, 80.375).join(t("tiles").select("tile_no"), "tile_no")

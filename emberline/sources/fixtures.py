@@ -81,6 +81,12 @@ SELECT c_custkey AS event_id,
     WHEN 4 THEN 'NAtural/Forest Fire' WHEN 5 THEN 'Other/Unclassified' WHEN 6 THEN 'possible argricultural buring' WHEN 7 THEN 'possible forest fire' WHEN 8 THEN 'Industrial / Facility Thermal Anomaly'
     WHEN 9 THEN 'Industrial Facility' WHEN 10 THEN 'Biomass / Scrub Burning' ELSE 'unknown text' END AS raw_label
 FROM customer""",
+    "footprint_edges": """
+WITH k(ring, i, dx, dy) AS (VALUES (0, 0, -0.913, -0.217), (0, 1, 0.317, -0.811), (0, 2, 0.877, 0.233), (0, 3, -0.291, 0.787), (1, 0, -0.213, -0.197), (1, 1, 0.223, -0.181), (1, 2, 0.011, 0.203)),
+e AS (SELECT a.ring, a.dx AS dx1, a.dy AS dy1, b.dx AS dx2, b.dy AS dy2 FROM k a JOIN k b ON a.ring = b.ring AND b.i = (a.i + 1) % CASE a.ring WHEN 0 THEN 4 ELSE 3 END),
+c AS (SELECT n_nationkey AS product_id, CAST(8.31 AS DOUBLE) + CAST((n_nationkey * 7) % 25 AS DOUBLE) * CAST(0.2137 AS DOUBLE) AS y, CAST(76.41 AS DOUBLE) + CAST((n_nationkey * 11) % 25 AS DOUBLE) * CAST(0.1611 AS DOUBLE) AS x,
+  CAST(1 + n_nationkey % 3 AS DOUBLE) * CAST(0.61 AS DOUBLE) AS s FROM nation)
+SELECT product_id, ring, x + s * CAST(dx1 AS DOUBLE) AS x1, y + s * CAST(dy1 AS DOUBLE) AS y1, x + s * CAST(dx2 AS DOUBLE) AS x2, y + s * CAST(dy2 AS DOUBLE) AS y2 FROM c CROSS JOIN e WHERE ring = 0 OR product_id % 2 = 0""",
     "predictions": """
 WITH w AS (SELECT event_id, CAST(1 + (event_id * 7) % 50 AS DOUBLE) AS a, CAST(1 + (event_id * 11) % 60 AS DOUBLE) AS b, CAST(1 + (event_id * 13) % 40 AS DOUBLE) AS c FROM events)
 SELECT event_id, a / (a + b + c) AS p_agricultural, b / (a + b + c) AS p_industrial, c / (a + b + c) AS p_natural,
