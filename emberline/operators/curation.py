@@ -57,8 +57,7 @@ def pools(df: DataFrame, key: str = "event_id", names: str = "ABCDEFG") -> DataF
     Pools A-C take the best by score or power, D-F seeded samples by land cover, G of ambiguous rows.
     """
     far = F.coalesce(F.col("distance_to_facility_m"), F.lit(999_999.0))
-    middle = exact_quantiles(df, "frp", [0.5]).first()
-    median = middle["quantiles"][0] if middle else 0.0
+    median = exact_quantiles(df, "frp", [0.5]).first()["quantiles"][0] or 0.0
     best, power, shuffled = [F.desc("candidate_priority_score"), F.asc(key)], [F.desc("frp"), F.asc(key)], [seeded_order(key), F.asc(key)]
     takes = [
         ("A", F.coalesce(F.col("distance_to_higher_relevance_m"), F.lit(999_999.0)) <= 2000, best, 25), ("B", far <= 2000, best, 15), ("C", F.lit(True), power, 20),
@@ -72,7 +71,7 @@ def pools(df: DataFrame, key: str = "event_id", names: str = "ABCDEFG") -> DataF
 def geographic_best(df: DataFrame, key: str = "event_id") -> DataFrame:
     """K4: the best row of each latitude and longitude quintile (right-closed, equal edges dropped)."""
     found = {c: exact_quantiles(df, c, [0.2, 0.4, 0.6, 0.8]).first() for c in ("latitude", "longitude")}
-    edges = {c: sorted(set(r["quantiles"])) if r else [] for c, r in found.items()}
+    edges = {c: sorted({e for e in r["quantiles"] if e is not None}) for c, r in found.items()}
     bucket = lambda c: reduce(lambda a, b: a + b, (F.when(F.col(c) > e, 1).otherwise(0) for e in edges[c]), F.lit(0))
     best = df.groupBy(bucket("latitude").alias("_a"), bucket("longitude").alias("_o")).agg(F.min(F.struct((-F.col("candidate_priority_score")).alias("s"), F.col(key).alias("k"))).alias("_b"))
     return best.select(F.col("_b.k").alias(key), F.lit("H").alias("stratum"), (-F.col("_b.s")).alias("candidate_priority_score"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions.labels import classify_facility
@@ -14,26 +15,65 @@ from emberline.operators.quality import REQUIRED, clean_detections, without_infi
 DETECTION_FIELDS = ("latitude", "longitude", "brightness", "scan", "track", "acq_date", "acq_time", "satellite", "instrument", "confidence", "version", "bright_t31", "frp", "daynight")
 
 
+def _sensor(file_name: Column, sensors: dict[str, tuple[str, bool]]) -> Column:
+    """The source of the first sensor whose part is in the file's name, null for disabled and unknown ones."""
+    name, source = F.upper(file_name), None
+    for part, (label, enabled) in sensors.items():
+        value = F.lit(label if enabled else None).cast("string")
+        source = F.when(F.contains(name, F.lit(part.upper())), value) if source is None else source.when(F.contains(name, F.lit(part.upper())), value)
+    return F.lit(None).cast("string") if source is None else source
+
+
+def _files_by_header(spark: SparkSession, paths: list[str], sensors: dict[str, tuple[str, bool]]) -> list[tuple[list[str], bool, list[str]]]:
+    """(columns, whether quoted cells go over lines, files) of the wanted files, those with the same header together.
+
+    One pass over the lines; what comes back is a row for each header, with the names of its files, which the scan lists anyway.
+    """
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths)
+    lines = text.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at")).filter(_sensor(F.col("_metadata.file_name"), sensors).isNotNull())
+    head = F.contains("value", F.lit("latitude")) & F.contains("value", F.lit("longitude"))
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    files = lines.groupBy("path").agg(F.min_by(F.when(head, F.col("value")), F.when(head, F.col("at"))).alias("header"), F.coalesce(F.bool_or(odd), F.lit(False)).alias("long"))
+    groups = files.filter("header is not null").groupBy("header", "long").agg(F.collect_list("path").alias("paths"))
+    found = []
+    for r in groups.collect():
+        columns = [c.strip().removeprefix("\ufeff") for c in next(csv.reader([r["header"]]))]
+        if all(c in columns for c in REQUIRED):
+            found.append((columns, r["long"], sorted(r["paths"])))
+    return found
+
+
+def _parsed(spark: SparkSession, columns: list[str], long: bool, paths: list[str], sensors: dict[str, tuple[str, bool]]) -> DataFrame:
+    """All cells of files with one header as text by place, the line as ``_rejected`` where it has too few or too many, and the source."""
+    schema = ", ".join(f"_c{i} string" for i in range(len(columns))) + ", _rejected string"
+    reader = spark.read.schema(schema).option("columnPruning", False).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rejected")
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", long).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    return reader.csv(paths).withColumn("satellite_source", _sensor(F.col("_metadata.file_name"), sensors)).withColumn("_file", F.col("_metadata.file_name"))
+
+
 def scan_detections(spark: SparkSession, paths: list[str], sensors: dict[str, tuple[str, bool]], fields: tuple[str, ...] = DETECTION_FIELDS) -> DataFrame:
     """Detection CSVs under ``paths``, folders searched in depth, all columns as text; satellite_source by file name.
 
-    ``sensors``: part of the file name to (source, enabled), first match in order; files of disabled or unknown sensors are skipped.  Each file's header
-    decides where its columns are, so files may order them differently; files without a required column give no row.
+    ``sensors``: part of the file name to (source, enabled), first match in order; files of disabled or unknown sensors are skipped.  Files with the same header
+    are one scan, in which quoted cells may hold commas, quotes and line ends; files without a required column give no row.  Large files are split over tasks, but
+    for those with a line end in a cell.  Rows with too few or too many cells are left to ``rejected_rows``.  Empty cells are null, fields that a file lacks too.
     """
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(paths).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("_file"))
-    name, source = F.upper("_file"), None
-    for part, (label, enabled) in sensors.items():
-        value = F.lit(label if enabled else None).cast("string")
-        source = F.when(F.contains(name, F.lit(part.upper())), value) if source is None else source.when(F.contains(name, F.lit(part.upper())), value)
-    rows = rows.withColumn("satellite_source", source).filter("satellite_source is not null")
-    cells = F.transform(F.split("value", ","), lambda x: F.trim(F.regexp_replace(x, '"', "")))
-    rows = rows.withColumn("_cells", cells)
-    is_header = F.array_contains("_cells", "latitude") & F.array_contains("_cells", "longitude")
-    headers = rows.filter(is_header).groupBy("_path").agg(F.first("_cells").alias("_header"))  # one row per file
-    headers = headers.filter(reduce(lambda a, b: a & b, (F.array_contains("_header", c) for c in REQUIRED)))
-    rows = rows.filter(~is_header).join(headers, "_path")
-    pick = lambda c: F.nullif(F.get("_cells", F.array_position("_header", c).cast("int") - 1), F.lit(""))
-    return rows.select(*(pick(c).alias(c) for c in fields), "satellite_source")
+    parts = []
+    for columns, long, files in _files_by_header(spark, paths, sensors):
+        rows = _parsed(spark, columns, long, files, sensors).filter(F.col("_rejected").isNull())
+        place = {c: i for i, c in reversed([*enumerate(columns)])}  # the first of equal names
+        cell = lambda c, place=place: F.nullif(F.trim(F.col(f"_c{place[c]}")), F.lit("")) if c in place else F.lit(None).cast("string")
+        rows = rows.filter(~F.coalesce(F.col(f"_c{place['latitude']}") == "latitude", F.lit(False)))  # a header that is repeated within a file
+        parts.append(rows.select(*(cell(c).alias(c) for c in fields), "satellite_source"))
+    none = spark.createDataFrame([], ", ".join(f"{c} string" for c in (*fields, "satellite_source")))
+    return reduce(DataFrame.unionByName, parts, none)
+
+
+def rejected_rows(spark: SparkSession, paths: list[str], sensors: dict[str, tuple[str, bool]]) -> DataFrame:
+    """(file_name, first_cell, record) of the rows that ``scan_detections`` leaves out as their cells don't fit the header."""
+    none = spark.createDataFrame([], "file_name string, first_cell string, record string")
+    parts = [_parsed(spark, *group, sensors).select(F.col("_file").alias("file_name"), F.col("_c0").alias("first_cell"), F.col("_rejected").alias("record")).filter("record is not null") for group in _files_by_header(spark, paths, sensors)]
+    return reduce(DataFrame.unionByName, parts, none)
 
 
 def typed_detections(raw: DataFrame) -> DataFrame:

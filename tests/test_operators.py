@@ -165,6 +165,23 @@ def test_file_scan_by_sensor_and_header_order(spark, tmp_path):
     assert sorted((r.satellite_source, r.latitude, str(r.acq_date)) for r in got) == [("N20", 11.0, "2024-01-01"), ("NPP", 12.0, "2024-01-02")]
 
 
+def test_file_scan_parses_quotes_line_ends_and_headers(spark, tmp_path):
+    from emberline.sources import files
+
+    sensors = {"J1V": ("N20", True), "_SV": ("NPP", True), "J2V": ("N21", False)}
+    (tmp_path / "a_J1V.csv").write_text('latitude,longitude,brightness,frp,acq_date,satellite,instrument\n11,78,320,5,2024-01-01,"A, b","say ""hi"""\n12,79,321,6,2024-01-02,plain, spaced \n13,80,322\n14,81,323,7,2024-01-03,x,y,z\nlatitude,longitude,brightness,frp,acq_date,satellite,instrument\n')
+    (tmp_path / "b_J1V.csv").write_text('"satellite","frp","acq_date","latitude","longitude","brightness"\n"two\nlines",8,2024-02-01,15,82,324\n"one",,2024-02-02,16,83,325\n')
+    (tmp_path / "c_SV.csv").write_text("\ufefflatitude,longitude,brightness,frp,acq_date\n17,84,326,9,2024-03-01\n")
+    (tmp_path / "d_J2V.csv").write_text("latitude,longitude,brightness,frp,acq_date\n18,85,327,9,2024-03-01\n")
+    (tmp_path / "e_SV.csv").write_text("")
+    got = {r.latitude: r for r in files.scan_detections(spark, [str(tmp_path)], sensors).collect()}
+    assert sorted(got) == ["11", "12", "15", "16", "17"]
+    assert (got["11"].satellite, got["11"].instrument, got["11"].acq_date) == ("A, b", 'say "hi"', "2024-01-01")
+    assert (got["12"].instrument, got["15"].satellite, got["15"].frp, got["16"].frp, got["16"].longitude) == ("spaced", "two\nlines", "8", None, "83")
+    assert (got["17"].satellite_source, got["17"].satellite, got["15"].satellite_source) == ("NPP", None, "N20")
+    assert sorted((r.file_name, r.first_cell) for r in files.rejected_rows(spark, [str(tmp_path)], sensors).collect()) == [("a_J1V.csv", "13"), ("a_J1V.csv", "14")]
+
+
 def test_facility_and_boundary_files(spark, tmp_path):
     import json
 
