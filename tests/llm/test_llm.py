@@ -168,28 +168,35 @@ def plain_template_tree(docs, share=0.8, depth=3):
 
     leaves, order = {}, {}
     for key, text in docs:
-        x = iter(masked_lines([text], depth).line.tolist())
+        x, again = iter(masked_lines([text], depth, 0).line.tolist()), iter(masked_lines([text], depth).line[len(masked_lines([text], depth, 0).line) :].tolist())
         for n, line in enumerate((text or "").encode().split(b"\n")):
             w = line.split()
             if not w:
                 continue
-            w = tuple(b"*" if len(w) > 3 and re.search(rb"[0-9]|\S@\S|://", u) else u for u in w)
-            order[w] = next(x)
-            path = (len(w), *[(i, u) for i, u in enumerate(w) if u != b"*"][:depth])
-            leaves.setdefault(path, {}).setdefault(w, []).append((key, n))
+            field = [bool(re.search(rb"[0-9]|\S@\S|://", u)) for u in w]
+            masked = tuple(b"*" if v and not all(field) else u for u, v in zip(w, field, strict=True))
+            order[masked] = next(x)
+            versions = [masked]
+            if len(w) <= 3 and b"*" in masked:
+                versions.append(tuple(w))
+                order[tuple(w)] = next(again)
+            for w in versions:
+                path = (len(w), *[(i, u) for i, u in enumerate(w) if u != b"*"][:depth])
+                leaves.setdefault(path, {}).setdefault(w, []).append((key, n))
     gone = {}
     for lines in leaves.values():
         templates = []
         for w in sorted(lines, key=order.get):
-            same = [sum(a == b for a, b in zip(t, w, strict=True)) for t, _ in templates]
+            same = [sum(a == b for a, b in zip(t, w, strict=True)) for t, *_ in templates]
             if same and max(same) >= share * len(w) - 1e-9:
                 k = same.index(max(same))
                 templates[k][0] = tuple(a if a == b else b"*" for a, b in zip(templates[k][0], w, strict=True))
                 templates[k][1].extend(lines[w])
+                templates[k][2] += len({k for k, _ in lines[w]})
             else:
-                templates.append([w, list(lines[w])])
-        for _, places in templates:
-            if len({k for k, _ in places}) > 1:
+                templates.append([w, list(lines[w]), len({k for k, _ in lines[w]})])
+        for t, places, held in templates:
+            if len({k for k, _ in places}) > 1 and (len(t) > 3 or b"*" not in t or held >= 10):
                 for k, n in places:
                     if (k, n) != min(places):
                         gone.setdefault(k, set()).add(n)
@@ -210,6 +217,50 @@ def test_template_tree_matches_a_plain_one(spark):
     assert left == {k: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want.get(k, ())) for k, t in docs}
 
 
+def test_short_footers_recur_often_enough(spark):
+    from emberline.llm.lines import drop_recurring_lines
+
+    rows = [(i, f"Page {i} of\nSeite {i}\n{i}\nbody{'abcdefghijklmno'[i]} text is its own here" + (f"\nonly {i // 2}" if i < 4 else "")) for i in range(12)]
+    got = {x.doc_id: x.text.split("\n") for x in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1].split("\n")  # first occurrences stay
+    assert got[5] == ["5", "bodyf text is its own here"] and got[3] == ["3", "bodyd text is its own here"] and got[2] == ["2", "bodyc text is its own here", "only 1"]  # numbers alone aren't a template; equal lines recur in two documents
+
+
+def test_large_leaf_takes_linear_time_and_equals_scan():
+    import time
+
+    from emberline.llm.lines import _Leaf
+
+    r = np.random.default_rng(5)
+
+    def leaf(n, kinds=1_000_000):
+        rows = np.full((n, 10), 7, np.uint32)
+        rows[:, 3:7] = r.integers(100, 100 + kinds, (n, 4))  # same three words, four free ones, same three words
+        return rows
+
+    def scan(rows, least):
+        templates, out = [], []
+        for row in rows:
+            same = [int((t == row).sum()) for t in templates]
+            if same and max(same) >= least:
+                k = same.index(max(same))
+                templates[k] = np.where(templates[k] == row, row, 0).astype(np.uint32)
+            else:
+                k = len(templates)
+                templates.append(row)
+            out.append(k)
+        return out
+
+    for rows in (leaf(600), leaf(1500, 12), leaf(1500, 3), r.integers(0, 5, (1200, 10)).astype(np.uint32), r.integers(0, 3, (800, 3)).astype(np.uint32), r.integers(0, 40, (700, 25)).astype(np.uint32) // 20 + 1):
+        index = _Leaf(rows.shape[1], 0.8)
+        assert sum((index.take(rows[a : a + 500]) for a in range(0, len(rows), 500)), []) == scan(rows, index.least)
+    rows = leaf(100_000)
+    began, index = time.time(), _Leaf(10, 0.8)
+    for a in range(0, len(rows), 20_000):
+        index.take(rows[a : a + 20_000])
+    assert time.time() - began < 30
+
+
 def test_line_table_matches_plain_split():
     from emberline.llm.lines import masked_lines
 
@@ -218,10 +269,11 @@ def test_line_table_matches_plain_split():
     x = masked_lines(texts, 3)
     want = [(i, n, ln.split()) for i, t in enumerate(texts) for n, ln in enumerate((t or "").encode().split(b"\n")) if ln.split()]
     seen = {}
-    for (i, n, w), a, b, s, z in zip(want, x.text, x.number, x.start, x.size, strict=True):
+    for (i, n, w), a, b, s, z in zip(want, *(c[: len(want)] for c in (x.text, x.number, x.start, x.size)), strict=True):
         assert (i, n, len(w)) == (a, b, z)
-        for u, h in zip(w, x.tokens[s : s + z], strict=True):
-            assert (h == 0) == (len(w) > 3 and bool(re.search(rb"[0-9]|\S@\S|://", u)))
+        field = [bool(re.search(rb"[0-9]|\S@\S|://", u)) for u in w]
+        for u, h, v in zip(w, x.tokens[s : s + z], field, strict=True):
+            assert (h == 0) == (v and not all(field))
             assert h == 0 or seen.setdefault(u, h) == h
     assert len(set(seen.values())) == len(seen)
 
