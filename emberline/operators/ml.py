@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +44,8 @@ def guard(df: DataFrame, columns: list[str], leakage: tuple[str, ...] = LEAKAGE)
     return df
 
 
-def stages(numeric: list[str], categorical: list[str], label: str, model: str = "rf", trees: int = 300, depth: int = 12, seed: int = 42) -> list:
-    """Median imputation, one-hot with unknown values kept apart, and a model: rf, extra (no bootstrap) or gbt (one against the rest)."""
+def stages(numeric: list[str], categorical: list[str], label: str, model: str | None = "rf", trees: int = 300, depth: int = 12, seed: int = 42, rounds: int = 100) -> list:
+    """Median imputation, one-hot with unknown values kept apart, and a model: rf, or gbt (histogram boosting, one class against the rest, ``rounds`` each); None stops before it."""
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
     prep = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"_{c}_f" for c in numeric])] if numeric else []
     if categorical:
@@ -52,14 +54,58 @@ def stages(numeric: list[str], categorical: list[str], label: str, model: str =
     prep.append(VectorAssembler(inputCols=[f"_{c}_f" for c in numeric] + [f"_{c}_o" for c in categorical], outputCol="_features"))
     common = {"featuresCol": "_features", "labelCol": "_label"}
     forest = {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": 3, "seed": seed, "weightCol": "_weight", "maxMemoryInMB": 1024, "cacheNodeIds": True}
+    if model is None:
+        return [indexer, *prep]
     learner = {
         "rf": lambda: RandomForestClassifier(**common, **forest),
-        "extra": lambda: RandomForestClassifier(**common, **forest, bootstrap=False, featureSubsetStrategy="sqrt", subsamplingRate=1.0),
-        "gbt": lambda: OneVsRest(classifier=GBTClassifier(**common, maxIter=20, maxDepth=4, seed=seed), weightCol="_weight", **common),
+        "gbt": lambda: OneVsRest(classifier=GBTClassifier(**common, maxIter=rounds, maxDepth=4, minInstancesPerNode=3, seed=seed, cacheNodeIds=True, checkpointInterval=-1), weightCol="_weight", parallelism=3, **common),
     }[model]()
     return [indexer, *prep, learner]
 
 
+class ExtraTrees:
+    """Trees over random cut points.
+
+    Trees are grown in ``groups``; each group draws its own cut points between a column's least and greatest value, so its trees can split there only, and searches a random
+    subset of columns at each node, without bootstrap.  Probabilities are the mean over the groups.
+    """
+
+    CUTS = 8
+
+    def __init__(self, prepared: PipelineModel, groups: list[tuple[dict[str, list[float]], object]], categorical: list[str]):
+        self.prepared, self.groups, self.categorical, self.labels = prepared, groups, categorical, prepared.stages[0].labels
+
+    @staticmethod
+    def _binned(rows: DataFrame, cuts: dict[str, list[float]], categorical: list[str]) -> DataFrame:
+        bins = {f"_{c}_b": reduce(Column.__add__, [F.when(F.col(f"_{c}_f") > x, 1.0).otherwise(0.0) for x in points], F.lit(0.0)) for c, points in cuts.items()}
+        return VectorAssembler(inputCols=[*bins, *(f"_{c}_o" for c in categorical)], outputCol="_cut").transform(rows.withColumns(bins)).drop(*bins)
+
+    @classmethod
+    def fit(cls, rows: DataFrame, numeric: list[str], categorical: list[str], label: str, trees: int = 100, depth: int = 6, groups: int = 5, seed: int = 42) -> ExtraTrees:
+        """``rows`` has _weight; see ``fit`` of this module."""
+        prepared = Pipeline(stages=stages(numeric, categorical, label, None)).fit(rows)
+        ready = materialize(prepared.transform(rows).select("_label", "_weight", *(f"_{c}_f" for c in numeric), *(f"_{c}_o" for c in categorical)))
+        ends = ready.agg(*(f(f"_{c}_f").alias(f"{c}_{n}") for c in numeric for n, f in (("lo", F.min), ("hi", F.max)))).first() if numeric else {}
+        made = []
+        for g in range(groups):
+            draw = {c: random.Random(f"{seed} {g} {c}") for c in numeric}
+            cuts = {c: sorted(draw[c].uniform(ends[f"{c}_lo"], ends[f"{c}_hi"]) for _ in range(cls.CUTS)) for c in numeric}
+            forest = RandomForestClassifier(featuresCol="_cut", labelCol="_label", weightCol="_weight", numTrees=-(-trees // groups), maxDepth=depth, minInstancesPerNode=2, bootstrap=False, featureSubsetStrategy="sqrt", subsamplingRate=1.0, seed=seed + g)
+            made.append((cuts, forest.fit(cls._binned(ready, cuts, categorical))))
+        return cls(prepared, made, categorical)
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with probability (an array in the order of ``labels``) and predicted_class, the first of equals."""
+        for stage in self.prepared.stages[1:]:
+            rows = stage.transform(rows)
+        for i, (cuts, forest) in enumerate(self.groups):
+            rows = forest.transform(self._binned(rows, cuts, self.categorical)).withColumn(f"_p{i}", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction", "_cut")
+        parts = [f"_p{i}" for i in range(len(self.groups))]
+        mean = F.array(*(reduce(Column.__add__, [F.col(p)[k] for p in parts]) / len(parts) for k in range(len(self.labels))))
+        best = F.array_position(F.col("probability"), F.array_max("probability")).cast("int")
+        return rows.withColumn("probability", mean).withColumn("predicted_class", F.element_at(F.array(*map(F.lit, self.labels)), best)).drop(*parts)
+
+
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """L3: _weight = rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
@@ -67,13 +113,16 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts.crossJoin(whole)), label).withColumn("_weight", F.col("_t") / (F.col("_k") * F.col("_n"))).drop("_n", "_t", "_k")
 
 
-def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str, model: str = "rf", **how) -> PipelineModel:
-    """The fitted pipeline.  The weighted rows are written once, as every step of the pipeline reads them, and dealt over all cores."""
+def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str, model: str = "rf", **how) -> PipelineModel | ExtraTrees:
+    """The fitted pipeline of a family: rf, gbt or extra.  The weighted rows are written once, as every step of the pipeline reads them, and dealt over all cores."""
     filled = numeric_matrix(df, numeric)
     empty = filled.agg(*(F.count(c).alias(c) for c in numeric)).first().asDict() if numeric else {}
     if gone := [c for c, n in empty.items() if not n]:
         filled = filled.fillna(0.0, gone)
-    return Pipeline(stages=stages(numeric, categorical, label, model, **how)).fit(spread(materialize(balanced(filled, label))))
+    filled = filled.withColumns({c: F.col(c).cast("string") for c in categorical})
+    rows = materialize(balanced(filled, label))
+    rows = rows.coalesce(-(-rows.count() // 20_000) or 1) if model == "gbt" else spread(rows)  # boosting runs thousands of short jobs, which few partitions make shorter
+    return ExtraTrees.fit(rows, numeric, categorical, label, **how) if model == "extra" else Pipeline(stages=stages(numeric, categorical, label, model, **how)).fit(rows)
 
 
 def save(fitted: PipelineModel, path: str, df: DataFrame, numeric: list[str], categorical: list[str], label: str, metrics: dict[str, float]) -> DataFrame:
@@ -91,10 +140,7 @@ def save(fitted: PipelineModel, path: str, df: DataFrame, numeric: list[str], ca
 def score(df: DataFrame, fitted: PipelineModel, numeric: list[str], keep: list[str]) -> DataFrame:
     """Class, probabilities to four digits, the largest, and its tier."""
     labels = fitted.stages[0].labels
-    rows = numeric_matrix(df, numeric)
-    for stage in fitted.stages[1:]:
-        rows = stage.transform(rows)
-    rows = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=labels).transform(rows)
+    rows = predicted(df, fitted, numeric)
     p = vector_to_array("probability")
     names = ["probability_" + "_".join("".join(ch if ch.isalnum() else " " for ch in x).lower().split()) for x in labels]
     out = rows.select(*keep, "predicted_class", *(F.round(p[i], 4).alias(n) for i, n in enumerate(names)))
@@ -113,23 +159,59 @@ def holdout(df: DataFrame, label: str, key: str = "event_id", share: float = 0.2
     return ranked.withColumn("is_test", F.col("_rank") <= F.floor(share * F.col("_size"))).drop("_rank", "_size")
 
 
-def predicted(df: DataFrame, fitted: PipelineModel, numeric: list[str]) -> DataFrame:
+def predicted(df: DataFrame, fitted: PipelineModel | ExtraTrees, numeric: list[str]) -> DataFrame:
     """``df`` with predicted_class."""
     rows = numeric_matrix(df, numeric)
+    if isinstance(fitted, ExtraTrees):
+        return fitted.transform(rows.withColumns({c: F.col(c).cast("string") for c in fitted.categorical}))
+    texts = [c for stage in fitted.stages if isinstance(stage, StringIndexerModel) and stage.isSet("inputCols") for c in stage.getInputCols()]
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in texts}) if texts else rows
     for stage in fitted.stages[1:]:
         rows = stage.transform(rows)
     return IndexToString(inputCol="prediction", outputCol="predicted_class", labels=fitted.stages[0].labels).transform(rows)
 
 
-def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, key: str = "event_id", fold: str = "cv_fold", model: str = "rf", k: int = 5, **how) -> DataFrame:
-    """Out-of-fold predictions (key, label, fold, predicted_class); everything is fitted on the other folds only."""
-    parts = []
-    for i in range(k):
+def cross_validate(df: DataFrame, numeric: list[str], categorical: list[str], label: str, key: str = "event_id", fold: str = "cv_fold", model: str = "rf", k: int = 5, jobs: int = 3, **how) -> DataFrame:
+    """Out-of-fold predictions (key, label, fold, predicted_class); everything is fitted on the other folds only, ``jobs`` folds at a time."""
+
+    def one(i: int) -> DataFrame:
         fitted = fit(df.filter(F.col(fold) != i), numeric, categorical, label, model, **how)
-        parts.append(predicted(df.filter(F.col(fold) == i), fitted, numeric).select(key, label, fold, "predicted_class"))
+        return materialize(predicted(df.filter(F.col(fold) == i), fitted, numeric).select(key, label, fold, "predicted_class"))
+
+    with ThreadPoolExecutor(jobs) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, range(k)))
+
+
+#: Settings of the families in the comparison (fixed values).
+FAMILIES = {"rf": {"trees": 100, "depth": 6}, "extra": {"trees": 100, "depth": 6}, "gbt": {"rounds": 100}}
+
+
+def experiments(df: DataFrame, manifests: dict[str, tuple[list[str], list[str]]], label: str, key: str = "event_id", families: dict[str, dict] = FAMILIES, k: int = 5) -> DataFrame:
+    """Out-of-fold predictions (experiment, model_name, key, label, cv_fold, predicted_class) of each family on each manifest's columns, all over the same folds."""
+    folded = materialize(folds(df, label, key, k))
+    parts = []
+    for name, (numeric, categorical) in manifests.items():
+        for family, how in families.items():
+            oof = cross_validate(folded, numeric, categorical, label, key, model=family, k=k, **how)
+            parts.append(oof.select(F.lit(name).alias("experiment"), F.lit(family).alias("model_name"), *oof.columns))
     return reduce(DataFrame.unionByName, parts)
 
 
+def compared(oof: DataFrame, label: str, baseline: str, wanted: str = "Industrial Thermal Activity") -> DataFrame:
+    """A row for each experiment and family from its out-of-fold rows: summary metrics, their spread over the folds, those of the class ``wanted``, differences to the
+    same family on ``baseline``, and which one is selected: by macro F1, then balanced accuracy, then recall of ``wanted``."""
+    by = ["experiment", "model_name"]
+    whole = summary_metrics(oof, label, "predicted_class", by)
+    spread_of = summary_metrics(oof, label, "predicted_class", [*by, "cv_fold"]).groupBy(*by).agg(F.round(F.avg("macro_f1"), 6).alias("macro_f1_cv_mean"), F.round(F.stddev_samp("macro_f1"), 6).alias("macro_f1_cv_std"))
+    is_, said = F.col(label) == wanted, F.col("predicted_class") == wanted
+    one = oof.groupBy(*by).agg(F.count_if(is_ & said).alias("tp"), F.count_if(is_).alias("s"), F.count_if(said).alias("q"))
+    share = lambda a, b: F.coalesce(F.round(a / F.nullif(b, F.lit(0)), 6), F.lit(0.0))
+    one = one.select(*by, share(F.col("tp"), F.col("s")).alias("industrial_recall"), share(F.col("tp"), F.col("q")).alias("industrial_precision"), share(2.0 * F.col("tp"), F.col("s") + F.col("q")).alias("industrial_f1"))
+    results = compared_to(whole.join(spread_of, by).join(one, by), baseline, column="experiment")
+    best = best_model(results).select(*by, F.lit(True).alias("selected"))
+    return results.join(F.broadcast(best), by, "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
 def confusion(df: DataFrame, label: str, predicted: str, classes: list[str]) -> DataFrame:
     """One row per true class, one column per predicted class, fixed order."""
     base = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(classes)], "class_no int, true_class string")
@@ -148,9 +230,9 @@ def class_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return x.select(F.col("c").alias("class"), "support", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
 
 
-def summary_metrics(df: DataFrame, label: str, predicted: str, by: str | None = None) -> DataFrame:
-    """Accuracy, balanced accuracy and macro F1, over all or by fold."""
-    keys = [by] if by else []
+def summary_metrics(df: DataFrame, label: str, predicted: str, by: str | list[str] | None = None) -> DataFrame:
+    """Accuracy, balanced accuracy and macro F1, over all or by fold or other columns."""
+    keys = [by] if isinstance(by, str) else by or []
     cls = df.select(*keys, F.explode(F.array_distinct(F.array(label, predicted))).alias("c"), F.col(label).alias("y"), F.col(predicted).alias("p"))
     per = cls.groupBy(*keys, "c").agg(F.count_if((F.col("y") == F.col("c")) & (F.col("p") == F.col("c"))).alias("tp"), F.count_if(F.col("y") == F.col("c")).alias("s"), F.count_if(F.col("p") == F.col("c")).alias("q"))
     f1, recall = 2.0 * F.col("tp") / (F.col("s") + F.col("q")), F.col("tp") / F.nullif(F.col("s"), F.lit(0))
@@ -162,14 +244,14 @@ def fold_spread(metrics: DataFrame, columns: list[str]) -> DataFrame:
     return metrics.agg(*(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_samp))))
 
 
-def best_model(results: DataFrame, order: tuple[str, ...] = ("macro_f1", "balanced_accuracy", "accuracy")) -> DataFrame:
+def best_model(results: DataFrame, order: tuple[str, ...] = ("macro_f1", "balanced_accuracy", "industrial_recall")) -> DataFrame:
     """K7: ties by name."""
     return results.orderBy(*(F.desc(c) for c in order), "model_name").limit(1)
 
 
-def compared_to(results: DataFrame, baseline: str, metrics: tuple[str, ...] = ("macro_f1", "accuracy")) -> DataFrame:
+def compared_to(results: DataFrame, baseline: str, metrics: tuple[str, ...] = ("macro_f1", "balanced_accuracy"), column: str = "features") -> DataFrame:
     """Differences to the baseline feature set of the same model."""
-    b = results.filter(F.col("features") == baseline).select("model_name", *(F.col(m).alias(f"_{m}") for m in metrics))
+    b = results.filter(F.col(column) == baseline).select("model_name", *(F.col(m).alias(f"_{m}") for m in metrics))
     return results.join(b, "model_name", "left").withColumns({f"{m}_delta": F.round(F.col(m) - F.col(f"_{m}"), 6) for m in metrics}).drop(*(f"_{m}" for m in metrics))
 
 

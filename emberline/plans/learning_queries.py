@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.labels import target_class
-from emberline.operators import features, ml, serve
+from emberline.operators import features, matrix, ml, serve
+from emberline.plans.detection_queries import _classified, searched
 from emberline.plans.registry import Tables, query
 from emberline.plans.serving_queries import CLASS_SQL, REVIEWED, TARGET
 from emberline.sources.shared import materialize, shared_folder, spread, union_all
@@ -24,6 +25,26 @@ def cohort(t: Tables) -> DataFrame:
     return x.withColumn("target_class", target_class("reviewed_class")).filter("target_class is not null")
 
 
+def sites(t: Tables) -> DataFrame:
+    """Facilities with the class of their tags."""
+    tags = _classified(t).select("osm_id", "facility_type", "normalized_category")
+    return t("facilities").join(tags, "osm_id", "left")
+
+
+def matrix_of(t: Tables, kind: str) -> tuple[DataFrame, list[str], list[str]]:
+    """Features of all detections as a manifest asks for them, and its numeric and categorical columns."""
+    table = matrix.manifest_table(t("detections").sparkSession, kind)
+    numeric, categorical = matrix.columns_of(table)
+    sources = {r["source"] for r in table.select("source").distinct().collect()}
+    rows = matrix.feature_table(searched(t), sites(t), t("landcover_cells"), t("tiles"), t("pixels") if "images" in sources else None, sources)
+    return materialize(rows), numeric, categorical
+
+
+def labelled(t: Tables, rows: DataFrame) -> DataFrame:
+    """The reviewed ones of ``rows`` with their training class."""
+    return rows.join(cohort(t).select("event_id", "target_class"), "event_id")
+
+
 COHORT = REVIEWED + f", cohort AS (SELECT event_id, {TARGET} AS target_class FROM reviewed WHERE reviewed_class <> 'REVIEW_REQUIRED')"
 
 
@@ -46,10 +67,10 @@ def _(t):
 
 @query("l3_l14_train_and_score")
 def _(t):
-    train = ml.guard(cohort(t).drop("reviewed_class", "raw_label"), NUMERIC, ("reviewed_class", "raw_label"))
-    fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class")
-    rows = features.thermal_features(features.temporal_features(spread(t("detections"))))
-    return ml.score(rows, fitted, NUMERIC, ["event_id"])
+    """The forest of 300 trees over the 31 training features, and its score of every detection."""
+    rows, numeric, categorical = matrix_of(t, "training")
+    train = materialize(labelled(t, ml.guard(rows, numeric)))
+    return ml.score(spread(rows), ml.fit(train, numeric, categorical, "target_class"), numeric, ["event_id"])
 
 
 @query("l8_a32_cross_validation")
@@ -60,24 +81,45 @@ def _(t):
 
 @query("l9_model_families")
 def _(t):
-    """Accuracy of each family on the quarter that is held out."""
+    """Metrics of each family on the quarter that is held out."""
     rows = materialize(ml.holdout(cohort(t), "target_class"))
     train, test = rows.filter("not is_test"), rows.filter("is_test")
     out = []
-    for family in ("rf", "extra", "gbt"):
-        fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class", family, trees=100, depth=6)
+    for family, how in ml.FAMILIES.items():
+        fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class", family, **how)
         out.append(ml.summary_metrics(ml.predicted(test, fitted, NUMERIC), "target_class", "predicted_class").withColumn("model_name", F.lit(family)))
     return union_all(out)
 
 
+@query("l10_experiments")
+def _(t):
+    """Both manifests, five folds and the two forests: a row each with its differences and whether it is the selected one.  Boosting takes part through ``families``; see the README."""
+    rows, *_ = matrix_of(t, "sentinel2")
+    spark = rows.sparkSession
+    sets = {name: matrix.columns_of(matrix.manifest_table(spark, kind)) for name, kind in (("Baseline", "baseline"), ("Sentinel-2 Enhanced", "sentinel2"))}
+    return ml.compared(ml.experiments(labelled(t, rows), sets, "target_class", families={k: ml.FAMILIES[k] for k in ("rf", "extra")}), "target_class", "Baseline")
+
+
 @query("l12_model_metadata")
 def _(t):
-    """The record of a forest as it is kept beside the saved model, with its accuracy on the cohort."""
-    train = materialize(cohort(t))
-    fitted = ml.fit(train, NUMERIC, CATEGORICAL, "target_class", trees=100, depth=6)
-    metrics = ml.summary_metrics(ml.predicted(train, fitted, NUMERIC), "target_class", "predicted_class").first().asDict()
+    """The record of a forest over the baseline's 36 features as it is kept beside the saved model, with its out-of-fold metrics."""
+    rows, numeric, categorical = matrix_of(t, "baseline")
+    train = materialize(ml.folds(labelled(t, rows), "target_class"))
+    oof = ml.cross_validate(train, numeric, categorical, "target_class", trees=100, depth=6)
+    metrics = ml.summary_metrics(oof, "target_class", "predicted_class").first().asDict()
     folder = f"{shared_folder(train.sparkSession)}/model-{uuid.uuid4().hex}"
-    return ml.save(fitted, folder, train, NUMERIC, CATEGORICAL, "target_class", metrics).select("model_type", "rows", F.size("classes").alias("classes"), F.array_join("numeric_features", ",").alias("numeric_features"), F.element_at("parameters", "numTrees").alias("trees"), F.element_at("metrics", "accuracy").alias("accuracy"))
+    record = ml.save(ml.fit(train, numeric, categorical, "target_class", trees=100, depth=6), folder, train, numeric, categorical, "target_class", metrics)
+    return record.select("model_type", "rows", F.size("classes").alias("classes"), (F.size("numeric_features") + F.size("categorical_features")).alias("features"), F.element_at("parameters", "numTrees").alias("trees"), F.element_at("metrics", "macro_f1").alias("macro_f1"), F.element_at("metrics", "accuracy").alias("accuracy"))
+
+
+@query("l5_full_manifests", "detections", "SELECT * FROM (VALUES ('baseline', CAST(36 AS BIGINT), CAST(6 AS BIGINT)), ('sentinel2', CAST(73 AS BIGINT), CAST(6 AS BIGINT)), ('training', CAST(31 AS BIGINT), CAST(0 AS BIGINT))) v(kind, features, categorical)")
+def _(t):
+    """Features of each manifest that the matrix holds: all of them."""
+    rows, *_ = matrix_of(t, "sentinel2")
+    spark = rows.sparkSession
+    parts = [ml.manifest(rows, matrix.manifest_table(spark, kind)).withColumn("kind", F.lit(kind)) for kind in ("baseline", "sentinel2", "training")]
+    held = union_all(parts).filter(F.col("feature_name").isin(rows.columns))
+    return held.groupBy("kind").agg(F.count("*").alias("features"), F.count_if(F.col("data_type") == "categorical").alias("categorical"))
 
 
 @query("l5_manifest", "detections", """SELECT 'brightness' AS feature_name, 'numeric' AS data_type, COUNT(*) - COUNT(brightness) AS missing_count, ROUND(100.0 * (COUNT(*) - COUNT(brightness)) / CAST(COUNT(*) AS DOUBLE), 4) AS missing_pct, CASE WHEN COUNT(*) > COUNT(brightness) THEN 'median' ELSE 'as is' END AS handling FROM detections
