@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,17 +114,17 @@ class _Leaf:
     A line joins the template that agrees with it best, if in ``least`` places or more.  Such a pair is found by its rarest places: with the places of each in one
     order, rare tokens of the leaf first and variable fields last, the first ``most`` + j of both share j at least.  Every choice of j of them is a
     key, and only templates under a line's keys are compared.  How rare a token is is counted on the leaf's first lines, and j is so large that few of those share
-    a key; any order and any j find the same templates.
+    a key; any order and any j find the same templates.  The first ``SCANNED`` templates need no keys: a line is compared with all of them.
     """
 
-    MOST_KEYS, FEW = 120, 4.0
+    MOST_KEYS, FEW, SCANNED = 120, 4.0, 48
 
     def __init__(self, size: int, share: float):
         self.size, self.least = size, int(np.ceil(share * size - 1e-9))
         self.most = size - self.least
         self.known: list[tuple[np.ndarray, np.ndarray]] | None = None
         self.by_key: dict[int, int | list[int]] = {}
-        self.templates, self.n = np.empty((16, size), np.uint32), 0
+        self.templates, self.n = np.empty((2, size), np.uint32), 0
 
     def _learn(self, rows: np.ndarray) -> None:
         self.known = [np.unique(c, return_counts=True) for c in rows.T]
@@ -156,7 +156,7 @@ class _Leaf:
                 key ^= key >> np.uint64(31)
         return key
 
-    def _enter(self, keys: list[int], t: int) -> None:
+    def _enter(self, keys: Sequence[int], t: int) -> None:
         for key in keys:
             have = self.by_key.setdefault(key, t)
             if isinstance(have, list):
@@ -166,33 +166,44 @@ class _Leaf:
 
     def take(self, rows: np.ndarray) -> list[int]:
         """The template of each row, in turn."""
-        if self.known is None:
-            self._learn(rows)
         out = []
-        for row, keys in zip(rows, self._keys(rows).tolist(), strict=True):
+        while len(out) < len(rows) and self.n < self.SCANNED and self.known is None:
+            out.append(self._joined(rows[len(out)], range(self.n)))
+        if len(out) == len(rows):
+            return out
+        if self.known is None:
+            self._learn(np.concatenate([self.templates[: self.n], rows[len(out) :]]))
+            for t, keys in enumerate(self._keys(self.templates[: self.n]).tolist()):
+                self._enter(keys, t)
+        rest = rows[len(out) :]
+        for row, keys in zip(rest, self._keys(rest).tolist(), strict=True):
             near: set[int] = set()
             for have in map(self.by_key.get, keys):
                 if have is not None:
                     near.update(have) if isinstance(have, list) else near.add(have)
-            if near:
-                at = sorted(near)
-                same = (self.templates[at] == row).sum(1)
-                best = int(np.argmax(same))
-                if same[best] >= self.least:
-                    t = at[best]
-                    if same[best] < self.size and (changed := np.where(self.templates[t] == row, row, _WILD).astype(np.uint32)).tobytes() != self.templates[t].tobytes():
-                        self.templates[t] = changed
-                        self._enter(self._keys(changed[None])[0].tolist(), t)
-                    out.append(t)
-                    continue
-            if self.n == len(self.templates):
-                self.templates = np.concatenate([self.templates, np.empty_like(self.templates)])
-            self.templates[self.n] = row
-            self._enter(keys, self.n)
-            out.append(self.n)
-            self.n += 1
+            out.append(self._joined(row, sorted(near), keys))
         return out
 
+    def _joined(self, row: np.ndarray, near: list[int] | range, keys: list[int] | None = None) -> int:
+        """The best of the templates ``near`` if it is near enough, else a new one, entered under ``keys``."""
+        if near:
+            same = ((self.templates[: self.n] if keys is None else self.templates[near]) == row).sum(1)
+            best = int(same.argmax())
+            if same[best] >= self.least:
+                t = near[best]
+                if same[best] < self.size:
+                    changed = np.where(self.templates[t] == row, row, np.uint32(_WILD))
+                    if keys is not None and (changed != self.templates[t]).any():
+                        self._enter(self._keys(changed[None])[0].tolist(), t)
+                    self.templates[t] = changed
+                return t
+        if self.n == len(self.templates):
+            self.templates = np.concatenate([self.templates, np.empty_like(self.templates)])
+        self.templates[self.n] = row
+        self._enter(keys or (), self.n)
+        self.n += 1
+        return self.n - 1
+
 
 class _Tree:
     """Leaves one after another, from rows sorted by leaf, line, document and number; of a leaf's lines only hash and template are kept."""
