@@ -153,7 +153,7 @@ def _passages(h: np.ndarray, index: ItemIndex, least: float) -> Iterator[tuple[i
             yield i, start, stop
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 4, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 3, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_words: int = 1_000_000) -> DataFrame:
     """(key, item_key, similarity, matched, score, start_word, end_word) of documents that hold an exact, edited or paraphrased copy of a benchmark item.
 
     Similarity is the share of the item's words that the best local alignment matches; rows have ``least`` or more, the best passage of each pair.

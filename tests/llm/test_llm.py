@@ -115,6 +115,32 @@ def test_contaminated_finds_frequent_edits_and_short_runs(spark):
     assert {(x.doc_id, x.item_id) for x in contaminated(docs, bench).collect()} == want
 
 
+def test_contaminated_finds_copies_with_added_words(spark):
+    from emberline.llm.decontam import contaminated
+
+    items = [" ".join(f"w{50 * i + j}" for j in range(40)) for i in range(4)]
+    added = lambda t, every: " ".join(w + (" extra" if k % every == every - 1 else "") for k, w in enumerate(t.split()))
+    filler = " ".join(f"f{k}" for k in range(30))
+    docs = spark.createDataFrame([(i, f"{filler} {added(items[i], every)} {filler}") for i, every in enumerate((3, 4, 5, 10))], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id, x.similarity) for x in contaminated(docs, spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    assert got == {(i, i, 1.0) for i in range(4)}
+
+
+def test_near_copy_candidates_reach_each_band():
+    """Of pairs of random sets, the share that the chains bring together, by similarity."""
+    from emberline.llm import simhash as s
+
+    r, bits = np.random.default_rng(4), np.array([bin(i).count("1") for i in range(256)])
+    for low, high, least in ((0.8, 0.85, 0.86), (0.85, 0.9, 0.97), (0.9, 1.0, 0.99)):
+        hit = []
+        for j in r.uniform(low, high, 250):
+            u = r.integers(0, 2**63, 500, dtype=np.uint64)
+            both = int(np.ceil(500 * j / (1 + j)))
+            d = bits[s.wide_fingerprint(np.unique(u[:250])) ^ s.wide_fingerprint(np.unique(np.r_[u[:both], u[250 : 500 - both]]))]
+            hit.append(d.sum() <= s.MOST_WIDE and any(d[(k + np.arange(3)) % 32].sum() <= 1 for k in range(s.CHAINS)))
+        assert np.mean(hit) >= least
+
+
 def test_contaminated_matches_all_pairs_with_a_common_head(spark):
     """Recall and precision against Smith-Waterman of every document with every item; all items begin with the same words."""
     from emberline.llm.decontam import align, contaminated
