@@ -38,10 +38,13 @@ ANNOTATIONS = {
     "Natural/Forest Fire": "Natural/Forest Fire", "NAtural/Forest Fire": "Natural/Forest Fire", "forest fire": "Natural/Forest Fire",
     "Other/Unclassified": "Other/Unclassified",
 }
+#: Annotations that name a facility and no status (fixed values).
 EQUIPMENT_ONLY = ("Industrial Facility", "Industrial Facility / Boiler Anomaly", "Industrial Facility / Salt Refinery")
 #: Training classes by reviewed class (fixed values).
 TARGETS = {"Industrial Fire": "Industrial Thermal Activity", "Persistent Industrial Thermal Source": "Industrial Thermal Activity", "Agricultural Burning": "Agricultural Burning", "Natural/Forest Fire": "Natural / Wildfire / Other", "Other/Unclassified": "Natural / Wildfire / Other"}
+#: Error category of each status (fixed values).
 ERROR_CATEGORIES = {"CLOUD_REJECTED": "CLOUD_REJECTED", "MISSING_PRODUCT": "MISSING_PRODUCT", "AUTH_REQUIRED": "AUTH_FAILURE", "AUTH_FAILURE": "AUTH_FAILURE", "PROCESSING_API_ERROR": "PROCESSING_API_ERROR", "CORRUPT_RASTER": "PROCESSING_FAILED", "PROCESSING_FAILED": "PROCESSING_FAILED"}
+#: Bonus of each land cover in the candidate score (fixed values).
 LANDCOVER_BONUS = {"Built-up": 0.10, "Shrubland": 0.05, "Grassland": 0.05, "Cropland": 0.07, "Tree cover": 0.03}
 
 

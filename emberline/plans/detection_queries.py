@@ -322,7 +322,7 @@ def _(t):
 
 @query("j24_space_time_pairs", "detections", CLEAN + """ SELECT a.event_id AS a, b.event_id AS b FROM clean a JOIN clean b ON a.event_id <> b.event_id AND ABS(a.acq_date - b.acq_date) < 3 AND """ + haversine_sql("a", "b") + " < 3000")
 def _(t):
-    return spatial.near_in_space_time(clean(t), clean(t)).distinct()
+    return spatial.near_in_space_time(clean(t), clean(t))
 
 
 @query("j25_spatial_duplicates", "detections", CLEAN + """ SELECT a.event_id, EXISTS (SELECT 1 FROM clean b WHERE b.acq_date = a.acq_date AND b.event_id <> a.event_id AND (b.frp > a.frp OR (b.frp = a.frp AND b.event_id < a.event_id)) AND ABS(a.latitude - b.latitude) < 0.06 AND """ + haversine_sql("a", "b") + " <= 5500) AS is_spatial_duplicate FROM clean a")

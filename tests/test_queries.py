@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = (
     "p1_p4_clean_detections p5_polygon_filter m1_m9_thermal_scalars m10_m13_calendar a3_active_days_per_year a5_cell_statistics m30_m31_local_anomaly j1_nearest_facility j4_three_nearest j11_tile_coverage j8_landcover_sample "
     "m29_facility_classes j12_j13_image_match a15_m37_scl_quality a16_a18_spectral_statistics j15_m26_change m24_m25_event_status m27_annotations j17_j18_review_merge a19_kpis p11_facet_filter p14_s18_dashboard_parse q5_q6_probability_audit "
-    "a32_summary_metrics w2_global_rank p7_box_fallback p18_guarded_rows w5_duplicate_flags j24_space_time_pairs k3_best_pools m35_published_score k9_representatives k11_w6_strata_batch s8_tile_grid q1_q4_expectations hotspots t1_incremental_ingest t3_daily_cells t6_stream_upsert"
+    "a32_summary_metrics w2_global_rank p7_box_fallback p18_guarded_rows w5_duplicate_flags j24_space_time_pairs k3_best_pools m35_published_score k9_representatives k11_w6_strata_batch s8_tile_grid q1_q4_expectations hotspots t1_incremental_ingest t3_daily_cells t3_late_rows t4_stream_enrichment t6_stream_upsert j6_nearest_without_ties j16_footprints j25_spatial_duplicates w8_a9_folds k13_holdout k4_quintile_best k5_s16_extremes_per_class a11_distribution a14_distance_by_coverage l5_full_manifests"
 ).split()
 
 
