@@ -117,10 +117,10 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 # ------------------------------------------------- near copies by similarity
 
 LANES = 4
-CHAINS = 32
+CHAINS = 16
 CHAIN_BITS = 24
-#: Bits of the wide fingerprint in which documents may differ to be compared; those of 0.8 of their shingles differ in about 36, one in a hundred in over 50.
-MOST_WIDE = 60
+#: Bits of the wide fingerprint in which documents may differ to be compared; those of 0.8 of their shingles differ in about 36.
+MOST_WIDE = 48
 _LANE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -150,14 +150,14 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
     """(key, component_id) of every row: rows linked by steps of ``least`` or more similarity share the smallest key.
 
     Similarity is the Jaccard index of the sets of ``shingle`` words, worked out from the whole texts before a link counts.  Candidates come from a SimHash
-    of 256 bits: a pair is looked at if one of the ring's chains of three segments of eight bits, of which every segment begins one, differs in a bit at
-    most and the whole in ``MOST_WIDE`` at most.  Pairs within 21 bits always have such a chain; the share of pairs at the least similarity
+    of 256 bits: a pair is looked at if one of the ring's chains of three segments of eight bits, of which every second segment begins one, differs in a bit at
+    most and the whole in ``MOST_WIDE`` at most.  Pairs within 15 bits always have such a chain; the share of pairs at the least similarity
     that do is measured in the tests.  Work is on distinct sets.  First each is compared with the smallest and largest under its keys and the links are
     contracted, then only keys under which different components meet are expanded, so a group of copies isn't written out in pairs.
     Texts without words are one group.  Rows with a null key keep component null unless linked.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ring = (np.arange(CHAINS)[:, None] + np.arange(3)) % (8 * LANES)
+    ring = (np.arange(CHAINS)[:, None] * 2 + np.arange(3)) % (8 * LANES)
 
     @pandas_udf("struct<h:long,fp:array<long>,chains:array<int>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

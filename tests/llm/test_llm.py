@@ -131,13 +131,13 @@ def test_near_copy_candidates_reach_each_band():
     from emberline.llm import simhash as s
 
     r, bits = np.random.default_rng(4), np.array([bin(i).count("1") for i in range(256)])
-    for low, high, least in ((0.8, 0.85, 0.86), (0.85, 0.9, 0.97), (0.9, 1.0, 0.99)):
+    for low, high, least in ((0.8, 0.85, 0.75), (0.85, 0.9, 0.92), (0.9, 1.0, 0.98)):
         hit = []
         for j in r.uniform(low, high, 250):
             u = r.integers(0, 2**63, 500, dtype=np.uint64)
             both = int(np.ceil(500 * j / (1 + j)))
             d = bits[s.wide_fingerprint(np.unique(u[:250])) ^ s.wide_fingerprint(np.unique(np.r_[u[:both], u[250 : 500 - both]]))]
-            hit.append(d.sum() <= s.MOST_WIDE and any(d[(k + np.arange(3)) % 32].sum() <= 1 for k in range(s.CHAINS)))
+            hit.append(d.sum() <= s.MOST_WIDE and any(d[(2 * k + np.arange(3)) % 32].sum() <= 1 for k in range(s.CHAINS)))
         assert np.mean(hit) >= least
 
 
