@@ -268,12 +268,3 @@ def test_selections_match_plain_code(spark):
     by = {x[0]: x for x in rows}
     assert got[0] == min(i for i, x in by.items() if x[5] == "Mangroves") and len(got) == len(set(got)) == 6
     assert sum(by[i][8] == "HIGH" for i in got) >= 3 and sum(by[i][8] == "MEDIUM" for i in got) >= 2
-
-
-def test_late_rows_go_aside(spark, tmp_path):
-    from emberline.streaming import pipelines
-
-    spark.createDataFrame([(1, dt.datetime(2024, 1, 10)), (2, dt.datetime(2024, 1, 9)), (3, dt.datetime(2024, 1, 1))], "event_id long, event_time timestamp").write.parquet(f"{tmp_path}/in")
-    stream = pipelines.detection_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, "parquet")
-    pipelines.split_late(stream, f"{tmp_path}/good", f"{tmp_path}/late", f"{tmp_path}/c").awaitTermination()
-    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/good").collect()) == [1, 2] and [r.event_id for r in spark.read.parquet(f"{tmp_path}/late").collect()] == [3]
