@@ -65,8 +65,8 @@ def route_link(lat: Column | str, lon: Column | str, to_lat: Column | str, to_lo
     return F.when(col(to_lat).isNull() | col(to_lon).isNull(), "No matched facility").otherwise(link)
 
 
-def inside_rings(lat: Column | str, lon: Column | str, edges: Column, closed: bool = False) -> Column:
-    """Even-odd test of a point against an array of ring edges (x1, y1, x2, y2).  Points on an edge are outside, or inside if ``closed``.
+def inside_rings(lat: Column | str, lon: Column | str, edges: Column, closed: bool | None = False) -> Column:
+    """Even-odd test of a point against an array of ring edges (x1, y1, x2, y2).  Points on an edge are outside, or inside if ``closed``; with None the crossings alone decide, as in SQL.
 
     The point is bound as one value first, so what derives its coordinates runs once a row, not once for each edge.
     """
@@ -76,7 +76,10 @@ def inside_rings(lat: Column | str, lon: Column | str, edges: Column, closed: bo
         crosses = lambda e: ((y >= e.y1) & (y < e.y2) | (y >= e.y2) & (y < e.y1)) & (x < e.x1 + (y - e.y1) * (e.x2 - e.x1) / F.nullif(e.y2 - e.y1, F.lit(0.0)))
         on_line = lambda e: F.abs((x - e.x1) * (e.y2 - e.y1) - (y - e.y1) * (e.x2 - e.x1)) <= 1e-12
         touches = lambda e: on_line(e) & x.between(F.least(e.x1, e.x2), F.greatest(e.x1, e.x2)) & y.between(F.least(e.y1, e.y2), F.greatest(e.y1, e.y2))
-        odd, on_edge = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1, F.exists(edges, lambda e: F.coalesce(touches(e), F.lit(False)))
+        odd = F.size(F.filter(edges, lambda e: F.coalesce(crosses(e), F.lit(False)))) % 2 == 1
+        if closed is None:
+            return odd
+        on_edge = F.exists(edges, lambda e: F.coalesce(touches(e), F.lit(False)))
         return odd | on_edge if closed else odd & ~on_edge
 
     return F.exists(F.array(F.struct(col(lat).alias("y"), col(lon).alias("x"))), inside)

@@ -17,8 +17,8 @@ def in_box(df: DataFrame, south: float, north: float, west: float, east: float,
     return df.filter(F.col(lat).between(south, north) & F.col(lon).between(west, east))
 
 
-def in_polygon(df: DataFrame, edges: DataFrame, lat: str = "latitude", lon: str = "longitude", most_edges: int = 5000) -> DataFrame:
-    """Rows inside the rings of ``edges`` (x1, y1, x2, y2), boundary points outside, after the box of the edges.
+def in_polygon(df: DataFrame, edges: DataFrame, lat: str = "latitude", lon: str = "longitude", most_edges: int = 5000, closed: bool | None = False) -> DataFrame:
+    """Rows inside the rings of ``edges`` (x1, y1, x2, y2), after the box of the edges; ``closed`` says where points on an edge belong, as in ``inside_rings``: outside, by default.
 
     No edges: no row, same columns; edges with a null coordinate don't count.  Up to ``most_edges`` edges are one array in the plan; more are joined by latitude band.  The test is the same.
     """
@@ -29,13 +29,13 @@ def in_polygon(df: DataFrame, edges: DataFrame, lat: str = "latitude", lon: str
     if len(few) <= most_edges:
         xs, ys = [x for r in few for x in (r.x1, r.x2)], [y for r in few for y in (r.y1, r.y2)]
         rows = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in r.asDict().items())) for r in few))
-        return in_box(df, min(ys), max(ys), min(xs), max(xs), lat, lon).filter(inside_rings(lat, lon, rows))
+        return in_box(df, min(ys), max(ys), min(xs), max(xs), lat, lon).filter(inside_rings(lat, lon, rows, closed))
     box = edges.agg(F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2")), F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2"))).first()
     near = in_box(df, *box, lat, lon)
     step = max((box[1] - box[0]) / 1000, 1e-9)
     band = lambda c: F.floor((c - box[0]) / step)
     by_band = edges.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))).groupBy("_band").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges"))
-    return near.withColumn("_band", band(F.col(lat))).join(by_band, "_band").filter(inside_rings(lat, lon, F.col("_edges"))).drop("_band", "_edges")
+    return near.withColumn("_band", band(F.col(lat))).join(by_band, "_band").filter(inside_rings(lat, lon, F.col("_edges"), closed)).drop("_band", "_edges")
 
 
 def in_region(df: DataFrame, edges: DataFrame | None, params: Params = DEFAULTS, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
