@@ -23,8 +23,8 @@ DIRECTORY = 2
 #: Sites of one cell; a cell with more is split, but for those of the last size.
 MOST = 64
 #: Sites of a cell that one task takes down to its leaves.
-ALONE = 20_000
-#: Cells of a round that are few enough to be broadcast with their corners and rivals, some hundred bytes each; more are shuffled.
+ALONE = 5_000
+#: Cells of a round that are few enough for all tasks to know their rivals, some hundred bytes each; more are shuffled.
 FEW = 20_000
 #: Distances are rounded to a millimetre, so a site beats another only by more; in radians.
 _TIE = 2e-10
@@ -49,7 +49,7 @@ def _shaped(cells: DataFrame, size: float) -> DataFrame:
     return cells.filter(on_globe("_cy", 90) & on_globe("_cx", 180)).withColumns({c: v[axis] for names, v in zip(_SPOTS, vectors, strict=True) for c, axis in zip(names, "xyz", strict=True)} | {"_half": F.lit(math.radians(size / 2))})
 
 
-def _narrowed(pairs: DataFrame, k: int, few: bool) -> DataFrame:
+def _narrowed(pairs: DataFrame, k: int) -> DataFrame:
     """``pairs`` of shaped cells and sites without the sites of which ``k`` others are nearer everywhere in the cell.
 
     The points nearer to a than to b are a half of the globe, so a is nearer in all of a cell if it is so at its corners, with a margin for the parallels, which aren't great circles.
@@ -61,7 +61,6 @@ def _narrowed(pairs: DataFrame, k: int, few: bool) -> DataFrame:
     own = F.col("_v")
     best = [F.max_by(F.when(F.col("_g") == g, own), F.when(F.col("_g") == g, dot(s, own))) for g in range(k) for s in _SPOTS]
     rivals = pairs.groupBy("_cy", "_cx").agg(*(b.alias(f"_r{i}") for i, b in enumerate(best)))
-    rivals = F.broadcast(rivals) if few else rivals
     distance = 2 - 2 * dot(_SPOTS[4], own)  # of the middle, squared
     reach = 1.6 * F.sqrt(F.greatest(distance, F.lit(0.0))) + 2 * half
 
@@ -75,41 +74,127 @@ def _narrowed(pairs: DataFrame, k: int, few: bool) -> DataFrame:
     return pairs.join(rivals, ["_cy", "_cx"]).filter(~reduce(Column.__and__, beaten)).select("_cy", "_cx", "_s", "_v", "_g")
 
 
-def _finish(top: int, k: int, most: int):
-    """The function that takes one cell of level ``top`` with its sites down to leaves; same rules as ``_narrowed``."""
+def _spots(cy: int, cx: int, size: float) -> np.ndarray:
+    """The corners of a cell and its middle as unit vectors."""
 
     def unit(lat: float, lon: float) -> list[float]:
         y, x = math.radians(lat), math.radians(lon)
         return [math.cos(y) * math.cos(x), math.cos(y) * math.sin(x), math.sin(y)]
 
+    south, north = (max(-90.0, min(90.0, (cy + i) * size)) for i in (0, 1))
+    west, east = cx * size, (cx + 1) * size
+    return np.array([*(unit(y, x) for y in (south, north) for x in (west, east)), unit((south + north) / 2, (west + east) / 2)])
+
+
+def _on_globe(cy: int, cx: int, size: float) -> bool:
+    return cy * size <= 90 and (cy + 1) * size >= -90 and cx * size <= 180 and (cx + 1) * size >= -180
+
+
+def _unbeaten(v: np.ndarray, rivals: list[np.ndarray], spots: np.ndarray, size: float) -> np.ndarray:
+    """Which of the sites ``v`` stay in a cell; ``rivals`` are those of each group; same rules as ``_narrowed``."""
+    half = math.radians(size / 2)
+    least = _TIE * (1.6 * np.sqrt(np.maximum(2 - 2 * (v @ spots[4]), 0.0)) + 2 * half) + 4e-16
+    beaten = np.ones(len(v), bool)
+    for own in rivals:
+        one = np.zeros(len(v), bool)
+        for rival in own:
+            d = rival - v
+            one |= (d @ spots[:4].T).min(1) > half * half / 3 * np.sqrt((d * d).sum(1)) + least
+        beaten &= one
+    return ~beaten
+
+
+def _vectors(column: pa.StructArray) -> np.ndarray:
+    return np.stack([a.to_numpy(zero_copy_only=False) for a in column.flatten()], 1).astype(float)
+
+
+def _children(level: int, py: int, px: int) -> list[tuple[int, int]]:
+    """The cells of a level on the globe that are in a cell of the level before."""
+    found = [(y, x) for y in range(-3, 3) for x in range(-6, 6)] if level == 0 else [(4 * py + i, 4 * px + j) for i in range(4) for j in range(4)]
+    return [c for c in found if _on_globe(*c, SIZES[level])]
+
+
+def _round(open_: DataFrame, level: int, k: int) -> DataFrame:
+    """``_narrowed`` for the children of few cells, without a row for each pair of a child and a site: every task names its nearest to each child's corners and middle, the
+    nearest of all tasks, some hundred bytes a child, go back to all tasks, and each drops the sites that those beat."""
+    size = SIZES[level]
+
+    def by_parent(batch: pa.RecordBatch):
+        at = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("_py", "_px")], 1)
+        parents, which = np.unique(at, axis=0, return_inverse=True)
+        for n, (py, px) in enumerate(parents.tolist()):
+            yield np.flatnonzero(which.ravel() == n), _children(level, py, px)
+
+    def nearest(batches):
+        best: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            v, g = _vectors(batch.column("_v")), batch.column("_g").to_numpy(zero_copy_only=False)
+            for rows, cells in by_parent(batch):
+                for cell in cells:
+                    dots = v[rows] @ _spots(*cell, size).T
+                    for i in range(k):
+                        own = np.flatnonzero(g[rows] == i)
+                        if len(own):
+                            top = own[np.argmax(dots[own], 0)]
+                            d, w = dots[top, range(len(_SPOTS))], v[rows[top]]
+                            if (*cell, i) in best:
+                                d0, w0 = best[*cell, i]
+                                d, w = np.maximum(d, d0), np.where((d > d0)[:, None], w, w0)
+                            best[*cell, i] = d, w
+        keys = np.repeat(np.array(list(best), np.int32).reshape(-1, 3), len(_SPOTS), 0)
+        d, w = (np.concatenate([x[n] for x in best.values()]) if best else np.empty(shape) for n, shape in ((0, 0), (1, (0, 3))))
+        spot = np.tile(np.arange(len(_SPOTS), dtype=np.int32), len(best))
+        yield pa.record_batch([*(pa.array(keys[:, n]) for n in range(3)), pa.array(spot), pa.array(d), *(pa.array(w[:, n]) for n in range(3))], ["cy", "cx", "g", "spot", "d", "x", "y", "z"])
+
+    found = open_.select("_py", "_px", "_v", "_g").mapInArrow(nearest, "cy int, cx int, g int, spot int, d double, x double, y double, z double")
+    found = found.groupBy("cy", "cx", "g", "spot").agg(F.max(F.struct("d", "x", "y", "z")).alias("m")).select("cy", "cx", "g", "m.x", "m.y", "m.z").distinct()
+    rivals: dict[tuple[int, int], list[list]] = {}
+    for r in found.collect():
+        rivals.setdefault((r.cy, r.cx), [[] for _ in range(k)])[r.g].append((r.x, r.y, r.z))
+    rivals = {c: [np.array(x).reshape(-1, 3) for x in groups] for c, groups in rivals.items()}
+
+    def keep(batches):
+        for batch in batches:
+            v = _vectors(batch.column("_v"))
+            for rows, cells in by_parent(batch):
+                for cy, cx in cells:
+                    left = pa.array(rows[_unbeaten(v[rows], rivals[cy, cx], _spots(cy, cx, size), size)])
+                    if len(left):
+                        kept = batch.select(["_s", "_v", "_g"]).take(left)
+                        yield pa.record_batch([pa.array(np.full(len(left), c), pa.int32()) for c in (cy, cx)] + kept.columns, ["_cy", "_cx", "_s", "_v", "_g"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in open_.schema}
+    return open_.select("_py", "_px", "_s", "_v", "_g").mapInArrow(keep, f"_cy int, _cx int, _s {kinds['_s']}, _v {kinds['_v']}, _g {kinds['_g']}")
+
+
+def _finish(top: int, k: int, most: int):
+    """The function that takes one cell of level ``top`` with its sites down to leaves; same rules as ``_narrowed``."""
+
     def narrow(v: np.ndarray, g: np.ndarray, cy: int, cx: int, size: float) -> np.ndarray:
-        south, north = (max(-90.0, min(90.0, (cy + i) * size)) for i in (0, 1))
-        west, east = cx * size, (cx + 1) * size
-        corners = np.array([unit(y, x) for y in (south, north) for x in (west, east)])
-        middle = np.array(unit((south + north) / 2, (west + east) / 2))
-        half = math.radians(size / 2)
-        least = _TIE * (1.6 * np.sqrt(np.maximum(2 - 2 * (v @ middle), 0.0)) + 2 * half) + 4e-16
-        beaten = np.ones(len(v), bool)
-        for own in (np.flatnonzero(g == i) for i in range(k)):
-            one = np.zeros(len(v), bool)
-            for rival in {int(own[np.argmax(v[own] @ spot)]) for spot in (*corners, middle)} if len(own) else ():
-                d = v[rival] - v
-                one |= (d @ corners.T).min(1) > half * half / 3 * np.sqrt((d * d).sum(1)) + least
-            beaten &= one
-        return ~beaten
+        spots = _spots(cy, cx, size)
+        owns = (v[g == i] for i in range(k))
+        return _unbeaten(v, [own[np.unique(np.argmax(own @ spots.T, 0))] if len(own) else own for own in owns], spots, size)
+
+    def tied(v: np.ndarray, g: np.ndarray, cy: int, size: float) -> int:
+        """Sites that stay in every cell at a pole, which all its cells share: those near the same latitude.  Parts of the cell would hold them again, four times as many parts at each level."""
+        if -90 < cy * size and (cy + 1) * size < 90:
+            return 0
+        height = v[:, 2] if (cy + 1) * size >= 90 else -v[:, 2]
+        least = min(height[g == i].max(initial=-2.0) for i in range(k))
+        return int((height >= least - 1e-9).sum())
 
     def finish(table: pa.Table) -> pa.Table:
-        v = np.stack(table.column("_v").combine_chunks().flatten(), 1).astype(float)
+        v = _vectors(table.column("_v").combine_chunks())
         g = table.column("_g").to_numpy()
         todo = [(top, table.column("_cy")[0].as_py(), table.column("_cx")[0].as_py(), np.arange(len(v)))]
         out = []
         while todo:
             level, cy, cx, own = todo.pop()
             size = SIZES[level]
-            if cy * size > 90 or (cy + 1) * size < -90 or cx * size > 180 or (cx + 1) * size < -180:
+            if not _on_globe(cy, cx, size):
                 continue
             own = own[narrow(v[own], g[own], cy, cx, size)]
-            if len(own) <= most or level == len(SIZES) - 1:
+            if len(own) <= most or level == len(SIZES) - 1 or len(own) <= 2 * tied(v[own], g[own], cy, size):
                 out.append((level, cy, cx, own))
             else:
                 todo += [(level + 1, 4 * cy + i, 4 * cx + j, own) for i in range(4) for j in range(4)]
@@ -180,7 +265,7 @@ def site_index(sites: DataFrame, k: int = 1, keep: tuple[str, ...] = ("osm_type"
 
     All sites belong to the largest cells at first.  A cell drops the sites that can't be nearest there and is split in sixteen while it holds more than ``most``, so dense regions
     get small cells and far ones stay large.  Cells with more than ``alone`` sites do so in rounds of joins over all tasks, smaller ones at once in one task.  No row holds more than ``most`` sites, unless so many stand within five
-    centimetres; of those at the very same place only the first ``k`` by ``keep`` count.
+    centimetres or are equally near to a pole; of those at the very same place only the first ``k`` by ``keep`` count.
     """
     here = Window.partitionBy("latitude", "longitude").orderBy(*keep)
     rows = sites.select(F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"), *(F.col(c) for c in keep if c not in ("latitude", "longitude")))
@@ -197,7 +282,7 @@ def site_index(sites: DataFrame, k: int = 1, keep: tuple[str, ...] = ("osm_type"
         cells, few = _shaped(cells, size), n <= FEW
         pairs = open_.join(F.broadcast(cells) if few else cells, ["_py", "_px"])
         if crowded:
-            kept = materialize(_narrowed(pairs, k, few))
+            kept = materialize(_round(spread(open_), level, k) if few else _narrowed(pairs, k))
             size_of = kept.groupBy("_cy", "_cx").agg(F.count(F.lit(1)).alias("_n"))
             full = size_of.filter(F.col("_n") > alone).select("_cy", "_cx")
             n = 16 * full.count() if level < len(SIZES) - 1 else 0
@@ -209,7 +294,7 @@ def site_index(sites: DataFrame, k: int = 1, keep: tuple[str, ...] = ("osm_type"
             break
         parent = full.select(F.col("_cy").alias("_py"), F.col("_cx").alias("_px"))
         cells = parent.withColumn("_ny", whole(0, 3)).withColumn("_nx", whole(0, 3)).select("_py", "_px", (F.col("_py") * 4 + F.col("_ny")).alias("_cy"), (F.col("_px") * 4 + F.col("_nx")).alias("_cx"))
-        open_ = kept.withColumnsRenamed({"_cy": "_py", "_cx": "_px"})
+        open_ = kept.join(F.broadcast(full) if 16 * FEW > n else full, ["_cy", "_cx"]).withColumnsRenamed({"_cy": "_py", "_cx": "_px"})
     nowhere = rows.sparkSession.range(1).select(F.lit(-1).alias("_level"), F.lit(0).alias("_cy"), F.lit(0).alias("_cx"), F.array().cast(f"array<{kind}>").alias("_sites"))
     leaves = materialize(union_all([*leaves, nowhere]))
     return SiteIndex(leaves, materialize(_directory(leaves)), k, keep)
