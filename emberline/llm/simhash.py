@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
@@ -116,6 +117,8 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
 # ------------------------------------------------- near copies by similarity
 
+#: Texts that say which shingles are frequent, and in how many of them those are.
+ORDERED_BY, OFTEN = 20_000, 8
 LANES = 4
 CHAINS = 16
 CHAIN_BITS = 24
@@ -146,20 +149,48 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(h), bitorder="little")
 
 
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that are in ``OFTEN`` or more of some ``ORDERED_BY`` texts, sorted, and in how many they are."""
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [shingle_set(t, shingle) for t in f["text"]]
+            yield pd.DataFrame({"s": np.concatenate([*found, np.empty(0, np.uint64)]).view("<i8")})
+
+    share = min(1.0, ORDERED_BY / max(1, rows.count()))
+    some = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    found = some.mapInPandas(sets, "s long").groupBy("s").count().filter(F.col("count") >= OFTEN).toPandas()
+    h = found["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], found["count"].to_numpy(np.int64)[order]
+
+
+def _first(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The shingles of a sorted set by one of which all sets are met that share ``least`` of the larger one: the rarest first, equals by hash."""
+    n = len(h)
+    keep = n - math.ceil(least * n - 1e-6) + 1 if n else 0
+    known, times = common
+    if not len(known):
+        return h[:keep]
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return h[np.lexsort((h, np.where(known[at] == h, times[at], 0)))][:keep]
+
+
 def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component_id) of every row: rows linked by steps of ``least`` or more similarity share the smallest key.
 
-    Similarity is the Jaccard index of the sets of ``shingle`` words, worked out from the whole texts before a link counts.  Candidates come from a SimHash
-    of 256 bits: a pair is looked at if one of the ring's chains of three segments of eight bits, of which every second segment begins one, differs in a bit at
-    most and the whole in ``MOST_WIDE`` at most.  Pairs within 15 bits always have such a chain; the share of pairs at the least similarity
-    that do is measured in the tests.  Work is on distinct sets.  First each is compared with the smallest and largest under its keys and the links are
-    contracted, then only keys under which different components meet are expanded, so a group of copies isn't written out in pairs.
-    Texts without words are one group.  Rows with a null key keep component null unless linked.
+    Similarity is the Jaccard index of the sets of ``shingle`` words, worked out from the whole texts before a link counts.  Work is on distinct sets.  First each set is compared
+    with the smallest and largest one under each of sixteen keys of its SimHash of 256 bits and the links are contracted, so a group of copies isn't written out in pairs.  That
+    loses some, so all other links follow from shingles: of two sets that share ``least`` of the larger, the first 1 - ``least`` of their shingles in any one order have one in common.
+    Sets of different components that do, and whose sizes allow it, are compared.  The order puts shingles that are frequent in some ``ORDERED_BY`` texts last, which only keeps the
+    groups small: every link is found by any order.  Texts without words are one group.  Rows with a null key keep component null unless linked.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ring = (np.arange(CHAINS)[:, None] * 2 + np.arange(3)) % (8 * LANES)
 
-    @pandas_udf("struct<h:long,fp:array<long>,chains:array<int>>")
+    common = _frequent(rows, shingle)
+
+    @pandas_udf("struct<h:long,fp:array<long>,chains:array<int>,n:int,first:array<long>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             out = []
@@ -167,11 +198,11 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
                 h = shingle_set(t, shingle)
                 fp = wide_fingerprint(h)
                 chains = fp[ring] @ np.array([1, 1 << 8, 1 << 16])
-                out.append((_set_hash(h), fp.view("<i8"), chains.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["h", "fp", "chains"])
+                out.append((_set_hash(h), fp.view("<i8"), chains.astype(np.int32), len(h), _first(h, common, least).view("<i8")))
+            yield pd.DataFrame(out, columns=["h", "fp", "chains", "n", "first"])
 
     fps = cut(rows.select("key", sketch("text").alias("x")).select("key", "x.*"))
-    nodes = cut(fps.groupBy("h").agg(F.min("key").alias("id"), F.any_value("fp").alias("fp"), F.any_value("chains").alias("chains")))
+    nodes = cut(fps.groupBy("h").agg(F.min("key").alias("id"), *(F.any_value(c).alias(c) for c in ("fp", "chains", "n", "first"))))
     near = lambda a, b: F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(LANES)) + f" <= {MOST_WIDE}")
 
     def keyed(x: DataFrame) -> DataFrame:
@@ -205,17 +236,14 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
     ends = own.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lo"), F.max(F.struct("h", "fp")).alias("hi")).filter("lo.h <> hi.h")
     stars = own.join(ends, "key").select("h", "fp", F.explode(F.array("lo", "hi")).alias("e")).filter("h <> e.h").filter(near("fp", "e.fp"))
     first = connected_components(verified(stars.select(F.col("h").alias("a"), F.col("e.h").alias("b"))))
-    held = cut(nodes.join(first.withColumnRenamed("node", "h"), "h", "left").select("h", "id", "fp", "chains", F.coalesce("component", "h").alias("c")))
-
-    live = held.filter("h <> 0").select("h", "fp", "chains", "c")
-    own = keyed(live).select("key", "h", "fp", "c")
-    met = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    # Of two chains that differ in a bit, the one with the zero meets the other's own key.  Only hashes go under the many keys; the rest is looked up for those that meet.
-    flips = keyed(live.select("h", "chains")).select("h", "key", F.explode(F.array(*(F.lit(f) for f in (0, *(1 << b for b in range(CHAIN_BITS)))))).alias("flip")).filter("key & flip = 0")
-    abroad = flips.select("h", F.expr("key | flip").alias("key"), F.expr("flip = 0").alias("home")).join(met.hint("shuffle_hash"), "key").filter("lo <> hi or not home")
-    abroad = abroad.join(live.select("h", "fp", "c"), "h").filter("lo <> c or hi <> c").select("key", "h", "fp", "c")
-    other = own.select("key", F.col("h").alias("h2"), F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    links = verified(abroad.join(other, "key").filter("c <> c2").filter(near("fp", "fp2")).select(F.col("h").alias("a"), F.col("h2").alias("b")))
+    held = cut(nodes.join(first.withColumnRenamed("node", "h"), "h", "left").select("h", "id", "n", "first", F.coalesce("component", "h").alias("c")))
+
+    own = held.filter("h <> 0").select("h", "c", "n", F.explode("first").alias("key"))
+    group = Window.partitionBy("key")
+    mixed = cut(own.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).filter("lo <> hi").drop("lo", "hi"))
+    other = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("h", "c", "n")))
+    fits = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6
+    links = verified(mixed.join(other, "key").filter("c < c2").filter(fits).select(F.col("h").alias("a"), F.col("h2").alias("b")))
     top = held.select(F.col("h").alias("a"), F.col("c").alias("c_a")), held.select(F.col("h").alias("b"), F.col("c").alias("c_b"))
     second = connected_components(links.join(top[0], "a").join(top[1], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
     whole = held.select("h", "id", "c").join(second, "c", "left").select("h", "id", F.coalesce("top", "c").alias("top"))
