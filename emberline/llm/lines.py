@@ -100,8 +100,8 @@ def masked_lines(texts: list[str | None], depth: int, short: int = 3) -> Lines:
     return Lines(text, number, size, line.view(np.int64), leaf.view(np.int64), tokens, start)
 
 
-def _chunks(frames: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[tuple[np.ndarray, list]]:
-    """Keys and texts, about so many characters at a time."""
+def _chunks(frames: Iterator[pd.DataFrame], chars: int = 1_000_000) -> Iterator[tuple[np.ndarray, list]]:
+    """Keys and texts, about so many characters at a time; the arrays made of them take some 50 bytes a character."""
     for f in frames:
         ends = np.cumsum([len(t or "") for t in f["text"]]) // chars
         for _, part in f.groupby(ends):

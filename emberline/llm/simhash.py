@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import LongType
 
 from emberline.llm.common import cut, lower_words
@@ -176,75 +177,106 @@ def _first(h: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -
     return h[np.lexsort((h, np.where(known[at] == h, times[at], 0)))][:keep]
 
 
+#: Slots of the marks by which only rows with a wanted key are sent to the verification; all tasks know them, some 30 MB at most.
+MARKS = 1 << 20
+
+
+def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` may be among those of ``wanted``: all that are, and some others, the more the fuller ``MARKS``."""
+    slot = F.pmod(F.xxhash64("key"), F.lit(MARKS)).cast("int").alias("slot")
+    return rows.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
+
+
+def _chains(fp: str) -> Column:
+    """The keys of a wide fingerprint (an array of 64-bit numbers): its ring's chains of three bytes, from every other byte."""
+    word = lambda k: F.get(fp, k % LANES)
+    own = [F.shiftrightunsigned(word(k // 4), 16 * (k % 4)) for k in range(CHAINS)]
+    own = [x if k % 4 < 3 else x.bitwiseOR(F.shiftleft(word(k // 4 + 1), 16)) for k, x in enumerate(own)]
+    return F.array(*(x.bitwiseAND(F.lit((1 << CHAIN_BITS) - 1)).cast("int") for x in own))
+
+
+def _prefix(n: Column, least: float) -> Column:
+    """How many shingles ``_first`` keeps of a set of ``n``."""
+    return n - F.ceil(least * n - 1e-6) + 1
+
+
 def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component_id) of every row: rows linked by steps of ``least`` or more similarity share the smallest key.
 
-    Similarity is the Jaccard index of the sets of ``shingle`` words, worked out from the whole texts before a link counts.  Work is on distinct sets.  First each set is compared
-    with the smallest and largest one under each of sixteen keys of its SimHash of 256 bits and the links are contracted, so a group of copies isn't written out in pairs.  That
-    loses some, so all other links follow from shingles: of two sets that share ``least`` of the larger, the first 1 - ``least`` of their shingles in any one order have one in common.
-    Sets of different components that do, and whose sizes allow it, are compared.  The order puts shingles that are frequent in some ``ORDERED_BY`` texts last, which only keeps the
-    groups small: every link is found by any order.  Texts without words are one group.  Rows with a null key keep component null unless linked.
+    Similarity is the Jaccard index of the sets of ``shingle`` words, worked out from the whole texts before a link counts.  Work is on distinct sets, each known by the number of one of
+    its rows.  First each set is compared with the first and the last one under each of sixteen keys of its SimHash of 256 bits and the links are contracted, so a group of copies isn't
+    written out in pairs.  That loses some, so all other links follow from shingles: of two sets that share ``least`` of the larger, the first 1 - ``least`` of their shingles in any one
+    order have one in common.  Sets of different components that do are compared if their sizes allow it and if they have as many of those in common as sets of such sizes must: of the
+    set whose first shingles end earlier in the order, all that are shared must be among the first of both.  The order puts shingles that are frequent in some ``ORDERED_BY`` texts last,
+    which only keeps the groups small: every link is found by any order.  First shingles are kept as 32 bits, which can only bring more sets together.  Texts without words are one group.
+    Rows with a null key keep component null unless linked.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    ring = (np.arange(CHAINS)[:, None] * 2 + np.arange(3)) % (8 * LANES)
-
     common = _frequent(rows, shingle)
 
-    @pandas_udf("struct<h:long,fp:array<long>,chains:array<int>,n:int,first:array<long>>")
+    @pandas_udf("struct<h:long,fp:array<long>,n:int,first:array<int>>")
     def sketch(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             out = []
             for t in s:
                 h = shingle_set(t, shingle)
-                fp = wide_fingerprint(h)
-                chains = fp[ring] @ np.array([1, 1 << 8, 1 << 16])
-                out.append((_set_hash(h), fp.view("<i8"), chains.astype(np.int32), len(h), _first(h, common, least).view("<i8")))
-            yield pd.DataFrame(out, columns=["h", "fp", "chains", "n", "first"])
+                out.append((_set_hash(h), wide_fingerprint(h).view("<i8"), len(h), _first(h, common, least).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame(out, columns=["h", "fp", "n", "first"])
 
-    fps = cut(rows.select("key", sketch("text").alias("x")).select("key", "x.*"))
-    nodes = cut(fps.groupBy("h").agg(F.min("key").alias("id"), *(F.any_value(c).alias(c) for c in ("fp", "chains", "n", "first"))))
+    fps = cut(rows.select("key", sketch("text").alias("x")).select(F.monotonically_increasing_id().alias("row"), "key", "x.*"))
+    nodes = cut(fps.groupBy("h").agg(F.min("row").alias("row"), F.min("key").alias("id"), *(F.any_value(c).alias(c) for c in ("fp", "n"))))
     near = lambda a, b: F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(LANES)) + f" <= {MOST_WIDE}")
-
-    def keyed(x: DataFrame) -> DataFrame:
-        """Each row under the keys of its chains."""
-        return x.select("*", F.posexplode("chains").alias("c_no", "chain")).withColumn("key", F.expr(f"c_no * {1 << CHAIN_BITS} + chain"))
+    fits = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of set hashes that are similar enough."""
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes.select("h", F.col("id").alias("key")), "h")
+        """Of pairs (a, b), each there once, those whose sets are similar enough."""
+        pairs = cut(pairs)
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes.select("row", "h", F.col("id").alias("key")), "row"))
 
         def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()  # repeated rows of a key mostly come to one task
+            own: list[tuple[int, bytes]] = []
             for f in frames:
-                found = [shingle_set(t, shingle) for t in f["text"]]
-                own = [_set_hash(x) for x in found]
-                keep = [k for k, (x, y) in enumerate(zip(own, f["h"], strict=True)) if x == y]  # repeated keys may hold other texts
-                yield pd.DataFrame({"h": [own[k] for k in keep], "s": [found[k].tobytes() for k in keep]})
-
-        known = rows.join(wanted, F.expr("text is not null") & rows["key"].eqNullSafe(wanted["key"])).select("h", "text").mapInPandas(sets, "h long, s binary")
-        known = cut(known.dropDuplicates(["h"]))
-
-        @pandas_udf("double")
-        def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
-            both = [len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
-            return pd.Series([n / max(1, (len(p) + len(q)) // 8 - n) for n, p, q in zip(both, x, y, strict=True)], dtype=float)
+                for row, t, h in zip(f["row"], f["text"], f["h"], strict=True):
+                    if row not in seen and _set_hash(found := shingle_set(t, shingle)) == h:  # repeated keys may hold other texts
+                        seen.add(row)
+                        own.append((row, found.tobytes()))
+                    if len(own) >= 500:
+                        yield pd.DataFrame(own, columns=["row", "s"])
+                        own = []
+            yield pd.DataFrame(own, columns=["row", "s"])
+
+        texts = _marked(rows.filter("text is not null"), wanted)
+        known = texts.join(wanted, texts["key"].eqNullSafe(wanted["key"])).select("row", "h", "text").mapInPandas(sets, "row long, s binary")
+        known = cut(known)
+
+        @arrow_udf("double")
+        def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
+            out = []
+            for p, q in zip(x, y, strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
+                n = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(n / max(1, len(p) + len(q) - n))
+            return pa.array(out, pa.float64())
 
-        left, right = known.select(F.col("h").alias("a"), F.col("s").alias("s_a")), known.select(F.col("h").alias("b"), F.col("s").alias("s_b"))
+        left, right = known.select(F.col("row").alias("a"), F.col("s").alias("s_a")), known.select(F.col("row").alias("b"), F.col("s").alias("s_b"))
         return pairs.join(left, "a").join(right, "b").filter(jaccard("s_a", "s_b") >= least).select("a", "b")
 
-    own = keyed(nodes.filter("h <> 0")).select("key", "h", "fp")
-    ends = own.groupBy("key").agg(F.min(F.struct("h", "fp")).alias("lo"), F.max(F.struct("h", "fp")).alias("hi")).filter("lo.h <> hi.h")
-    stars = own.join(ends, "key").select("h", "fp", F.explode(F.array("lo", "hi")).alias("e")).filter("h <> e.h").filter(near("fp", "e.fp"))
-    first = connected_components(verified(stars.select(F.col("h").alias("a"), F.col("e.h").alias("b"))))
-    held = cut(nodes.join(first.withColumnRenamed("node", "h"), "h", "left").select("h", "id", "n", "first", F.coalesce("component", "h").alias("c")))
+    own = nodes.filter("h <> 0").select("row", "fp", "n", F.posexplode(_chains("fp")).alias("c_no", "chain")).withColumn("key", F.expr(f"c_no * {1 << CHAIN_BITS} + chain")).drop("c_no", "chain")
+    ends = own.groupBy("key").agg(*(f(F.struct("row", "fp", "n")).alias(c) for c, f in (("lo", F.min), ("hi", F.max)))).filter("lo.row <> hi.row")
+    stars = own.join(ends, "key").select("row", "fp", "n", F.explode(F.array("lo", "hi")).alias("e")).filter("row <> e.row").filter(near("fp", "e.fp")).filter(fits("n", "e.n"))
+    first = connected_components(verified(stars.select(F.least("row", "e.row").alias("a"), F.greatest("row", "e.row").alias("b")).distinct()))
+    held = cut(nodes.join(first.withColumnRenamed("node", "row"), "row", "left").select("row", "h", "id", "n", F.coalesce("component", "row").alias("c")))
 
-    own = held.filter("h <> 0").select("h", "c", "n", F.explode("first").alias("key"))
+    own = fps.select("row", "first").join(held.filter("h <> 0").select("row", "c"), "row").select("row", "c", F.explode("first").alias("key"))
     group = Window.partitionBy("key")
-    mixed = cut(own.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).filter("lo <> hi").drop("lo", "hi"))
-    other = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("h", "c", "n")))
-    fits = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6
-    links = verified(mixed.join(other, "key").filter("c < c2").filter(fits).select(F.col("h").alias("a"), F.col("h2").alias("b")))
-    top = held.select(F.col("h").alias("a"), F.col("c").alias("c_a")), held.select(F.col("h").alias("b"), F.col("c").alias("c_b"))
+    mixed = own.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).filter("lo <> hi").drop("lo", "hi")
+    mixed = cut(mixed.join(held.select("row", "n"), "row"))
+    other = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("row", "c", "n")))
+    shared = mixed.join(other, "key").filter("c < c2").filter(fits("n", "n2")).groupBy(F.col("row").alias("a"), F.col("row2").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.any_value("n").alias("n"), F.any_value("n2").alias("n2"))
+    must = F.ceil(least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6)
+    links = verified(shared.filter(F.col("m") >= F.least(*(must - F.col(c) + _prefix(F.col(c), least) for c in ("n", "n2")))).select("a", "b"))
+    top = held.select(F.col("row").alias("a"), F.col("c").alias("c_a")), held.select(F.col("row").alias("b"), F.col("c").alias("c_b"))
     second = connected_components(links.join(top[0], "a").join(top[1], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
     whole = held.select("h", "id", "c").join(second, "c", "left").select("h", "id", F.coalesce("top", "c").alias("top"))
     smallest = whole.groupBy("top").agg(F.min("id").alias("component_id"))

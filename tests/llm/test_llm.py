@@ -562,6 +562,28 @@ def test_every_link_at_the_least_similarity_is_found(spark):
     assert all(got[i] in (i, i - 1) for i in got)
 
 
+def test_only_texts_that_can_be_near_copies_are_verified(spark, monkeypatch):
+    """Texts that share a passage, but too few shingles for their sizes, are told apart by the first shingles: their sets aren't written."""
+    from emberline.llm import simhash
+
+    r, written = random.Random(13), []
+    passage = [f"p{i}" for i in range(60)]
+    docs = [[f"w{r.randrange(10**6)}" for _ in range(240)] + passage for _ in range(60)]
+    docs += [[*d[:100], "x", *d[101:]] for d in docs[:5]]
+    plain = simhash.cut
+
+    def cut(df):
+        out = plain(df)
+        if "s" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "cut", cut)
+    got = {x.doc_id: x.component_id for x in simhash.near_copy_components(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 60 else i - 60 for i in range(65)}
+    assert sum(written) <= 20
+
+
 # --------------------------------------------------------------------- op 8
 
 
