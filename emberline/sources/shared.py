@@ -27,13 +27,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, most: int | None = None) -> DataFrame:
     """A scan of fewer partitions than the cluster has cores, dealt over all of them before costly work on each row; a larger one stays as it is.
 
+    With ``most`` it is dealt over as many as have about so many rows each, so a task doesn't grow with the table; that counts the rows, which a Parquet scan does from its footers.
     Use it on scans and on narrow steps over them: to count the partitions of a shuffled plan would run its shuffles.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if most:
+        parts = max(parts, -(-df.count() // most))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
