@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import random
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from emberline.functions.labels import confidence_tier
 from emberline.operators.ranks import ranks_within
-from emberline.sources.shared import materialize, spread
+from emberline.sources.shared import materialize, shared_folder, spread
 
 LEAKAGE = ("reviewed_class", "raw_label", "target_class", "cv_fold", "validation_label")
 
@@ -167,13 +168,62 @@ def save(fitted: PipelineModel, path: str, df: DataFrame, numeric: list[str], ca
     return df.sparkSession.read.parquet(f"{path}/metadata")
 
 
+def _votes(forest: RandomForestClassificationModel, spark: SparkSession):
+    """The function from arrays of features to a forest's raw prediction: the sum of its trees' class shares, as Spark's own.
+
+    Spark takes each row through all trees, whose nodes don't fit the caches when they are many and deep; here a batch of rows goes through one tree after another.  The nodes are
+    read from the saved model and broadcast: the trees and their depth bound them, whatever the rows.
+    """
+    folder = f"{shared_folder(spark)}/forest-{uuid.uuid4().hex}"
+    forest.save(folder)
+    split = F.col("nodeData.split")
+    nodes = spark.read.parquet(f"{folder}/data").select(
+        "treeID", "nodeData.id", "nodeData.rightChild", split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("cut"), split["numCategories"].alias("categories"), F.col("nodeData.impurityStats").alias("stats"),
+    ).orderBy("treeID", "id").toArrow()
+    tree, own, right, feature, cut, categories = (nodes.column(c).to_numpy() for c in ("treeID", "id", "rightChild", "feature", "cut", "categories"))
+    if (categories > 2).any():
+        raise ValueError("splits over more than two categories aren't scored in batches")
+    n, leaf, starts = len(tree), right < 0, np.flatnonzero(own == 0)
+    at = np.arange(n)
+    left, right = np.where(leaf, at, at + 1), np.where(leaf, at, starts[np.cumsum(own == 0) - 1] + right)  # a node's left child follows it
+    ones_left = (categories == 2) & (cut == 1)  # of the values 0 and 1
+    cut = np.where(leaf, np.inf, np.where(categories == 2, 0.5, cut))
+    children = np.stack([np.where(ones_left, left, right), np.where(ones_left, right, left)], 1).astype(np.int32).ravel()  # of a value above the cut, and of one up to it
+    stats = nodes.column("stats").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    total = stats.sum(1, keepdims=True)
+    shares = np.where(total != 0, stats / np.where(total != 0, total, 1.0), 0.0)
+    depths = [t.depth for t in forest.trees]
+    held = spark.sparkContext.broadcast((np.maximum(feature, 0).astype(np.int32), cut, children, shares, starts.astype(np.int32), depths))
+
+    @arrow_udf("array<double>")
+    def votes(features: pa.Array) -> pa.Array:
+        feature, cut, children, shares, starts, depths = held.value
+        x = features.flatten().to_numpy(zero_copy_only=False)
+        places = np.arange(len(features), dtype=np.int32) * np.int32(len(x) // max(len(features), 1))
+        out = np.zeros((len(features), shares.shape[1]))
+        for start, depth in zip(starts, depths, strict=True):
+            at = np.full(len(features), start, np.int32)
+            for _ in range(depth):
+                at = children.take(2 * at + (x.take(places + feature.take(at)) <= cut.take(at)))
+            out += shares.take(at, 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+
+    return votes
+
+
 def score(df: DataFrame, fitted: PipelineModel, numeric: list[str], keep: list[str]) -> DataFrame:
     """Class, probabilities to four digits, the largest, and its tier."""
     labels = fitted.stages[0].labels
-    rows = predicted(df, fitted, numeric)
-    p = vector_to_array("probability")
+    if isinstance(fitted.stages[-1], RandomForestClassificationModel):
+        votes = _votes(fitted.stages[-1], df.sparkSession)
+        rows = _prepared(df, fitted, numeric, fitted.stages[1:-1]).withColumn("_votes", votes(vector_to_array("_features")))
+        raw = [F.col("_votes")[i] for i in range(len(labels))]
+        p = [v / reduce(Column.__add__, raw) for v in raw]
+        rows = rows.withColumn("predicted_class", F.element_at(F.array(*map(F.lit, labels)), F.array_position("_votes", F.array_max("_votes")).cast("int")))
+    else:
+        rows, p = predicted(df, fitted, numeric), [vector_to_array("probability")[i] for i in range(len(labels))]
     names = ["probability_" + "_".join("".join(ch if ch.isalnum() else " " for ch in x).lower().split()) for x in labels]
-    out = rows.select(*keep, "predicted_class", *(F.round(p[i], 4).alias(n) for i, n in enumerate(names)))
+    out = rows.select(*keep, "predicted_class", *(F.round(v, 4).alias(n) for v, n in zip(p, names, strict=True)))
     return out.withColumn("max_probability", F.greatest(*names)).withColumn("ml_confidence", confidence_tier("max_probability"))
 
 
@@ -189,15 +239,20 @@ def holdout(df: DataFrame, label: str, key: str = "event_id", share: float = 0.2
     return ranked.withColumn("is_test", F.col("_rank") <= F.floor(share * F.col("_size"))).drop("_rank", "_size")
 
 
+def _prepared(df: DataFrame, fitted: PipelineModel, numeric: list[str], steps: list) -> DataFrame:
+    """``df`` after some steps of a fitted pipeline."""
+    rows = numeric_matrix(df, numeric)
+    texts = [c for stage in fitted.stages if isinstance(stage, StringIndexerModel) and stage.isSet("inputCols") for c in stage.getInputCols()]
+    rows = rows.withColumns({c: F.col(c).cast("string") for c in texts}) if texts else rows
+    return reduce(lambda x, stage: stage.transform(x), steps, rows)
+
+
 def predicted(df: DataFrame, fitted: PipelineModel | ExtraTrees, numeric: list[str]) -> DataFrame:
     """``df`` with predicted_class."""
-    rows = numeric_matrix(df, numeric)
     if isinstance(fitted, ExtraTrees):
+        rows = numeric_matrix(df, numeric)
         return fitted.transform(rows.withColumns({c: F.col(c).cast("string") for c in fitted.categorical}))
-    texts = [c for stage in fitted.stages if isinstance(stage, StringIndexerModel) and stage.isSet("inputCols") for c in stage.getInputCols()]
-    rows = rows.withColumns({c: F.col(c).cast("string") for c in texts}) if texts else rows
-    for stage in fitted.stages[1:]:
-        rows = stage.transform(rows)
+    rows = _prepared(df, fitted, numeric, fitted.stages[1:])
     return IndexToString(inputCol="prediction", outputCol="predicted_class", labels=fitted.stages[0].labels).transform(rows)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.labels import target_class
 from emberline.operators import features, matrix, ml, serve
-from emberline.plans.detection_queries import _classified, searched
+from emberline.plans.detection_queries import SEARCHED, _classified, searched
 from emberline.plans.registry import Tables, query
 from emberline.plans.serving_queries import CLASS_SQL, REVIEWED, TARGET
 from emberline.sources.shared import materialize, shared_folder, spread, union_all
@@ -70,7 +70,7 @@ def _(t):
     """The forest of 300 trees over the 31 training features, and its score of every detection."""
     rows, numeric, categorical = matrix_of(t, "training")
     train = materialize(labelled(t, ml.guard(rows, numeric)))
-    return ml.score(spread(rows), ml.fit(train, numeric, categorical, "target_class"), numeric, ["event_id"])
+    return ml.score(spread(rows, SEARCHED), ml.fit(train, numeric, categorical, "target_class"), numeric, ["event_id"])
 
 
 @query("l8_a32_cross_validation")
