@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators import features, spatial
 from emberline.operators.site_index import site_index
-from emberline.plans.detection_queries import CLEAN, COVER, LAND, near_sql
+from emberline.plans.detection_queries import CLEAN, COVER, LAND, SEARCHED, near_sql
 from emberline.plans.registry import ORACLE_SQL, QUERIES, query
 from emberline.sources.fixtures import DERIVED, load, with_tables
 from emberline.sources.shared import shared_folder
@@ -101,12 +101,13 @@ def _(spark, sf_dir):
 
 
 def _scoring(spark, sf_dir):
-    """T5: the forest of L3, fitted in batch, scores the stream."""
+    """T5: the forest of L3, fitted in batch, scores the stream, which is dealt over all cores, ``SEARCHED`` rows a task, as its scan has few partitions."""
     from emberline.operators import ml
     from emberline.plans.learning_queries import CATEGORICAL, NUMERIC, cohort
 
     fitted = ml.fit(cohort(lambda t: load(spark, sf_dir, t)), NUMERIC, CATEGORICAL, "target_class")
-    rows = features.thermal_features(features.temporal_features(_events(spark, sf_dir)))
+    parts = max(spark.sparkContext.defaultParallelism, -(-load(spark, sf_dir, "events").count() // SEARCHED))
+    rows = features.thermal_features(features.temporal_features(_events(spark, sf_dir).repartition(parts)))
     return _run(spark, pipelines.scored(rows, fitted, NUMERIC, ["event_id"]))
 
 
