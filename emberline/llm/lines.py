@@ -315,7 +315,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", shar
             yield pd.DataFrame({"line": x.line, "doc": keys[x.text], "number": x.number})
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("key is not null and text is not null")
-    places = rows.mapInPandas(listed, f"line long, doc {kind}, number int").join(recurring, "line")
+    places = rows.mapInPandas(listed, f"line long, doc {kind}, number int").join(recurring.hint("merge"), "line")
     places = places.filter("doc <> keep_key or number <> keep_number")
     return places.groupBy("doc").agg(F.array_sort(F.collect_set("number")).alias("numbers"))
 

@@ -243,5 +243,5 @@ def pack(docs: DataFrame, path: str, size: int = 2048, text: str = "text", key:
     before = per_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("part", "length", F.coalesce("before", F.lit(0)).alias("before"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("part", "length").orderBy(key, "piece")) - 1)
-    ranked = ranked.join(before, ["part", "length"]).withColumn("at", place("length", F.col("rank") + F.col("before")))
+    ranked = ranked.join(before.hint("merge"), ["part", "length"]).withColumn("at", place("length", F.col("rank") + F.col("before")))
     return ranked.select(key, "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")

@@ -89,7 +89,7 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """(key, fp, component_id) of every row: rows whose fingerprints are linked by steps of ``most`` or fewer bits share the smallest key.
 
     ``most`` is at most 4 (the keys' budgets hold for that).  Null and word-less texts have fingerprint 0.  Work is on distinct fingerprints, so
-    copies never meet pairwise.  First every fingerprint is compared with the smallest and largest one under each of its keys and the links are
+    copies never meet pairwise; sides of joins that grow with them are never broadcast.  First every fingerprint is compared with the smallest and largest one under each of its keys and the links are
     contracted; then only keys under which different components meet are expanded.  Rows with a null key keep component null unless linked.
     """
     if not 0 <= most <= 4:
@@ -98,22 +98,22 @@ def simhash_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     nodes = cut(fps.groupBy("fp").agg(F.min("key").alias("id")))
     own = _keyed(nodes.select("fp"), False)
     ends = own.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
-    near = own.join(ends, "key")
+    near = own.join(ends.hint("merge"), "key")
     stars = near.filter(_within("fp", "lo", most)).select(F.col("fp").alias("a"), F.col("lo").alias("b"))
     stars = stars.union(near.filter(_within("fp", "hi", most)).select(F.col("fp").alias("a"), F.col("hi").alias("b")))
     first = connected_components(stars.filter("a <> b"))
-    held = cut(nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("c")))
+    held = cut(nodes.join(first.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("c")))
 
     own = _keyed(held.select("fp", "c"), False)
     met = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     abroad = _keyed(held.select("fp", "c"), True).join(met.hint("shuffle_hash"), "key").filter("lo <> c or hi <> c").select("key", "s", "fp", "c")
     other = own.select("key", F.col("fp").alias("fp2"), F.col("c").alias("c2"))
-    links = abroad.join(other, "key").filter("c <> c2").filter(_within("fp", "fp2", most)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
+    links = abroad.join(other.hint("merge"), "key").filter("c <> c2").filter(_within("fp", "fp2", most)).select(F.col("c").alias("a"), F.col("c2").alias("b"))
     second = connected_components(links).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    whole = held.join(second, "c", "left").select("fp", "id", F.coalesce("top", "c").alias("top"))
+    whole = held.join(second.hint("merge"), "c", "left").select("fp", "id", F.coalesce("top", "c").alias("top"))
     smallest = whole.groupBy("top").agg(F.min("id").alias("component_id"))
-    by_fp = cut(whole.join(smallest, "top").select("fp", "component_id"))
-    return fps.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    by_fp = cut(whole.join(smallest.hint("merge"), "top").select("fp", "component_id"))
+    return fps.join(by_fp.hint("merge"), "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 # ------------------------------------------------- near copies by similarity
@@ -209,6 +209,7 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
     order have one in common.  Sets of different components that do are compared if their sizes allow it and if they have as many of those in common as sets of such sizes must: of the
     set whose first shingles end earlier in the order, all that are shared must be among the first of both.  The order puts shingles that are frequent in some ``ORDERED_BY`` texts last,
     which only keeps the groups small: every link is found by any order.  First shingles are kept as 32 bits, which can only bring more sets together.  Texts without words are one group.
+    Sides of joins that grow with the rows are sorted, never broadcast: Spark sizes them by their compressed files and doesn't know what an explode adds.
     Rows with a null key keep component null unless linked.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
@@ -231,7 +232,7 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), each there once, those whose sets are similar enough."""
         pairs = cut(pairs)
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes.select("row", "h", F.col("id").alias("key")), "row"))
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes.select("row", "h", F.col("id").alias("key")).hint("merge"), "row"))
 
         def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: set[int] = set()  # repeated rows of a key mostly come to one task
@@ -247,7 +248,7 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
             yield pd.DataFrame(own, columns=["row", "s"])
 
         texts = _marked(rows.filter("text is not null"), wanted)
-        known = texts.join(wanted, texts["key"].eqNullSafe(wanted["key"])).select("row", "h", "text").mapInPandas(sets, "row long, s binary")
+        known = texts.join(wanted.hint("merge"), texts["key"].eqNullSafe(wanted["key"])).select("row", "h", "text").mapInPandas(sets, "row long, s binary")
         known = cut(known)
 
         @arrow_udf("double")
@@ -260,25 +261,25 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
             return pa.array(out, pa.float64())
 
         left, right = known.select(F.col("row").alias("a"), F.col("s").alias("s_a")), known.select(F.col("row").alias("b"), F.col("s").alias("s_b"))
-        return pairs.join(left, "a").join(right, "b").filter(jaccard("s_a", "s_b") >= least).select("a", "b")
+        return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter(jaccard("s_a", "s_b") >= least).select("a", "b")
 
     own = nodes.filter("h <> 0").select("row", "fp", "n", F.posexplode(_chains("fp")).alias("c_no", "chain")).withColumn("key", F.expr(f"c_no * {1 << CHAIN_BITS} + chain")).drop("c_no", "chain")
     ends = own.groupBy("key").agg(*(f(F.struct("row", "fp", "n")).alias(c) for c, f in (("lo", F.min), ("hi", F.max)))).filter("lo.row <> hi.row")
-    stars = own.join(ends, "key").select("row", "fp", "n", F.explode(F.array("lo", "hi")).alias("e")).filter("row <> e.row").filter(near("fp", "e.fp")).filter(fits("n", "e.n"))
+    stars = own.join(ends.hint("merge"), "key").select("row", "fp", "n", F.explode(F.array("lo", "hi")).alias("e")).filter("row <> e.row").filter(near("fp", "e.fp")).filter(fits("n", "e.n"))
     first = connected_components(verified(stars.select(F.least("row", "e.row").alias("a"), F.greatest("row", "e.row").alias("b")).distinct()))
-    held = cut(nodes.join(first.withColumnRenamed("node", "row"), "row", "left").select("row", "h", "id", "n", F.coalesce("component", "row").alias("c")))
+    held = cut(nodes.join(first.withColumnRenamed("node", "row").hint("merge"), "row", "left").select("row", "h", "id", "n", F.coalesce("component", "row").alias("c")))
 
-    own = fps.select("row", "first").join(held.filter("h <> 0").select("row", "c"), "row").select("row", "c", F.explode("first").alias("key"))
+    own = fps.select("row", "first").join(held.filter("h <> 0").select("row", "c").hint("merge"), "row").select("row", "c", F.explode("first").alias("key"))
     group = Window.partitionBy("key")
     mixed = own.withColumns({"lo": F.min("c").over(group), "hi": F.max("c").over(group)}).filter("lo <> hi").drop("lo", "hi")
-    mixed = cut(mixed.join(held.select("row", "n"), "row"))
+    mixed = cut(mixed.join(held.select("row", "n").hint("merge"), "row"))
     other = mixed.select("key", *(F.col(c).alias(f"{c}2") for c in ("row", "c", "n")))
-    shared = mixed.join(other, "key").filter("c < c2").filter(fits("n", "n2")).groupBy(F.col("row").alias("a"), F.col("row2").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.any_value("n").alias("n"), F.any_value("n2").alias("n2"))
+    shared = mixed.join(other.hint("merge"), "key").filter("c < c2").filter(fits("n", "n2")).groupBy(F.col("row").alias("a"), F.col("row2").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.any_value("n").alias("n"), F.any_value("n2").alias("n2"))
     must = F.ceil(least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6)
     links = verified(shared.filter(F.col("m") >= F.least(*(must - F.col(c) + _prefix(F.col(c), least) for c in ("n", "n2")))).select("a", "b"))
     top = held.select(F.col("row").alias("a"), F.col("c").alias("c_a")), held.select(F.col("row").alias("b"), F.col("c").alias("c_b"))
-    second = connected_components(links.join(top[0], "a").join(top[1], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    whole = held.select("h", "id", "c").join(second, "c", "left").select("h", "id", F.coalesce("top", "c").alias("top"))
+    second = connected_components(links.join(top[0].hint("merge"), "a").join(top[1].hint("merge"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
+    whole = held.select("h", "id", "c").join(second.hint("merge"), "c", "left").select("h", "id", F.coalesce("top", "c").alias("top"))
     smallest = whole.groupBy("top").agg(F.min("id").alias("component_id"))
-    by_set = cut(whole.join(smallest, "top").select("h", "component_id"))
-    return fps.select("key", "h").join(by_set, "h").select(F.col("key").alias(key), "component_id")
+    by_set = cut(whole.join(smallest.hint("merge"), "top").select("h", "component_id"))
+    return fps.select("key", "h").join(by_set.hint("merge"), "h").select(F.col("key").alias(key), "component_id")
