@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import LongType
 
-from emberline.llm.common import cut, lower_words
+from emberline.llm.common import cut, free_name, lower_words
 from emberline.llm.components import connected_components
 
 SHINGLE, BITS, SEGMENTS = 4, 64, 8
@@ -159,7 +159,7 @@ def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             yield pd.DataFrame({"s": np.concatenate([*found, np.empty(0, np.uint64)]).view("<i8")})
 
     share = min(1.0, ORDERED_BY / max(1, rows.count()))
-    some = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    some = rows.filter(F.pmod(F.xxhash64("key", "digest"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
     found = some.mapInPandas(sets, "s long").groupBy("s").count().filter(F.col("count") >= OFTEN).toPandas()
     h = found["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -182,8 +182,8 @@ MARKS = 1 << 20
 
 
 def _marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``rows`` whose ``key`` may be among those of ``wanted``: all that are, and some others, the more the fuller ``MARKS``."""
-    slot = F.pmod(F.xxhash64("key"), F.lit(MARKS)).cast("int").alias("slot")
+    """``rows`` whose ``key`` and ``digest`` may be among those of ``wanted``: all that are, and some others, the more the fuller ``MARKS``."""
+    slot = F.pmod(F.xxhash64("key", "digest"), F.lit(MARKS)).cast("int").alias("slot")
     return rows.select("*", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
 
 
@@ -200,8 +200,14 @@ def _prefix(n: Column, least: float) -> Column:
     return n - F.ceil(least * n - 1e-6) + 1
 
 
-def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, component_id) of every row: rows linked by steps of ``least`` or more similarity share the smallest key.
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    """Rows of the same key, or of none, and the same text."""
+    return a["key"].eqNullSafe(b["key"]) & (a["digest"] == b["digest"])
+
+
+def _near_copy_sets(docs: DataFrame, text: str, key: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(key, digest, h) of every row and (h, one, top) of every distinct set: the hash of its text, that of its set, the first row of the set (those without a key come last) and the
+    group of near copies.
 
     Similarity is the Jaccard index of the sets of ``shingle`` words, worked out from the whole texts before a link counts.  Work is on distinct sets, each known by the number of one of
     its rows.  First each set is compared with the first and the last one under each of sixteen keys of its SimHash of 256 bits and the links are contracted, so a group of copies isn't
@@ -210,9 +216,8 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
     set whose first shingles end earlier in the order, all that are shared must be among the first of both.  The order puts shingles that are frequent in some ``ORDERED_BY`` texts last,
     which only keeps the groups small: every link is found by any order.  First shingles are kept as 32 bits, which can only bring more sets together.  Texts without words are one group.
     Sides of joins that grow with the rows are sorted, never broadcast: Spark sizes them by their compressed files and doesn't know what an explode adds.
-    Rows with a null key keep component null unless linked.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("digest"))
     common = _frequent(rows, shingle)
 
     @pandas_udf("struct<h:long,fp:array<long>,n:int,first:array<int>>")
@@ -224,22 +229,22 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
                 out.append((_set_hash(h), wide_fingerprint(h).view("<i8"), len(h), _first(h, common, least).astype(np.uint32).view(np.int32)))
             yield pd.DataFrame(out, columns=["h", "fp", "n", "first"])
 
-    fps = cut(rows.select("key", sketch("text").alias("x")).select(F.monotonically_increasing_id().alias("row"), "key", "x.*"))
-    nodes = cut(fps.groupBy("h").agg(F.min("row").alias("row"), F.min("key").alias("id"), *(F.any_value(c).alias(c) for c in ("fp", "n"))))
+    fps = cut(rows.select("key", "digest", sketch("text").alias("x")).select(F.monotonically_increasing_id().alias("row"), "key", "digest", "x.*"))
+    nodes = cut(fps.groupBy("h").agg(F.min("row").alias("row"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest")).alias("one"), *(F.any_value(c).alias(c) for c in ("fp", "n"))))
     near = lambda a, b: F.expr(" + ".join(f"bit_count({a}[{k}] ^ {b}[{k}])" for k in range(LANES)) + f" <= {MOST_WIDE}")
     fits = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-6
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), each there once, those whose sets are similar enough."""
         pairs = cut(pairs)
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes.select("row", "h", F.col("id").alias("key")).hint("merge"), "row"))
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes.select("row", "h", "one.key", "one.digest").hint("merge"), "row"))
 
         def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            seen: set[int] = set()  # repeated rows of a key mostly come to one task
+            seen: set[int] = set()  # repeated rows of a key and text mostly come to one task
             own: list[tuple[int, bytes]] = []
             for f in frames:
                 for row, t, h in zip(f["row"], f["text"], f["h"], strict=True):
-                    if row not in seen and _set_hash(found := shingle_set(t, shingle)) == h:  # repeated keys may hold other texts
+                    if row not in seen and _set_hash(found := shingle_set(t, shingle)) == h:
                         seen.add(row)
                         own.append((row, found.tobytes()))
                     if len(own) >= 500:
@@ -248,7 +253,7 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
             yield pd.DataFrame(own, columns=["row", "s"])
 
         texts = _marked(rows.filter("text is not null"), wanted)
-        known = texts.join(wanted.hint("merge"), texts["key"].eqNullSafe(wanted["key"])).select("row", "h", "text").mapInPandas(sets, "row long, s binary")
+        known = texts.join(wanted.hint("merge"), _same_row(texts, wanted)).select("row", "h", "text").mapInPandas(sets, "row long, s binary")
         known = cut(known)
 
         @arrow_udf("double")
@@ -267,7 +272,7 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
     ends = own.groupBy("key").agg(*(f(F.struct("row", "fp", "n")).alias(c) for c, f in (("lo", F.min), ("hi", F.max)))).filter("lo.row <> hi.row")
     stars = own.join(ends.hint("merge"), "key").select("row", "fp", "n", F.explode(F.array("lo", "hi")).alias("e")).filter("row <> e.row").filter(near("fp", "e.fp")).filter(fits("n", "e.n"))
     first = connected_components(verified(stars.select(F.least("row", "e.row").alias("a"), F.greatest("row", "e.row").alias("b")).distinct()))
-    held = cut(nodes.join(first.withColumnRenamed("node", "row").hint("merge"), "row", "left").select("row", "h", "id", "n", F.coalesce("component", "row").alias("c")))
+    held = cut(nodes.join(first.withColumnRenamed("node", "row").hint("merge"), "row", "left").select("row", "h", "one", "n", F.coalesce("component", "row").alias("c")))
 
     own = fps.select("row", "first").join(held.filter("h <> 0").select("row", "c").hint("merge"), "row").select("row", "c", F.explode("first").alias("key"))
     group = Window.partitionBy("key")
@@ -279,7 +284,33 @@ def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id
     links = verified(shared.filter(F.col("m") >= F.least(*(must - F.col(c) + _prefix(F.col(c), least) for c in ("n", "n2")))).select("a", "b"))
     top = held.select(F.col("row").alias("a"), F.col("c").alias("c_a")), held.select(F.col("row").alias("b"), F.col("c").alias("c_b"))
     second = connected_components(links.join(top[0].hint("merge"), "a").join(top[1].hint("merge"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    whole = held.select("h", "id", "c").join(second.hint("merge"), "c", "left").select("h", "id", F.coalesce("top", "c").alias("top"))
-    smallest = whole.groupBy("top").agg(F.min("id").alias("component_id"))
+    return fps.select("key", "digest", "h"), cut(held.select("h", "one", "c").join(second.hint("merge"), "c", "left").select("h", "one", F.coalesce("top", "c").alias("top")))
+
+
+def near_copy_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(key, component_id) of every row: rows linked by steps of ``least`` or more similarity share the smallest key (``_near_copy_sets``).  Rows with a null key keep component null unless linked."""
+    rows, whole = _near_copy_sets(docs, text, key, shingle, least)
+    smallest = whole.groupBy("top").agg(F.min("one.key").alias("component_id"))
     by_set = cut(whole.join(smallest.hint("merge"), "top").select("h", "component_id"))
-    return fps.select("key", "h").join(by_set.hint("merge"), "h").select(F.col("key").alias(key), "component_id")
+    return rows.select("key", "h").join(by_set.hint("merge"), "h").select(F.col("key").alias(key), "component_id")
+
+
+def without_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies (``_near_copy_sets``), the one with the smallest key; rows without a key come last.
+
+    Every row is a text of its own, also where its key comes twice or is missing.  Of the group's rows with that key and the same text the first by the other columns stays.
+    """
+    rows, whole = _near_copy_sets(docs, text, key, shingle, least)
+    first = whole.groupBy("top").agg(F.min("one").alias("one")).select("one.key", "one.digest")
+    again = rows.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    first = cut(first.join(again.hint("merge"), _same_row(first, again), "left").select(first["key"], first["digest"], F.col("times").isNotNull().alias("again")))
+    own, digest, mark = (free_name(c, docs) for c in ("key", "digest", "again"))
+    first = first.toDF(own, digest, mark)
+    own, digest, mark = first[own], first[digest], first[mark]
+    held = docs.join(first.hint("merge"), docs[key].cast("long").eqNullSafe(own) & (F.xxhash64(docs[text]) == digest))
+    one = held.filter(~mark).select(*(docs[c] for c in docs.columns))
+    if first.filter(mark).isEmpty():
+        return one
+    orders = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    same = held.filter(mark).groupBy(own, digest).agg(F.min_by(F.struct(*(docs[c] for c in docs.columns)), F.struct(*(docs[c] for c in orders))).alias("row"))
+    return one.unionByName(same.select("row.*"))
