@@ -87,21 +87,34 @@ def tile_coverage(points: DataFrame, tiles: DataFrame, lat: str = "latitude", lo
     return out.withColumn("coverage", status).drop("_cy", "_cx", "_tiles")
 
 
+#: Events of one place and day that a row of the pairs' join holds at most.
+TOGETHER = 1000
+
+
+def _place_days(events: DataFrame, key: str) -> DataFrame:
+    """(lat, lon, day, ids): the events of each place and day, ``TOGETHER`` in a row at most; those without key, place or date are in no pair."""
+    day = F.datediff("acq_date", F.lit("2000-01-01").cast("date"))
+    rows = events.select(F.col(key).alias("id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), day.alias("day")).na.drop()
+    rows = rows.groupBy("lat", "lon", "day").agg(F.collect_list("id").alias("ids"))
+    parts = F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(TOGETHER)), lambda i: F.slice("ids", i, TOGETHER))
+    return rows.select("lat", "lon", "day", F.explode(parts).alias("ids"))
+
+
 def near_in_space_time(left: DataFrame, right: DataFrame, km: float = 3.0, days: int = 3, key: str = "event_id") -> DataFrame:
     """Pairs (left key, right key) with a haversine distance below ``km`` and fewer than ``days`` days apart, not of one event.
 
-    The right side is sent to the cells and day buckets around its own, so the join is an equi-join.  Both sides are sorted by it: the right one is 27 times its table, which Spark's
-    estimate of its size doesn't know, so it must not be broadcast.
+    Places meet, not events: those of one place and day are one row of the join, and only the pairs found are written out.  The left side is sent to the day buckets around its own and
+    the right one to the cells around its own, so the join is an equi-join.  Both sides are sorted by it: they are 3 and 9 times their tables, which Spark's estimate of their size
+    doesn't know, so neither must be broadcast.  The pairs themselves grow with the square of the events.
     """
-    degrees = km / 111.0 * 1.5
+    high, wide = km / 111.0, km / 111.0 * 1.5
     around = lambda c: F.explode(F.array(*(F.floor(c) + d for d in (-1, 0, 1))))
-    day = F.datediff("acq_date", F.lit("2000-01-01").cast("date"))
-    a = left.select(F.col(key).alias("a"), F.col("latitude").alias("lat_a"), F.col("longitude").alias("lon_a"), day.alias("day_a"))
-    b = right.select(F.col(key).alias("b"), F.col("latitude").alias("lat_b"), F.col("longitude").alias("lon_b"), day.alias("day_b"))
-    a = a.withColumns({"cy": F.floor(F.col("lat_a") / degrees), "cx": F.floor(F.col("lon_a") / degrees), "cd": F.floor(F.col("day_a") / days)})
-    b = b.withColumn("cy", around(F.col("lat_b") / degrees)).withColumn("cx", around(F.col("lon_b") / degrees)).withColumn("cd", around(F.col("day_b") / days))
-    close = (F.abs(F.col("day_a") - F.col("day_b")) < days) & (F.abs(F.col("lat_a") - F.col("lat_b")) <= km / 111.0) & (F.round(haversine_m("lat_a", "lon_a", "lat_b", "lon_b"), 3) < km * 1000)
-    return a.join(b.hint("merge"), ["cy", "cx", "cd"]).filter("a <> b").filter(close).select("a", "b")
+    a, b = (_place_days(x, key).withColumnsRenamed({c: f"{c}_{n}" for c in ("lat", "lon", "day", "ids")}) for n, x in (("a", left), ("b", right)))
+    a = a.withColumns({"cy": F.floor(F.col("lat_a") / high), "cx": F.floor(F.col("lon_a") / wide)}).withColumn("cd", around(F.col("day_a") / days))
+    b = b.withColumn("cd", F.floor(F.col("day_b") / days)).withColumn("cy", around(F.col("lat_b") / high)).withColumn("cx", around(F.col("lon_b") / wide))
+    close = (F.abs(F.col("day_a") - F.col("day_b")) < days) & (F.abs(F.col("lat_a") - F.col("lat_b")) <= high) & (F.round(haversine_m("lat_a", "lon_a", "lat_b", "lon_b"), 3) < km * 1000)
+    found = a.hint("merge").join(b.hint("merge"), ["cy", "cx", "cd"]).filter(close).select(F.explode("ids_a").alias("a"), "ids_b")
+    return found.select("a", F.explode("ids_b").alias("b")).filter("a <> b")
 
 
 def spatial_duplicates(events: DataFrame, score: str, km: float = 5.5, key: str = "event_id") -> DataFrame:
